@@ -9,28 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.functions.fixed_values import DELAY_TYPES
 from skyledger.operators.ordered import Ordered, following, hot_hashes, lookup_join, previous, rank
 from skyledger.sources.tables import table
 
 MINUTE = 60_000
 DAY = 86_400_000
 
-# Event types consumed by the delay processor, then the cancel type.
-DELAY_TYPES = (
-    "DEP_DLY_EVENT",
-    "ARR_DLY_EVENT",
-    "GROUND_TIME_CHANGE",
-    "CREW_CABIN_DLY_EVENT",
-    "CREW_COCKPIT_DLY_EVENT",
-    "EQUIP_PREVLEG_CHANGE",
-    "ACTUAL_OFF_CHANGE",
-    "ACTUAL_ON_CHANGE",
-    "ACTUAL_OUT_CHANGE",
-    "ACTUAL_IN_CHANGE",
-    "CANCEL",
-)
-
-
 def epoch_ms(col: str) -> Column:
     """Milliseconds of a zone-less timestamp read as UTC."""
     return F.unix_millis(F.col(col).cast("timestamp"))
