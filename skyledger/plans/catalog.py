@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyledger.plans import events, lof
+from skyledger.plans import events, lof, lookups, projection
 
-FAMILIES = (lof, events)
+FAMILIES = (lof, events, lookups, projection)
 
 QUERIES = {name: fn for family in FAMILIES for name, fn in family.QUERIES.items()}
 ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
