@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job relies on.  Skew handling is forced because a
 # lookup side keyed by tail, part or station may hold a third of all rows.
@@ -62,7 +62,13 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Make `DataFrame.checkpoint()` usable."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, cutting its lineage.
+
+    A lost executor then costs one read, not the whole history, and later steps
+    read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
