@@ -6,22 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MINUTE = 60_000
-DAY = 86_400_000
-
-
-def whole_minutes(seconds: Column) -> Column:
-    """Full minutes in a number of seconds."""
-    return F.floor(seconds / 60).cast("long")
-
-
-def minutes_between(start: Column, end: Column) -> Column:
-    """Minutes from start to end, fraction dropped."""
-    return ((end - start) / MINUTE).cast("long")
-
-
-def seconds_between(start: Column, end: Column) -> Column:
-    """Seconds from start to end, fraction dropped."""
-    return ((end - start) / 1000).cast("long")
 
 
 def is_true(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Raw events to typed records, from a routing table of event name to fields.
 
 A rule fills an output column for some events; a later rule wins over an earlier
-one.  Every output is one `when` chain, so a record type is a single projection.
+one.  Every output is one CASE expression, so a record type is a single
+projection.
 """
 
 from __future__ import annotations
@@ -23,151 +24,155 @@ from skyledger.functions.fixed_values import (
     TAXI_EVENTS,
     TIMES_KEY_ONLY,
 )
-from skyledger.functions.scalars import (
-    effective_ms,
-    is_true,
-    leg_key,
-    minutes_between,
-    seconds_between,
-    short_date,
-    whole_minutes,
-)
+from skyledger.functions.scalars import effective_ms, is_true, leg_key, short_date
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Fill `out` with `value` for `events` where `given` holds.
+    """Fill `out` with the SQL value for `events` (None: all) where `given` holds.
 
-    `value` None leaves the value and only stamps.  `stamp` None leaves the
-    stamp.  With `present` the rule needs a non-null value.
+    A `value` of None only stamps; a `stamp` of None leaves the stamp alone.
+    With `present` the rule needs a non-null value.
     """
 
     out: str
     events: tuple[str, ...] | None
-    value: Column | None
-    stamp: Column | None = None
+    value: str | None
+    stamp: str | None = None
     present: bool = False
-    given: Column | None = None
-
+    given: str | None = None
 
-def _condition(rule: Rule, event: Column) -> Column:
-    cond = F.lit(True) if rule.events is None else event.isin(*rule.events)
-    if rule.given is not None:
-        cond = cond & rule.given
-    if rule.present:
-        cond = cond & rule.value.isNotNull()
-    return cond
+    def condition(self) -> str:
+        """SQL condition under which the rule applies."""
+        parts = []
+        if self.events is not None:
+            parts.append("_event IN (" + ", ".join(f"'{e}'" for e in self.events) + ")")
+        if self.given:
+            parts.append(f"({self.given})")
+        if self.present:
+            parts.append(f"{self.value} IS NOT NULL")
+        return " AND ".join(parts) or "TRUE"
 
 
-def _last_wins(pairs: list[tuple[Column, Column]]) -> Column:
-    chain = F
-    for cond, value in reversed(pairs):
-        chain = chain.when(cond, value)
-    return chain
+def _last_wins(pairs: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {cond} THEN {value}" for cond, value in reversed(pairs)) + " END"
 
 
-def routed(event: Column, rules: list[Rule], stamped: tuple[str, ...] = ()) -> dict[str, Column]:
-    """Output columns of a rule list; `stamped` outputs also get `<out>_ts`."""
+def routed(rules: list[Rule]) -> dict[str, str]:
+    """SQL text per output column; outputs with a stamp also get `<out>_ts`."""
     outs: dict[str, list[Rule]] = {}
     for rule in rules:
         outs.setdefault(rule.out, []).append(rule)
     columns = {}
     for out, mine in outs.items():
-        columns[out] = _last_wins([(_condition(r, event), r.value) for r in mine if r.value is not None])
-        stamps = [(_condition(r, event), r.stamp) for r in mine if r.stamp is not None]
+        values = [(r.condition(), r.value) for r in mine if r.value is not None]
+        stamps = [(r.condition(), r.stamp) for r in mine if r.stamp is not None]
+        if values:
+            columns[out] = _last_wins(values)
         if stamps:
             columns[f"{out.removesuffix('_ms')}_ts"] = _last_wins(stamps)
     return columns
 
 
+def _with_times(raw: DataFrame, as_of_ms: Column) -> DataFrame:
+    """Adds the upper-case event and its effective times; a refresh counts two minutes earlier."""
+    now = effective_ms(F.col("source_ts_ms"), F.col("hub_ts_ms"), as_of_ms)
+    return raw.withColumns({"_event": F.upper("raw_event"), "_now": now}).withColumn(
+        "_eff", F.expr("CASE WHEN _event = 'DB' THEN _now - 120000 ELSE _now END")
+    )
+
+
 def times_records(raw: DataFrame, as_of_ms: Column, as_of_date: Column) -> DataFrame:
     """Flight times record of every raw event; plan events owned elsewhere drop out."""
-    event = F.upper("raw_event")
-    t = lambda name: F.col(f"times.{name}")
-    now = effective_ms(F.col("source_ts_ms"), F.col("hub_ts_ms"), as_of_ms)
-    eff = F.when(event == "DB", now - 120_000).otherwise(now)
-    known = F.col("times").isNotNull()
-    live = known & ~event.isin(*TIMES_KEY_ONLY)
-    taxi_in = F.coalesce(t("latest_taxi_in_s"), t("skd_taxi_in_s"))
-    taxi_out = F.coalesce(t("latest_taxi_out_s"), t("skd_taxi_out_s"))
-    std_ts, sta_ts = F.when(t("std").isNotNull(), now), F.when(t("sta").isNotNull(), now)
-    future = F.to_date("flight_date") > as_of_date
-    stations = F.col("stations.arr")
+    std_ts, sta_ts = "CASE WHEN times.std IS NOT NULL THEN _now END", "CASE WHEN times.sta IS NOT NULL THEN _now END"
 
-    def full(out: str, value: Column) -> Rule:
-        return Rule(out, FULL_EVENTS, value, eff, present=True)
+    def full(out: str, value: str) -> Rule:
+        return Rule(out, FULL_EVENTS, value, "_eff", present=True)
 
-    def always(out: str, events: tuple[str, ...], value: Column | None) -> Rule:
-        return Rule(out, events, value, eff)
+    def always(out: str, events: tuple[str, ...], value: str | None) -> Rule:
+        return Rule(out, events, value, "_eff")
 
     rules = [
-        Rule("std_ms", None, t("std"), now, present=True),
-        Rule("sta_ms", None, t("sta"), now, present=True),
-        Rule("ltd_ms", None, t("ltd"), now, present=True),
-        Rule("lta_ms", None, t("lta"), now, present=True),
-        always("ltd_ms", ("OFF",), t("actual_out")),
-        Rule("ltd_ms", ("SKDCHNG",), t("std"), std_ts, given=future),
-        Rule("lta_ms", ("SKDCHNG",), t("sta"), sta_ts, given=future),
-        Rule("ltd_ms", ("CONTINUATION",), t("std"), std_ts),
-        Rule("lta_ms", ("CONTINUATION",), t("sta"), sta_ts),
-        full("pta_fos_ms", t("pta")),
-        always("pta_fos_ms", ("DCSN", "ETD", "EON", "ETO", "ETA", "OFF", "ON", "OUT", "OVR", *STUB_EVENTS), t("pta")),
-        Rule("pta_fos_ms", ("CONTINUATION",), t("sta"), sta_ts),
-        Rule("pta_fos_ms", ("CONTINUATION",), t("pta"), eff, present=True),
-        full("ptd_fos_ms", t("ptd")),
-        always("ptd_fos_ms", ("DCSN", "ETD", "OUT", *STUB_EVENTS), t("ptd")),
-        Rule("ptd_fos_ms", ("CONTINUATION",), t("std"), std_ts),
-        Rule("ptd_fos_ms", ("CONTINUATION",), t("ptd"), eff, present=True),
-        full("eon_ms", t("eon")),
-        always("eon_ms", ("EON", "ETO"), t("eon")),
-        Rule("eon_ms", ("OVR",), t("eon"), eff, present=True),
-        full("eto_ms", t("eto")),
-        always("eto_ms", ("ETO",), t("eto")),
-        full("on_ms", t("actual_on")),
-        always("on_ms", ("IN", "ON"), t("actual_on")),
+        Rule("std_ms", None, "times.std", "_now", present=True),
+        Rule("sta_ms", None, "times.sta", "_now", present=True),
+        Rule("ltd_ms", None, "times.ltd", "_now", present=True),
+        Rule("lta_ms", None, "times.lta", "_now", present=True),
+        always("ltd_ms", ("OFF",), "times.actual_out"),
+        Rule("ltd_ms", ("SKDCHNG",), "times.std", std_ts, given="_future"),
+        Rule("lta_ms", ("SKDCHNG",), "times.sta", sta_ts, given="_future"),
+        Rule("ltd_ms", ("CONTINUATION",), "times.std", std_ts),
+        Rule("lta_ms", ("CONTINUATION",), "times.sta", sta_ts),
+        full("pta_fos_ms", "times.pta"),
+        always("pta_fos_ms", ("DCSN", "ETD", "EON", "ETO", "ETA", "OFF", "ON", "OUT", "OVR", *STUB_EVENTS), "times.pta"),
+        Rule("pta_fos_ms", ("CONTINUATION",), "times.sta", sta_ts),
+        Rule("pta_fos_ms", ("CONTINUATION",), "times.pta", "_eff", present=True),
+        full("ptd_fos_ms", "times.ptd"),
+        always("ptd_fos_ms", ("DCSN", "ETD", "OUT", *STUB_EVENTS), "times.ptd"),
+        Rule("ptd_fos_ms", ("CONTINUATION",), "times.std", std_ts),
+        Rule("ptd_fos_ms", ("CONTINUATION",), "times.ptd", "_eff", present=True),
+        full("eon_ms", "times.eon"),
+        always("eon_ms", ("EON", "ETO"), "times.eon"),
+        Rule("eon_ms", ("OVR",), "times.eon", "_eff", present=True),
+        full("eto_ms", "times.eto"),
+        always("eto_ms", ("ETO",), "times.eto"),
+        full("on_ms", "times.actual_on"),
+        always("on_ms", ("IN", "ON"), "times.actual_on"),
         always("on_ms", ("UNFLY",), None),
-        full("in_ms", t("actual_in")),
-        always("in_ms", ("IN", "RTD"), t("actual_in")),
+        full("in_ms", "times.actual_in"),
+        always("in_ms", ("IN", "RTD"), "times.actual_in"),
         always("in_ms", ("UNFLY",), None),
-        full("off_ms", t("actual_off")),
-        always("off_ms", ("OFF",), t("actual_off")),
+        full("off_ms", "times.actual_off"),
+        always("off_ms", ("OFF",), "times.actual_off"),
         always("off_ms", ("UNFLY",), None),
-        full("out_ms", t("actual_out")),
-        always("out_ms", ("OFF", "OUT", "RTD"), t("actual_out")),
+        full("out_ms", "times.actual_out"),
+        always("out_ms", ("OFF", "OUT", "RTD"), "times.actual_out"),
         always("out_ms", ("UNFLY",), None),
-        full("ogt_min", t("ogt_min")),
+        full("ogt_min", "times.ogt_min"),
         always(
             "ogt_min",
             ("EQLINK", "GROUNDTIME", "EQSUB", "STUB", "UNSTUB", "UNSTUBSTA", "REINSTATE", "XPE", "CONTINUATION"),
-            t("ogt_min"),
+            "times.ogt_min",
         ),
-        full("pred_taxi_in_min", whole_minutes(taxi_in)),
-        Rule("pred_taxi_in_min", TAXI_EVENTS, whole_minutes(taxi_in), eff, present=True),
-        Rule("pred_taxi_in_min", ("RETURN",), t("ogt_min"), eff, present=True),
-        full("pred_taxi_out_min", whole_minutes(taxi_out)),
-        Rule("pred_taxi_out_min", TAXI_EVENTS, whole_minutes(taxi_out), eff, present=True),
-        Rule("taxi_in_s", TAXI_EVENTS, taxi_in, eff, present=True),
-        Rule("taxi_in_s", ("IN",), seconds_between(t("actual_on"), t("actual_in")), eff, present=True),
-        Rule("taxi_out_s", TAXI_EVENTS, taxi_out, eff, present=True),
-        Rule("taxi_out_s", ("OFF",), seconds_between(t("actual_out"), t("actual_off")), eff, present=True),
-        Rule("arr_station", ("CREATE", "CYCLE", "DB", "DIVERSION", "REINSTATE", "RETURN", "RTD", "CONTINUATION"), stations),
-        Rule("orig_arr_station", ("DB",), F.col("stations.original_arr")),
-        Rule("dep_gmt_min", None, t("dep_gmt_min")),
-        Rule("arr_gmt_min", None, t("arr_gmt_min")),
-        Rule("dep_delay_min", None, minutes_between(t("std"), t("ltd"))),
-        Rule("arr_delay_min", None, minutes_between(t("sta"), t("lta"))),
-        always("door_close_ms", ("DCS",), t("door_close")),
-        Rule("pax_close_ms", ("DCS",), t("pax_close")),
-        Rule("is_oa_flight", FULL_EVENTS, F.lit(False)),
+        full("pred_taxi_in_min", "_taxi_in DIV 60"),
+        Rule("pred_taxi_in_min", TAXI_EVENTS, "_taxi_in DIV 60", "_eff", present=True),
+        Rule("pred_taxi_in_min", ("RETURN",), "times.ogt_min", "_eff", present=True),
+        full("pred_taxi_out_min", "_taxi_out DIV 60"),
+        Rule("pred_taxi_out_min", TAXI_EVENTS, "_taxi_out DIV 60", "_eff", present=True),
+        Rule("taxi_in_s", TAXI_EVENTS, "_taxi_in", "_eff", present=True),
+        Rule("taxi_in_s", ("IN",), "(times.actual_in - times.actual_on) DIV 1000", "_eff", present=True),
+        Rule("taxi_out_s", TAXI_EVENTS, "_taxi_out", "_eff", present=True),
+        Rule("taxi_out_s", ("OFF",), "(times.actual_off - times.actual_out) DIV 1000", "_eff", present=True),
+        Rule(
+            "arr_station",
+            ("CREATE", "CYCLE", "DB", "DIVERSION", "REINSTATE", "RETURN", "RTD", "CONTINUATION"),
+            "stations.arr",
+        ),
+        Rule("orig_arr_station", ("DB",), "stations.original_arr"),
+        Rule("dep_gmt_min", None, "times.dep_gmt_min"),
+        Rule("arr_gmt_min", None, "times.arr_gmt_min"),
+        Rule("dep_delay_min", None, "(times.ltd - times.std) DIV 60000"),
+        Rule("arr_delay_min", None, "(times.lta - times.sta) DIV 60000"),
+        always("door_close_ms", ("DCS",), "times.door_close"),
+        Rule("pax_close_ms", ("DCS",), "times.pax_close"),
+        Rule("is_oa_flight", FULL_EVENTS, "FALSE"),
     ]
-    columns = routed(event, rules)
     core = ("std", "sta", "ltd", "lta")
-    for out, column in columns.items():
-        stem = out.removesuffix("_ms").removesuffix("_ts")
-        columns[out] = F.when(known if stem in core else live, column)
-    owned = event.isin(*PLAN_EVENTS) & is_true(F.col("flt_keys_owns")) & known
-    return raw.filter(~owned).select(
-        "flight_key", "event_id", event.alias("event"), "source_ts_ms", *[c.alias(n) for n, c in columns.items()]
+    columns = []
+    for out, text in routed(rules).items():
+        gate = "times IS NOT NULL" if out.removesuffix("_ms").removesuffix("_ts") in core else "_live"
+        columns.append(F.expr(f"CASE WHEN {gate} THEN {text} END").alias(out))
+    known = F.col("times").isNotNull()
+    prepared = _with_times(raw, as_of_ms).withColumns(
+        {
+            "_future": F.to_date("flight_date") > as_of_date,
+            "_live": known & ~F.col("_event").isin(*TIMES_KEY_ONLY),
+            "_taxi_in": F.expr("coalesce(times.latest_taxi_in_s, times.skd_taxi_in_s)"),
+            "_taxi_out": F.expr("coalesce(times.latest_taxi_out_s, times.skd_taxi_out_s)"),
+        }
+    )
+    owned = F.col("_event").isin(*PLAN_EVENTS) & is_true(F.col("flt_keys_owns")) & known
+    return prepared.filter(~owned).select(
+        "flight_key", "event_id", F.col("_event").alias("event"), "source_ts_ms", *columns
     )
 
 
@@ -176,124 +181,130 @@ def status_records(raw: DataFrame, as_of_ms: Column) -> DataFrame:
 
     Events that no rule names (STATUS_KEY_ONLY) give the keys alone.
     """
-    event = F.upper("raw_event")
-    now = effective_ms(F.col("source_ts_ms"), F.col("hub_ts_ms"), as_of_ms)
-    eff = F.when(event == "DB", now - 120_000).otherwise(now)
-    leg, dep, arr = F.col("status.leg"), F.col("status.dep"), F.col("status.arr")
-    has_status, has_leg = F.col("status").isNotNull(), leg.isNotNull()
-    has_type = F.col("type").isNotNull()
-    release, stub = F.col("type.flt_rel_status"), F.col("type.stub_flt_num")
-    code, text = F.col("reason.code"), F.col("reason.information")
-    mine = ~is_true(F.col("flt_keys_owns"))
+    leg, dep, arr = "status.leg", "status.dep", "status.arr"
+    has_status, has_leg, has_type = "status IS NOT NULL", "status.leg IS NOT NULL", "type IS NOT NULL"
+    release, stub = "type.flt_rel_status", "type.stub_flt_num"
+    code, text = "reason.code", "reason.information"
 
-    def held(out: str, events: tuple[str, ...], value: Column) -> Rule:
-        return Rule(out, events, value, eff, given=has_status)
+    def held(out: str, events: tuple[str, ...], value: str) -> Rule:
+        return Rule(out, events, value, "_eff", given=has_status)
 
-    def present(out: str, events: tuple[str, ...], value: Column, given: Column | None = None) -> Rule:
-        return Rule(out, events, value, eff, present=True, given=given)
+    def present(out: str, events: tuple[str, ...], value: str, given: str | None = None) -> Rule:
+        return Rule(out, events, value, "_eff", present=True, given=given)
 
     all_three = ("CANCEL", "DCSN", "DELETE", "DIVERSION")
     rules = [
         held("leg_status", (*all_three, "CONTINUATION", "UNFLY", *STUB_EVENTS), leg),
         present("leg_status", (*FULL_EVENTS, "REINSTATE", "RETURN", "RTD"), leg),
-        present("leg_status", ("FPUPDT",), leg, mine),
+        present("leg_status", ("FPUPDT",), leg, "_mine"),
         held("arr_status", (*all_three, "CONTINUATION", "EON", "ETA", "ETD", "ETO", "OFF", "OUT", *STUB_EVENTS), arr),
         present("arr_status", (*FULL_EVENTS, "IN", "ON", "OVR", "UNFLY"), arr),
-        present("arr_status", PLAN_EVENTS, arr, mine),
-        Rule("arr_status", ("REINSTATE", "RETURN", "RTD"), arr, eff, given=has_leg),
+        present("arr_status", PLAN_EVENTS, arr, "_mine"),
+        Rule("arr_status", ("REINSTATE", "RETURN", "RTD"), arr, "_eff", given=has_leg),
         held("dep_status", (*all_three, "ETD", "ETO", "OFF", "OUT", "UNFLY", *STUB_EVENTS), dep),
         present("dep_status", (*FULL_EVENTS, "CONTINUATION"), dep),
-        present("dep_status", PLAN_EVENTS, dep, mine),
-        Rule("dep_status", ("OVR",), F.lit("OFF"), eff),
-        Rule("dep_status", ("REINSTATE", "RTD"), dep, eff, given=has_leg),
+        present("dep_status", PLAN_EVENTS, dep, "_mine"),
+        Rule("dep_status", ("OVR",), "'OFF'", "_eff"),
+        Rule("dep_status", ("REINSTATE", "RTD"), dep, "_eff", given=has_leg),
         present("release_status", (*FULL_EVENTS, "DCSN", "ETD", "ETO", "OFF", "OUT", "LOADPLAN"), release),
-        present("release_status", PLAN_EVENTS, release, mine),
-        Rule("release_status", STUB_EVENTS, release, eff, given=has_type),
-        Rule("release_status", ("XPE",), release, eff),
+        present("release_status", PLAN_EVENTS, release, "_mine"),
+        Rule("release_status", STUB_EVENTS, release, "_eff", given=has_type),
+        Rule("release_status", ("XPE",), release, "_eff"),
         present("stub_number", (*FULL_EVENTS, "ETD", "LOADPLAN"), stub),
-        Rule("stub_number", ("REINSTATE",), stub, eff),
-        Rule("stub_number", STUB_EVENTS, stub, eff, given=has_type),
+        Rule("stub_number", ("REINSTATE",), stub, "_eff"),
+        Rule("stub_number", STUB_EVENTS, stub, "_eff", given=has_type),
         Rule("cancelled_code", ("CANCEL",), code),
         Rule("cancelled_reason", ("CANCEL",), text),
         Rule("reason_code", ("CANCEL", "DB", "DELETE", "DIVERSION", "RETURN"), code),
         Rule("reason_text", ("CANCEL", "DB", "DELETE", "DIVERSION", "RETURN", "M58"), text),
         Rule("delay_reason", FULL_EVENTS, text),
         present("delay_reason", ("DCSN", "ETD"), text),
-        Rule("release_count", PLAN_EVENTS, F.col("plan_release_count"), given=mine),
-        Rule("arr_station", ("CREATE", "CYCLE", "DB", "DIVERSION", "RETURN", "RTD"), F.col("stations.arr")),
-        Rule("arr_station", ("CONTINUATION",), F.col("stations.arr"), given=has_status),
+        Rule("release_count", PLAN_EVENTS, "plan_release_count", given="_mine"),
+        Rule("arr_station", ("CREATE", "CYCLE", "DB", "DIVERSION", "RETURN", "RTD"), "stations.arr"),
+        Rule("arr_station", ("CONTINUATION",), "stations.arr", given=has_status),
     ]
-    routed_cols = routed(event, rules)
-    return raw.select(
+    prepared = _with_times(raw, as_of_ms).withColumn("_mine", ~is_true(F.col("flt_keys_owns")))
+    return prepared.select(
         "flight_key",
         "event_id",
-        event.alias("event"),
+        F.col("_event").alias("event"),
         "source_ts_ms",
-        eff.alias("effective_ms"),
-        *[c.alias(n) for n, c in routed_cols.items()],
+        F.col("_eff").alias("effective_ms"),
+        *[F.expr(x).alias(n) for n, x in routed(rules).items()],
     )
 
 
 def equipment_records(raw: DataFrame) -> DataFrame:
-    """Flight equipment record of the events that carry equipment."""
-    event = F.upper("raw_event")
-    now = F.col("source_ts_ms")
-    e = lambda name: F.col(f"equipment.{name}")
-    k = lambda name: F.col(f"linkage.{name}")
-    has_equipment, has_linkage = F.col("equipment").isNotNull(), F.col("linkage").isNotNull()
-    no_next, no_prior = k("next_num") == NO_FLIGHT, k("prior_num") == NO_FLIGHT
-    goes_on, came_from = F.coalesce(~no_next, F.lit(True)), F.coalesce(~no_prior, F.lit(True))
-    next_day, prior_day = short_date(k("next_date")), short_date(k("prior_date"))
-    next_key = leg_key(F.col("airline"), k("next_num"), next_day, F.col("stations.arr"), k("next_dup"))
-    anti_ice = F.when(F.col("type.anti_ice").isNotNull(), is_true(F.col("type.anti_ice")))
+    """Flight equipment record of the events that carry equipment; stamps are source times."""
+    now = "source_ts_ms"
+    has_equipment, has_linkage = "equipment IS NOT NULL", "linkage IS NOT NULL"
+    next_dup, prior_dup = "try_cast(linkage.next_dup AS BIGINT)", "try_cast(linkage.prior_dup AS BIGINT)"
     typed = ("CONTINUATION", "EQLINK", "EQSUB", "REINSTATE", "RTD", "XPE", *STUB_EVENTS)
-    dup = lambda name: F.expr(f"try_cast(linkage.{name} as bigint)")
+    from_prior = f"_came_from AND {has_linkage}"
 
-    def present(out: str, events: tuple[str, ...] | None, value: Column, given: Column | None = None) -> Rule:
+    def present(out: str, events: tuple[str, ...] | None, value: str, given: str | None = None) -> Rule:
         return Rule(out, events, value, now, present=True, given=given)
 
     rules = [
-        present("tail", None, e("tail")),
-        Rule("created_without_tail", FULL_EVENTS, F.lit(True), given=has_equipment & e("tail").isNull()),
-        present("assigned_code", (*FULL_EVENTS, "CONTINUATION"), e("sas_code")),
-        present("scheduled_code", FULL_EVENTS, e("skd_type")),
-        Rule("scheduled_code", ("RTD",), e("skd_type"), now),
+        present("tail", None, "equipment.tail"),
+        Rule("created_without_tail", FULL_EVENTS, "TRUE", given=f"{has_equipment} AND equipment.tail IS NULL"),
+        present("assigned_code", (*FULL_EVENTS, "CONTINUATION"), "equipment.sas_code"),
+        present("scheduled_code", FULL_EVENTS, "equipment.skd_type"),
+        Rule("scheduled_code", ("RTD",), "equipment.skd_type", now),
         Rule("scheduled_code", ("REINSTATE",), None, now),
-        present("assigned_type", FULL_EVENTS, e("assigned_type")),
-        Rule("assigned_type", typed, e("assigned_type"), now, given=has_equipment),
-        present("registration", (*FULL_EVENTS, "EQLINK", "EQSUB"), F.trim(e("registration"))),
-        Rule("clear_next", (*FULL_EVENTS, *NEXT_LEG_EVENTS), F.lit(True), now, given=no_next),
-        Rule("next_leg_key", (*FULL_EVENTS, *NEXT_LEG_EVENTS), next_key, given=goes_on),
+        present("assigned_type", FULL_EVENTS, "equipment.assigned_type"),
+        Rule("assigned_type", typed, "equipment.assigned_type", now, given=has_equipment),
+        present("registration", (*FULL_EVENTS, "EQLINK", "EQSUB"), "trim(equipment.registration)"),
+        Rule("clear_next", (*FULL_EVENTS, *NEXT_LEG_EVENTS), "TRUE", now, given="NOT _goes_on"),
+        Rule("next_leg_key", (*FULL_EVENTS, *NEXT_LEG_EVENTS), "_next_key", given="_goes_on"),
         Rule("next_leg", FULL_EVENTS, None, now, given=has_linkage),
         Rule("next_leg", NEXT_LEG_EVENTS, None, now),
-        present("next_number", FULL_EVENTS, k("next_num")),
-        Rule("next_number", NEXT_LEG_EVENTS, k("next_num"), now, given=goes_on),
-        Rule("next_date", FULL_EVENTS, next_day),
-        Rule("next_date", NEXT_LEG_EVENTS, next_day, given=goes_on),
-        Rule("next_dup", FULL_EVENTS, dup("next_dup")),
-        Rule("next_dup", NEXT_LEG_EVENTS, dup("next_dup"), given=goes_on),
-        Rule("clear_prior", (*FULL_EVENTS, *PREV_LEG_EVENTS), F.lit(True), now, given=no_prior),
+        present("next_number", FULL_EVENTS, "linkage.next_num"),
+        Rule("next_number", NEXT_LEG_EVENTS, "linkage.next_num", now, given="_goes_on"),
+        Rule("next_date", FULL_EVENTS, "_next_day"),
+        Rule("next_date", NEXT_LEG_EVENTS, "_next_day", given="_goes_on"),
+        Rule("next_dup", FULL_EVENTS, next_dup),
+        Rule("next_dup", NEXT_LEG_EVENTS, next_dup, given="_goes_on"),
+        Rule("clear_prior", (*FULL_EVENTS, *PREV_LEG_EVENTS), "TRUE", now, given="NOT _came_from"),
         Rule("prev_leg", FULL_EVENTS, None, now, given=has_linkage),
         Rule("prev_leg", PREV_LEG_EVENTS, None, now),
-        present("prev_date", FULL_EVENTS, prior_day),
-        Rule("prev_date", PREV_LEG_EVENTS, prior_day, now, given=came_from & has_linkage),
-        present("prev_date", ("RTD",), prior_day),
-        present("prev_number", FULL_EVENTS, k("prior_num"), ~no_prior),
-        Rule("prev_number", PREV_LEG_EVENTS, k("prior_num"), now, given=came_from & has_linkage),
-        Rule("prev_number", ("RTD",), k("prior_num"), now, given=prior_day.isNotNull()),
-        present("prev_dup", FULL_EVENTS, dup("prior_dup")),
-        Rule("prev_dup", PREV_LEG_EVENTS, dup("prior_dup"), now, given=came_from & has_linkage),
-        Rule("prev_dup", ("RTD",), dup("prior_dup"), now, given=prior_day.isNotNull()),
-        Rule("anti_ice", (*FULL_EVENTS, "EQSUB"), anti_ice),
-        Rule("anti_ice", ("LOADPLAN",), F.col("performance.anti_ice")),
-        Rule("tail_on_plan", ("FLTPLN", "LOADPLAN"), e("tail")),
-        Rule("arr_station", (*FULL_EVENTS, "CONTINUATION", "DIVERSION"), F.col("stations.arr")),
+        present("prev_date", FULL_EVENTS, "_prior_day"),
+        Rule("prev_date", PREV_LEG_EVENTS, "_prior_day", now, given=from_prior),
+        present("prev_date", ("RTD",), "_prior_day"),
+        present("prev_number", FULL_EVENTS, "linkage.prior_num", "_came_from"),
+        Rule("prev_number", PREV_LEG_EVENTS, "linkage.prior_num", now, given=from_prior),
+        Rule("prev_number", ("RTD",), "linkage.prior_num", now, given="_prior_day IS NOT NULL"),
+        present("prev_dup", FULL_EVENTS, prior_dup),
+        Rule("prev_dup", PREV_LEG_EVENTS, prior_dup, now, given=from_prior),
+        Rule("prev_dup", ("RTD",), prior_dup, now, given="_prior_day IS NOT NULL"),
+        Rule("anti_ice", (*FULL_EVENTS, "EQSUB"), "lower(type.anti_ice) = 'true'"),
+        Rule("anti_ice", ("LOADPLAN",), "performance.anti_ice"),
+        Rule("tail_on_plan", ("FLTPLN", "LOADPLAN"), "equipment.tail"),
+        Rule("arr_station", (*FULL_EVENTS, "CONTINUATION", "DIVERSION"), "stations.arr"),
     ]
-    columns = {n: c for n, c in routed(event, [r for r in rules if r.out not in ("next_leg", "prev_leg")]).items()}
-    for out in ("next_leg", "prev_leg"):
-        columns[f"{out}_ts"] = _last_wins([(_condition(r, event), r.stamp) for r in rules if r.out == out])
-    return raw.filter(event.isin(*EQUIPMENT_EVENTS)).select(
-        "flight_key", "event_id", event.alias("event"), "source_ts_ms", *[c.alias(n) for n, c in columns.items()]
+    link = lambda name: F.col(f"linkage.{name}")
+    prepared = (
+        raw.withColumn("_event", F.upper("raw_event"))
+        .filter(F.col("_event").isin(*EQUIPMENT_EVENTS))
+        .withColumns(
+            {
+                "_goes_on": F.coalesce(link("next_num") != NO_FLIGHT, F.lit(True)),
+                "_came_from": F.coalesce(link("prior_num") != NO_FLIGHT, F.lit(True)),
+                "_next_day": short_date(link("next_date")),
+                "_prior_day": short_date(link("prior_date")),
+            }
+        )
+        .withColumn(
+            "_next_key",
+            leg_key(F.col("airline"), link("next_num"), F.col("_next_day"), F.col("stations.arr"), link("next_dup")),
+        )
+    )
+    return prepared.select(
+        "flight_key",
+        "event_id",
+        F.col("_event").alias("event"),
+        "source_ts_ms",
+        *[F.expr(x).alias(n) for n, x in routed(rules).items()],
     )
 
 
