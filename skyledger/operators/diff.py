@@ -56,14 +56,10 @@ def cancel_item() -> Column:
     return F.when(raised, F.struct(F.lit("CANCEL").alias("event_type"), F.col("leg_status").alias("value")))
 
 
-def atomic_events(records: DataFrame, tracked: dict[str, str], with_cancel: bool = False) -> DataFrame:
-    """Change events of all records: late records out, then neighbours compared."""
-    columns = list(dict.fromkeys(tracked.values()))
-    slim = records.select("flight_key", "event_id", "source_ts_ms", *columns)
-    kept = accepted(in_arrival_order(slim))
-    paired = kept.on(kept.df.withColumn("_me", F.struct(*columns))).scan(previous("_me", "_old"))
+def emit(paired: DataFrame, tracked: dict[str, str], with_cancel: bool) -> DataFrame:
+    """One row per change of every record paired with the one before it (`_old`)."""
     extra = [cancel_item()] if with_cancel else []
-    return paired.rows().select(
+    return paired.select(
         "flight_key",
         "event_id",
         "source_ts_ms",
@@ -71,3 +67,44 @@ def atomic_events(records: DataFrame, tracked: dict[str, str], with_cancel: bool
     ).select(
         "flight_key", "event_id", F.lit("").alias("previous"), "source_ts_ms", "value", "event_type"
     )
+
+
+def _pairs(kept: Ordered, columns: list[str]) -> DataFrame:
+    return kept.on(kept.df.withColumn("_me", F.struct(*columns))).scan(previous("_me", "_old")).rows()
+
+
+def tracked_columns(tracked: dict[str, str], with_cancel: bool = False) -> list[str]:
+    """Columns a record needs: the tracked ones, and the statuses for cancels."""
+    return list(dict.fromkeys([*tracked.values(), *(("leg_status", "dep_status") if with_cancel else ())]))
+
+
+def atomic_events(records: DataFrame, tracked: dict[str, str], with_cancel: bool = False) -> DataFrame:
+    """Change events of all records: late records out, then neighbours compared."""
+    columns = tracked_columns(tracked, with_cancel)
+    slim = records.select("flight_key", "event_id", "source_ts_ms", *columns)
+    return emit(_pairs(accepted(in_arrival_order(slim)), columns), tracked, with_cancel)
+
+
+def advance(
+    state: DataFrame | None, batch: DataFrame, tracked: dict[str, str], with_cancel: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One micro-batch: (rows both results derive from, change events, new state).
+
+    The state holds the last accepted record of every flight and comes first in
+    its flight's order; the batch follows in arrival order.
+    """
+    columns = tracked_columns(tracked, with_cancel)
+    wanted = ("flight_key", "event_id", "source_ts_ms", *columns)
+    rows = batch.select(*wanted, F.lit(1).alias("_new")).filter(F.col("source_ts_ms").isNotNull())
+    if state is not None:
+        rows = state.select(*wanted, F.lit(0).alias("_new")).unionByName(rows)
+    line = Ordered.of(
+        rows,
+        keys=["flight_key"],
+        order=["_new", "event_id"],
+        coarse=F.when(F.col("_new") == 0, -1).otherwise(F.floor(F.col("event_id") / BLOCK_ARRIVALS)),
+    )
+    paired = _pairs(accepted(line), columns)
+    last = F.max_by(F.struct(*wanted[1:]), F.struct("_new", "event_id"))
+    new_state = paired.groupBy("flight_key").agg(last.alias("r")).select("flight_key", "r.*")
+    return paired, emit(paired.filter("_new = 1"), tracked, with_cancel), new_state

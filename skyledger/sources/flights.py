@@ -26,8 +26,8 @@ def pick(names: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (index + 1).cast("int"))
 
 
-def _order_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
+def _order_columns(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("o_orderkey").alias("chain_id"),
         F.col("o_custkey").alias("tail_no"),
         epoch_ms("o_orderdate").alias("order_ms"),
@@ -45,7 +45,7 @@ def legs(spark: SparkSession, sf_dir: str) -> Ordered:
         F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("ship_us"),
     )
     hashes = hot_hashes(items, ["chain_id"])
-    joined = lookup_join(items, _order_columns(spark, sf_dir), "chain_id", hashes, "inner")
+    joined = lookup_join(items, _order_columns(table(spark, sf_dir, "orders")), "chain_id", hashes, "inner")
     ranked = Ordered.of(
         joined,
         keys=["chain_id"],
@@ -84,12 +84,17 @@ def legs(spark: SparkSession, sf_dir: str) -> Ordered:
 
 def delay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One delay event per chain, aimed at its first or second leg."""
+    return delay_events_of(table(spark, sf_dir, "orders"))
+
+
+def delay_events_of(orders: DataFrame) -> DataFrame:
+    """The same for a batch or a streaming `orders` frame."""
     chain = F.col("chain_id")
     target = F.lit(1) + chain % 2
     kind = pick(DELAY_TYPES, chain % 11)
     late = F.when(kind.isin("ACTUAL_ON_CHANGE", "ACTUAL_IN_CHANGE"), 60 * MINUTE).otherwise(0)
     at = F.col("order_ms") + (target - 1) * (120 * MINUTE)
-    return _order_columns(spark, sf_dir).select(
+    return _order_columns(orders).select(
         "chain_id",
         target.alias("event_seq"),
         kind.alias("event_type"),
