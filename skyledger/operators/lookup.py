@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import Ordered, last_known
+from skyledger.operators.ordered import Ordered, hot_hashes, last_known
 
 HOUR = 3_600_000
+_FLIGHT_KEY = ("airline", "flight_date", "flight_number", "arr_station", "snapshot_id")
 
 
 def prefixed(df: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
@@ -61,6 +62,13 @@ def candidate_counts(candidates: DataFrame) -> DataFrame:
     )
 
 
+def _wanted(current: DataFrame) -> DataFrame:
+    """Legs with the match key of the previous flight they name, if any."""
+    named = F.col("prev_number").isNotNull() & F.col("prev_date").isNotNull()
+    key = _match_key("airline", "prev_date", "prev_number", "dep_station", "snapshot_id")
+    return current.withColumn("_match", F.when(named, key))
+
+
 def previous_leg_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
     """Adds how many flights could be the previous leg, and how many after the tail test.
 
@@ -70,16 +78,8 @@ def previous_leg_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
     tail on either side drops nothing.  Candidates are counted per key before
     they are joined, so no pairs are formed.
     """
-    wanted = current.withColumn(
-        "_match",
-        F.when(
-            F.col("prev_number").isNotNull() & F.col("prev_date").isNotNull(),
-            _match_key("airline", "prev_date", "prev_number", "dep_station", "snapshot_id"),
-        ),
-    )
-    found = flights.withColumn(
-        "_match", _match_key("airline", "flight_date", "flight_number", "arr_station", "snapshot_id")
-    )
+    wanted = _wanted(current)
+    found = flights.withColumn("_match", _match_key(*_FLIGHT_KEY))
     per_tail = candidate_counts(found)
     per_key = per_tail.groupBy("_match").agg(
         F.sum("_n").alias("n_candidates"),
@@ -105,44 +105,47 @@ def previous_leg_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_earlier(several: DataFrame, flights: DataFrame) -> DataFrame:
-    """Latest kept candidate departing no later than the leg, other than itself.
-
-    Candidates and legs are laid in one sequence per match group; each leg reads
-    the last candidate before it, and the one before that for the case that the
-    last is the leg itself.
-    """
-    key = _match_key("airline", "flight_date", "flight_number", "arr_station", "snapshot_id")
-    by_tail = lambda m, t: F.concat_ws("|", m, F.lit("tail"), t)
-    free = lambda m: F.concat_ws("|", m, F.lit("free"))
-    every = lambda m: F.concat_ws("|", m, F.lit("every"))
-
-    def groups(m: Column, for_candidate: bool) -> Column:
-        tail = F.col("tail")
-        if for_candidate:
-            own = F.when(tail.isNull(), free(m)).otherwise(by_tail(m, tail))
-            return F.explode(F.array(own, every(m)))
-        return F.explode(F.when(tail.isNull(), F.array(every(m))).otherwise(F.array(by_tail(m, tail), free(m))))
-
-    offered = flights.select(
-        groups(key, True).alias("grp"),
+def _offers(flights: DataFrame) -> DataFrame:
+    """Candidates under their groups: by tail or tail unknown, and all together."""
+    match = _match_key(*_FLIGHT_KEY)
+    own = F.when(F.col("tail").isNull(), F.concat_ws("|", match, F.lit("free"))).otherwise(
+        F.concat_ws("|", match, F.lit("tail"), "tail")
+    )
+    return flights.select(
+        F.explode(F.array(own, F.concat_ws("|", match, F.lit("every")))).alias("grp"),
         "std_ms",
         F.lit(0).alias("asks"),
         "flight_key",
         F.struct("std_ms", "flight_key").alias("cand"),
     )
-    asked = several.select(
-        groups(F.col("_match"), False).alias("grp"),
+
+
+def _questions(current: DataFrame) -> DataFrame:
+    """Legs under the groups they may choose from."""
+    every = F.array(F.concat_ws("|", "_match", F.lit("every")))
+    known = F.array(F.concat_ws("|", "_match", F.lit("tail"), "tail"), F.concat_ws("|", "_match", F.lit("free")))
+    return current.select(
+        F.explode(F.when(F.col("tail").isNull(), every).otherwise(known)).alias("grp"),
         "std_ms",
         F.lit(1).alias("asks"),
         "flight_key",
         F.lit(None).cast("struct<std_ms:bigint,flight_key:string>").alias("cand"),
     )
+
+
+def _nearest_earlier(several: DataFrame, flights: DataFrame, hashes: list[int]) -> DataFrame:
+    """Latest kept candidate departing no later than the leg, other than itself.
+
+    Candidates and legs are laid in one sequence per match group; each leg reads
+    the last candidate before it, and the one before that for the case that the
+    last is the leg itself.  `hashes` are those of the very large groups.
+    """
     line = Ordered.of(
-        offered.unionByName(asked),
+        _offers(flights).unionByName(_questions(several)),
         keys=["grp"],
         order=["std_ms", "asks", "flight_key"],
         coarse=F.floor(F.col("std_ms") / HOUR),
+        hashes=hashes,
     ).scan(last_known("cand", "_before", inclusive=False))
     pair = F.when(F.col("asks") == 0, F.struct("cand", "_before"))
     line = line.on(line.df.withColumn("pair", pair)).scan(last_known("pair", "last"))
@@ -162,7 +165,9 @@ def resolve_previous_leg(current: DataFrame, flights: DataFrame) -> DataFrame:
     """Previous leg of every flight and the rule that settled it."""
     counted = previous_leg_counts(current, flights)
     several = counted.filter((F.col("n_candidates") > 1) & (F.col("n_after_tail") > 1))
-    near = _nearest_earlier(several, flights)
+    # Group sizes come from the plain tables, before the counts narrow them.
+    groups = _offers(flights).unionByName(_questions(_wanted(current).filter("_match IS NOT NULL")))
+    near = _nearest_earlier(several, flights, hot_hashes(groups, ["grp"]))
     rule = (
         F.when(F.col("n_candidates") == 0, "none")
         .when(F.col("n_candidates") == 1, "single")

@@ -12,7 +12,7 @@ from skyledger.plans import projection
 from skyledger.plans.relations_sql import CREW, FLIGHTS, LEGS, with_
 from skyledger.session import settle
 from skyledger.sources import state
-from skyledger.sources.flights import crew_assignments
+from skyledger.sources.flights import crew_assignments, hot_duties
 
 ROUNDS = 4
 STATE = (
@@ -20,11 +20,14 @@ STATE = (
     "pta_ms", "pcta_ms", "pmta_ms", "plmta_ms", "ctd_ms", "cta_ms", "taxi_out_min", "taxi_in_min", "pred_air_min",
     "leg_status", "dep_status", "arr_status", "prev_leg_key",
 )
+# What links, waits and crew duties read besides.
+LINKED = ("next_leg_key", "ogt_min", "part_id", "supp_id", "chain_id", "leg_seq", "line_no")
 
 
 def _links(spark: SparkSession, sf_dir: str):
-    wide = state.wide_legs(spark, sf_dir).rows()
-    return wide, crew_assignments(wide)
+    """Current state of all legs, written once because it meets itself, and their crew."""
+    wide = settle(state.wide_legs(spark, sf_dir).rows().select(*STATE, *LINKED), "state")
+    return wide, crew_assignments(wide, hot_duties(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +51,6 @@ def inbound_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run(spark: SparkSession, sf_dir: str, cancel_continues: bool = False) -> DataFrame:
     """Propagate from every leg that departs later than scheduled."""
     wide, crew = _links(spark, sf_dir)
-    wide = settle(wide, "state")
     crew = settle(crew, "crew")
     legs = wide.select(*STATE)
     links = settle(g.edges(wide, crew), "links")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skyledger.operators import lookup
 from skyledger.plans.relations_sql import CREW, FLIGHTS, LEGS, with_
 from skyledger.sources import state
-from skyledger.sources.flights import crew_assignments, flights, legs
+from skyledger.session import settle
+from skyledger.sources.flights import crew_assignments, flights, hot_duties, legs
 
 GATE = "'G' || (supp_id % 12)"
 
@@ -31,21 +32,19 @@ def inbound_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inbound_crew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every crew member whose inbound leg is known, with that leg's times."""
-    wide = state.wide_legs(spark, sf_dir).rows()
-    crew = crew_assignments(wide)
+    wide = _wide(spark, sf_dir)
+    crew = crew_assignments(wide, hot_duties(spark, sf_dir))
     joined = lookup.inbound(crew, wide, "prev_flight_key", ("pta_ms", "pcta_ms"), "inner")
     return joined.select("flight_key", "duty_key", "crew_type", "turn_min", "in_flight_key", "in_pta_ms", "in_pcta_ms")
 
 
 def _resolution(spark: SparkSession, sf_dir: str):
+    mine = ("flight_key", "airline", "prev_date", "prev_number", "dep_station", "snapshot_id", "tail", "std_ms")
+    theirs = ("flight_key", "airline", "flight_date", "flight_number", "arr_station", "snapshot_id", "tail", "std_ms")
     both = flights(legs(spark, sf_dir)).rows().withColumn("snapshot_id", F.lit("0"))
-    wanted = both.select(
-        "flight_key", "airline", "prev_date", "prev_number", "dep_station", "snapshot_id", "tail", "std_ms"
-    )
-    offered = both.select(
-        "flight_key", "airline", "flight_date", "flight_number", "arr_station", "snapshot_id", "tail", "std_ms"
-    )
-    return wanted, offered
+    # Read several times below, so written once.
+    kept = settle(both.select(*dict.fromkeys([*mine, *theirs])), "flights")
+    return kept.select(*mine), kept.select(*theirs)
 
 
 def prev_leg_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,15 +86,19 @@ def tail_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crew_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _wide(spark, sf_dir)
+    needed = ("flight_key", "part_id", "supp_id", "std_ms", "chain_id", "leg_seq", "line_no")
+    wide = settle(wide.select(*needed, "dep_station", "arr_station", "tail", "airline"), "flights")
     known = wide.withColumn("gate", F.expr(GATE))
-    crew = crew_assignments(wide).select("flight_key", "duty_key", "crew_type", "prev_flight_key")
+    crew = crew_assignments(wide, hot_duties(spark, sf_dir)).select(
+        "flight_key", "duty_key", "crew_type", "prev_flight_key"
+    )
     return lookup.crew_context(crew, known, state.airports(spark, sf_dir))
 
 
 def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of all legs that some crew member works next."""
     wide = _wide(spark, sf_dir)
-    keys = crew_assignments(wide).filter(F.col("next_flight_key").isNotNull()).select(
+    keys = crew_assignments(wide, hot_duties(spark, sf_dir)).filter(F.col("next_flight_key").isNotNull()).select(
         F.col("next_flight_key").alias("flight_key")
     )
     return lookup.by_ids(keys, wide, ("ltd_ms", "lta_ms", "pta_ms"))

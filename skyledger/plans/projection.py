@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import project as p
 from skyledger.plans.relations_sql import CREW, EVENTS, FLIGHTS, LEGS, with_
+from skyledger.session import settle
 from skyledger.sources import state
-from skyledger.sources.flights import crew_assignments, delay_events
+from skyledger.sources.flights import crew_assignments, delay_events, hot_duties
 
 
 def _parts(spark: SparkSession, sf_dir: str):
-    wide = state.wide_legs(spark, sf_dir).rows()
-    return wide, p.resource_ready(wide, crew_assignments(wide), state.tails(spark, sf_dir))
+    """Current state of all legs, and the resources they wait for.
+
+    The state is joined to itself for every kind of resource, so it is written
+    once and each use reads its own columns.
+    """
+    wide = settle(state.wide_legs(spark, sf_dir).rows().drop("order_ms", "equip_ready_ms", "cabin_ready_ms"), "state")
+    crew = crew_assignments(wide, hot_duties(spark, sf_dir))
+    return wide, p.resource_ready(wide, crew, state.tails(spark, sf_dir))
 
 
 def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,8 +131,16 @@ def flights(legs_: Ordered) -> Ordered:
     )
 
 
-def crew_assignments(legs_: DataFrame) -> DataFrame:
-    """Crew duties: each part is a duty that works its legs in departure order."""
+def hot_duties(spark: SparkSession, sf_dir: str) -> list[int]:
+    """Hashes of the duties with very many legs, from the one column that decides it."""
+    return hot_hashes(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("duty")), ["duty"])
+
+
+def crew_assignments(legs_: DataFrame, hashes: list[int]) -> DataFrame:
+    """Crew duties: each part is a duty that works its legs in departure order.
+
+    `hashes` are those of the very large duties.
+    """
     cols = legs_.select(
         F.col("part_id").alias("duty"), "flight_key", "std_ms", "chain_id", "leg_seq", "line_no", "supp_id"
     ).withColumn("_me", F.struct("flight_key", "std_ms"))
@@ -141,6 +149,7 @@ def crew_assignments(legs_: DataFrame) -> DataFrame:
         keys=["duty"],
         order=["std_ms", "chain_id", "leg_seq"],
         coarse=F.floor(F.col("std_ms") / DAY),
+        hashes=hashes,
     ).scan(previous("_me", "_prev"), following("_me", "_next"))
     seats = F.when(
         F.col("line_no") % 2 == 0, F.array(F.lit("CREW"), F.lit("PILOT"))
