@@ -18,10 +18,19 @@ def prefixed(df: DataFrame, prefix: str, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
+def spread_nulls(key: str, own: str = "flight_key") -> Column:
+    """Join key whose nulls become distinct values that match nothing.
+
+    Plain nulls of a left join would all meet in one partition.
+    """
+    return F.coalesce(F.col(key), F.concat(F.lit("~"), F.col(own)))
+
+
 def inbound(legs: DataFrame, times: DataFrame, key: str, columns: Sequence[str], how: str = "left") -> DataFrame:
     """Legs with the times of the leg named in `key`, as `in_*` columns."""
     other = prefixed(times, "in_", ["flight_key", *columns])
-    return legs.join(other, F.col(key) == F.col("in_flight_key"), how)
+    wanted = spread_nulls(key) if how == "left" else F.col(key)
+    return legs.join(other, wanted == F.col("in_flight_key"), how)
 
 
 def by_ids(keys: DataFrame, state: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -90,7 +99,12 @@ def previous_leg_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
     same = per_tail.filter(F.col("_tail").isNotNull()).select(
         "_match", F.col("_tail").alias("tail"), F.col("_n").alias("_n_same"), F.col("_only").alias("_only_same")
     )
-    joined = wanted.join(per_key, "_match", "left").join(same, ["_match", "tail"], "left")
+    named = wanted.withColumn("_want", spread_nulls("_match")).withColumn("_craft", spread_nulls("tail"))
+    joined = (
+        named.join(per_key.withColumnRenamed("_match", "_want"), "_want", "left")
+        .join(same.withColumnsRenamed({"_match": "_want", "tail": "_craft"}), ["_want", "_craft"], "left")
+        .drop("_want", "_craft")
+    )
     free = F.coalesce("_n_free", F.lit(0))
     kept = F.when(F.col("tail").isNull(), F.col("n_candidates")).otherwise(
         F.coalesce("_n_same", F.lit(0)) + free
@@ -187,7 +201,11 @@ def resolve_previous_leg(current: DataFrame, flights: DataFrame) -> DataFrame:
 def tail_ready(legs: DataFrame, tails: DataFrame, turn_min: Column) -> DataFrame:
     """When each leg's aircraft is back in service, plus the turn."""
     back = F.when(F.col("ots"), F.col("est_return_ms")).otherwise(F.col("return_ms"))
-    return legs.join(tails, ["airline", "tail"], "left").withColumn("tail_ready_ms", back + turn_min * 60_000)
+    service = tails.withColumnsRenamed({"airline": "_airline", "tail": "_craft"})
+    same = (F.col("airline") == F.col("_airline")) & (spread_nulls("tail") == F.col("_craft"))
+    return legs.join(service, same, "left").withColumn("tail_ready_ms", back + turn_min * 60_000).drop(
+        "_airline", "_craft"
+    )
 
 
 def crew_context(crew: DataFrame, flights: DataFrame, airports: DataFrame) -> DataFrame:

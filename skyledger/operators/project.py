@@ -143,7 +143,7 @@ def is_on() -> Column:
     return F.coalesce(F.col("arr_status").isin("ON", "IN"), F.lit(False))
 
 
-def departures(stored: bool = True) -> dict[str, Column]:
+def departures() -> dict[str, Column]:
     """Projected departures from the latest departure and the ready times."""
     ltd, routed = F.col("ltd_ms"), F.col("leg_status") == "ROUTE_OUT"
     control = F.when(~F.coalesce(routed, F.lit(False)), F.col("ctd_ms") - F.col("taxi_out_min") * MINUTE)
@@ -194,43 +194,52 @@ def project(legs: DataFrame) -> DataFrame:
     event = F.col("pe_event")
     std, sta = F.col("std_ms"), F.col("sta_ms")
     ltd, lta = F.col("ltd_ms"), F.col("lta_ms")
-    schedule = _same(std, DEP) | _same(sta, ARR)
-    out = _same(F.col("out_ms"), DEP)
-    dep = departures()
     taxi_in = F.coalesce("taxi_in_min", F.lit(0)) * MINUTE
-    no_control = ("ptd_ms", "pmtd_ms", "plmtd_ms", "pta_ms", "pmta_ms", "plmta_ms")
+    late_arr = ("pta_ms", "pmta_ms", "plmta_ms")
+    late_dep = ("ptd_ms", "pmtd_ms", "plmtd_ms")
+    usual_arr = {f: F.col(f"_arr_{f}") for f in ARR}
+    # rule -> (condition, new values, published fields)
     rules = {
-        "schedule": (is_cancelled() | (event == "PE_CANCEL"), schedule, PROJECTED),
-        "out": ((event == "PE_OUT") & F.col("out_ms").isNotNull(), out | arrivals(out), PROJECTED),
+        "schedule": (is_cancelled() | (event == "PE_CANCEL"), _same(std, DEP) | _same(sta, ARR), PROJECTED),
+        "out": (
+            (event == "PE_OUT") & F.col("out_ms").isNotNull(),
+            _same(F.col("out_ms"), DEP) | usual_arr,
+            PROJECTED,
+        ),
         "in": ((event == "PE_IN") & F.col("in_ms").isNotNull(), _same(F.col("in_ms"), ARR), ARR),
         "off": ((event == "PE_OFF") & F.col("off_ms").isNotNull(), _same(ltd, DEP) | _same(lta, ARR), PROJECTED),
         "on": ((event == "PE_ON") & F.col("on_ms").isNotNull(), {"pcta_ms": F.col("on_ms") + taxi_in}, ("pcta_ms",)),
         "ignored": (event.isin("PE_OUT", "PE_IN", "PE_OFF", "PE_ON"), {}, ()),
-        "late arrival": (
-            is_out() & (event == "PE_ETA"),
-            _same(lta, ("pta_ms", "pmta_ms", "plmta_ms")),
-            ("pta_ms", "pmta_ms", "plmta_ms"),
-        ),
+        "late arrival": (is_out() & (event == "PE_ETA"), _same(lta, late_arr), late_arr),
         "late departure": (
             is_out() & event.isin("PE_ETD", "PE_ETR"),
-            _same(ltd, ("ptd_ms", "pmtd_ms", "plmtd_ms")) | _same(lta, ("pta_ms", "pmta_ms", "plmta_ms")),
-            no_control,
+            _same(ltd, late_dep) | _same(lta, late_arr),
+            late_dep + late_arr,
         ),
     }
     name = F
     for rule, (cond, _, _) in rules.items():
         name = name.when(cond, rule)
-    ruled = legs.withColumn("rule", name.otherwise("projected"))
-    usual = dep | arrivals(dep)
-    columns = {}
-    for field in PROJECTED:
-        value, published = F, F
-        for rule, (_, values, pubs) in rules.items():
+
+    def ruled(field: str, otherwise: Column) -> Column:
+        value = F
+        for rule, (_, values, _) in rules.items():
             value = value.when(F.col("rule") == rule, values.get(field, F.col(field)))
-            published = published.when(F.col("rule") == rule, F.lit(field in pubs))
-        columns[f"new_{field}"] = value.otherwise(usual[field])
-        columns[f"pub_{field}"] = published.otherwise(F.lit(True))
-    return ruled.withColumns(columns)
+        return value.otherwise(otherwise)
+
+    def published(field: str) -> Column:
+        return F.col("rule").isin("projected", *[r for r, (_, _, pubs) in rules.items() if field in pubs])
+
+    # Departures first: the arrivals build on them and must not repeat them.
+    dep = departures()
+    timed = legs.withColumn("rule", name.otherwise("projected")).withColumns(
+        {f"new_{f}": ruled(f, dep[f]) for f in DEP}
+    )
+    arr = arrivals({f: F.col(f"new_{f}") for f in DEP})
+    timed = timed.withColumns({f"_arr_{f}": arr[f] for f in ARR}).withColumns(
+        {f"new_{f}": ruled(f, usual_arr[f]) for f in ARR}
+    )
+    return timed.withColumns({f"pub_{f}": published(f) for f in PROJECTED}).drop(*[f"_arr_{f}" for f in ARR])
 
 
 # Published field -> change event type.
@@ -288,6 +297,42 @@ def change_events(changes: DataFrame, maintenance_with_control: bool = False) ->
     return changes.select("flight_key", "request_id", F.inline(rows))
 
 
+def published_times(changes: DataFrame) -> DataFrame:
+    """Rows to store: changed fields of the live legs, whole rows of a what-if.
+
+    A live row (snapshot 0) holds a value only where the field changed, so a
+    null leaves the stored one; a what-if row replaces its snapshot.
+    """
+    live = F.col("request_id") == "0"
+    beside = {"ptd_ms": ("pmtd_ms",), "pta_ms": ("pmta_ms",)}
+    columns = {}
+    for field in CHANGE_EVENTS:
+        for f in (field, *beside.get(field, ())):
+            columns[f] = F.when(~live | F.col(f"chg_{field}"), F.col(f"new_{f}"))
+        columns[f"prev_{field}"] = F.when(~live | F.col(f"chg_{field}"), F.col(field))
+    any_change = F.greatest(*[F.coalesce(F.col(f"chg_{f}"), F.lit(False)) for f in CHANGE_EVENTS])
+    # Generated, not filtered: a pushed-down filter would repeat the whole projection.
+    row = F.when(~live | any_change, F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return changes.select("flight_key", F.col("request_id").alias("snapshot_id"), F.inline(row))
+
+
+def maintenance_return(legs: DataFrame, tails: DataFrame) -> DataFrame:
+    """Resource row for an aircraft out of service whose maintenance departure is later.
+
+    Optional beside `resource_ready`; on a return-time event the turn is added.
+    """
+    etr = F.col("pe_event") == "PE_ETR"
+    served = tail_ready(legs, tails, turn_minutes())
+    due = etr | (F.coalesce("ots", F.lit(False)) & (F.col("pmtd_ms") > F.col("ptd_ms")))
+    ready = F.col("pmtd_ms") + F.when(etr, turn_minutes() * MINUTE).otherwise(0)
+    return served.filter(due & F.col("pmtd_ms").isNotNull()).select(
+        "flight_key",
+        F.col("flight_key").alias("resource_key"),
+        F.lit("EQUIPMENT").alias("resource_type"),
+        ready.alias("ready_mntc_ms"),
+    )
+
+
 def problems(projected: DataFrame, reseed: bool = False) -> DataFrame:
     """Delay problem rows for projected and controlled departures and arrivals.
 

@@ -92,6 +92,16 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.change_events(p.change_set(_projected(spark, sf_dir)))
 
 
+def published_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the projection writes back to the flight times."""
+    return p.published_times(p.change_set(_projected(spark, sf_dir)))
+
+
+def maintenance_return(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = state.wide_legs(spark, sf_dir).rows()
+    return p.maintenance_return(wide, state.tails(spark, sf_dir))
+
+
 def reseed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change events of a reseed: every field, changed or not."""
     return p.change_events(p.change_set(_projected(spark, sf_dir), reseed=True), maintenance_with_control=True)
@@ -175,6 +185,8 @@ QUERIES = {
         times_change_set,
         stored_change_set,
         change_events,
+        published_times,
+        maintenance_return,
         reseed_events,
         problem_rows,
         mntc_times,
@@ -354,6 +366,24 @@ FROM wide WHERE leg_status = 'CANCELLED' OR pe_event = 'PE_CANCEL'""",
     )
     + " FROM wide",
     "change_events": _PROJ + "," + _CHG + _events_sql("chg WHERE chg_{f} AND"),
+    "published_times": _PROJ
+    + ","
+    + _CHG
+    + "SELECT flight_key, request_id AS snapshot_id, "
+    + ", ".join(
+        f"CASE WHEN request_id <> '0' OR chg_{f} THEN new_{n} END AS {n}"
+        for f, n in (*((f, f) for f in p.CHANGE_EVENTS), ("ptd_ms", "pmtd_ms"), ("pta_ms", "pmta_ms"))
+    )
+    + ", "
+    + ", ".join(f"CASE WHEN request_id <> '0' OR chg_{f} THEN {f} END AS prev_{f}" for f in p.CHANGE_EVENTS)
+    + " FROM chg WHERE request_id <> '0' OR "
+    + " OR ".join(f"chg_{f}" for f in p.CHANGE_EVENTS),
+    "maintenance_return": with_(LEGS, FLIGHTS, state.wide_sql(), state.TAILS_SQL)
+    + """
+SELECT w.flight_key, w.flight_key AS resource_key, 'EQUIPMENT' AS resource_type,
+       pmtd_ms + CASE WHEN pe_event = 'PE_ETR' THEN coalesce(ogt_min, 0) * 60000 ELSE 0 END AS ready_mntc_ms
+FROM wide w LEFT JOIN tails t ON t.airline = w.airline AND t.tail = w.tail
+WHERE pmtd_ms IS NOT NULL AND (pe_event = 'PE_ETR' OR (coalesce(t.ots, false) AND pmtd_ms > ptd_ms))""",
     "reseed_events": _PROJ
     + _events_sql(
         "proj WHERE",
