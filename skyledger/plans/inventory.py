@@ -237,7 +237,7 @@ stat AS (
 _LEDGER = """
 led AS (
   SELECT *, CAST(sum(on_hand) OVER w AS BIGINT) AS balance, CAST(sum(on_hand - reserved) OVER w AS BIGINT) AS available
-  FROM moves WINDOW w AS (PARTITION BY product_id, location_id ORDER BY ts_ms, step, order_id, line_no, supplier_id
+  FROM moves WINDOW w AS (PARTITION BY product_id, location_id ORDER BY ts_ms, step, order_id, line_no, supplier_id, on_hand, reserved, damaged
                           ROWS UNBOUNDED PRECEDING))"""
 _SALES = """
 sales AS (SELECT product_id, CAST(sum(units) AS BIGINT) AS units, CAST(sum(revenue_e4) AS BIGINT) AS revenue_e4

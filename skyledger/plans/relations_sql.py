@@ -21,7 +21,7 @@ legs AS (
                30 + CAST(floor(l_quantity) AS BIGINT) AS air_min,
                20 + (l_partkey % 5) * 10 AS mogt_min,
                row_number() OVER (PARTITION BY l_orderkey
-                 ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS leg_seq
+                 ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity) AS leg_seq
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey)))
 )"""
 

@@ -49,7 +49,7 @@ def legs(spark: SparkSession, sf_dir: str) -> Ordered:
     ranked = Ordered.of(
         joined,
         keys=["chain_id"],
-        order=["ship_us", "line_no", "part_id", "supp_id"],
+        order=["ship_us", "line_no", "part_id", "supp_id", "qty"],
         coarse=F.col("ship_us") * 8 + F.least("line_no", F.lit(7)),
         hashes=hashes,
     ).scan(rank("leg_seq"))
