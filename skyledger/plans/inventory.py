@@ -251,7 +251,6 @@ po AS (
     CASE WHEN line_status = 'F' THEN order_ms + (10 + l.product_id % 30) * 86400000 END AS received_ms,
     CASE WHEN line_status = 'F' THEN 'RECEIVED' WHEN return_flag = 'N' THEN 'CONFIRMED' ELSE 'SENT' END AS status
   FROM lines l JOIN prod p ON p.product_id = l.product_id)"""
-_M = with_(_LINES, _MOVES)
 _L = with_(_LINES, _MOVES, _LEVELS)
 _REPORT = (
     _L

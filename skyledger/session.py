@@ -21,6 +21,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller made."""
     for key, value in SETTINGS.items():
@@ -57,9 +60,9 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="skyledger-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="skyledger-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

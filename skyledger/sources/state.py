@@ -47,8 +47,8 @@ TIMES = {
     "request_type": "CASE WHEN supp_id % 4 = 0 THEN 'SWAP_WHATIF' WHEN supp_id % 9 = 0 THEN 'HEATWHATIF' ELSE 'LIVE' END",
     "request_id": "CASE WHEN supp_id % 4 = 0 THEN '7' ELSE '0' END",
 }
-# What-if rows exist for some legs only.
-SNAP_GIVEN = "supp_id % 4 = 0 AND part_id % 2 = 0"
+# What-if rows exist for the legs of a swap what-if.
+SNAP_GIVEN = "request_type = 'SWAP_WHATIF'"
 SNAP = {
     "pta_ms": "CASE WHEN part_id % 3 <> 0 THEN pta_ms + 900000 END",
     "ptd_ms": "ptd_ms + 900000",
