@@ -56,14 +56,22 @@ def legs(spark: SparkSession, sf_dir: str) -> Ordered:
 
     std = F.col("order_ms") + (F.col("leg_seq") - 1) * (120 * MINUTE)
     df = (
-        ranked.df.withColumn("std_ms", std)
-        .withColumn("air_min", F.lit(30) + F.col("qty"))
-        .withColumn("mogt_min", F.lit(20) + F.col("part_id") % 5 * 10)
-        .withColumn("sta_ms", F.col("std_ms") + F.col("air_min") * MINUTE)
-        .withColumn("ltd_ms", F.col("std_ms") + F.when(F.col("supp_id") % 7 == 0, 25 * MINUTE).otherwise(0))
-        .withColumn("lta_ms", F.greatest("sta_ms", "ltd_ms"))
+        ranked.df.withColumns(
+            {
+                "std_ms": std,
+                "air_min": F.lit(30) + F.col("qty"),
+                "mogt_min": F.lit(20) + F.col("part_id") % 5 * 10,
+            }
+        )
+        .withColumns(
+            {
+                "sta_ms": F.col("std_ms") + F.col("air_min") * MINUTE,
+                "ltd_ms": F.col("std_ms") + F.when(F.col("supp_id") % 7 == 0, 25 * MINUTE).otherwise(0),
+            }
+        )
         .withColumns(
             {
+                "lta_ms": F.greatest("sta_ms", "ltd_ms"),
                 "ptd_ms": F.col("ltd_ms"),
                 "pta_ms": F.greatest(F.col("sta_ms"), F.col("ltd_ms") + F.col("air_min") * MINUTE),
                 "equip_ready_ms": F.when(
