@@ -9,10 +9,6 @@ from skyledger.functions.fixed_values import CANCEL_EVENT_STATUSES, POSITIVE_ONL
 from skyledger.functions.scalars import changed
 from skyledger.operators.ordered import Ordered, previous, running_max
 
-# Arrivals per block when one flight holds very many records: a block never has
-# more rows than this, since the arrival number is unique.
-BLOCK_ARRIVALS = 65_536
-
 
 def in_arrival_order(records: DataFrame) -> Ordered:
     """Records with a source time, in arrival order within their flight."""
@@ -20,7 +16,6 @@ def in_arrival_order(records: DataFrame) -> Ordered:
         records.filter(F.col("source_ts_ms").isNotNull()),
         keys=["flight_key"],
         order=["event_id"],
-        coarse=F.floor(F.col("event_id") / BLOCK_ARRIVALS),
     )
 
 
@@ -102,7 +97,6 @@ def advance(
         rows,
         keys=["flight_key"],
         order=["_new", "event_id"],
-        coarse=F.when(F.col("_new") == 0, -1).otherwise(F.floor(F.col("event_id") / BLOCK_ARRIVALS)),
     )
     paired = _pairs(accepted(line), columns)
     last = F.max_by(F.struct(*wanted[1:]), F.struct("_new", "event_id"))

@@ -107,7 +107,6 @@ def ledger(moves: DataFrame) -> Ordered:
         prepared,
         keys=["product_id", "location_id"],
         order=["ts_ms", "step", "order_id", "line_no", "supplier_id", "on_hand", "reserved", "damaged"],
-        coarse=F.floor(F.col("ts_ms") / DAY),
     )
     return line.scan(running_sum("on_hand", "balance"), running_sum("_free", "available"))
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import Ordered, hot_hashes, last_known
+from skyledger.operators.ordered import Ordered, last_known
+from skyledger.session import settle
 
-HOUR = 3_600_000
 _FLIGHT_KEY = ("airline", "flight_date", "flight_number", "arr_station", "snapshot_id")
 
 
@@ -60,13 +60,19 @@ def overlay_row(live: DataFrame, snap: DataFrame, request: str, columns: Sequenc
     ).drop("_s", "_s_key")
 
 
+def _joined_text(*parts: Column) -> Column:
+    """Parts as one text, each behind its length; null if any part is null, and never equal otherwise."""
+    return F.concat(*[F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in parts])
+
+
 def _match_key(airline: str, date: str, number: str, station: str, snapshot: str) -> Column:
-    return F.concat_ws("|", *[F.lower(F.col(c)) for c in (airline, date, number, station, snapshot)])
+    """The five columns without case; null, which matches nothing, if one of them is null."""
+    return _joined_text(*[F.lower(F.col(c)) for c in (airline, date, number, station, snapshot)])
 
 
 def candidate_counts(candidates: DataFrame) -> DataFrame:
-    """Candidates per match key and tail, with the key of the only one."""
-    return candidates.groupBy("_match", F.col("tail").alias("_tail")).agg(
+    """Candidates per match key and tail without case, with the key of the only one."""
+    return candidates.filter("_match IS NOT NULL").groupBy("_match", F.lower("tail").alias("_tail")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("flight_key").alias("_only")
     )
 
@@ -99,7 +105,7 @@ def previous_leg_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
     same = per_tail.filter(F.col("_tail").isNotNull()).select(
         "_match", F.col("_tail").alias("tail"), F.col("_n").alias("_n_same"), F.col("_only").alias("_only_same")
     )
-    named = wanted.withColumn("_want", spread_nulls("_match")).withColumn("_craft", spread_nulls("tail"))
+    named = wanted.withColumn("_want", spread_nulls("_match")).withColumn("_craft", F.lower(spread_nulls("tail")))
     joined = (
         named.join(per_key.withColumnRenamed("_match", "_want"), "_want", "left")
         .join(same.withColumnsRenamed({"_match": "_want", "tail": "_craft"}), ["_want", "_craft"], "left")
@@ -121,12 +127,12 @@ def previous_leg_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
 
 def _offers(flights: DataFrame) -> DataFrame:
     """Candidates under their groups: by tail or tail unknown, and all together."""
-    match = _match_key(*_FLIGHT_KEY)
-    own = F.when(F.col("tail").isNull(), F.concat_ws("|", match, F.lit("free"))).otherwise(
-        F.concat_ws("|", match, F.lit("tail"), "tail")
+    match = F.col("_match")
+    own = F.when(F.col("tail").isNull(), _joined_text(match, F.lit("free"))).otherwise(
+        _joined_text(match, F.lit("tail"), F.lower("tail"))
     )
-    return flights.select(
-        F.explode(F.array(own, F.concat_ws("|", match, F.lit("every")))).alias("grp"),
+    return flights.withColumn("_match", _match_key(*_FLIGHT_KEY)).filter("_match IS NOT NULL").select(
+        F.explode(F.array(own, _joined_text(match, F.lit("every")))).alias("grp"),
         "std_ms",
         F.lit(0).alias("asks"),
         "flight_key",
@@ -136,8 +142,9 @@ def _offers(flights: DataFrame) -> DataFrame:
 
 def _questions(current: DataFrame) -> DataFrame:
     """Legs under the groups they may choose from."""
-    every = F.array(F.concat_ws("|", "_match", F.lit("every")))
-    known = F.array(F.concat_ws("|", "_match", F.lit("tail"), "tail"), F.concat_ws("|", "_match", F.lit("free")))
+    match = F.col("_match")
+    every = F.array(_joined_text(match, F.lit("every")))
+    known = F.array(_joined_text(match, F.lit("tail"), F.lower("tail")), _joined_text(match, F.lit("free")))
     return current.select(
         F.explode(F.when(F.col("tail").isNull(), every).otherwise(known)).alias("grp"),
         "std_ms",
@@ -147,19 +154,20 @@ def _questions(current: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_earlier(several: DataFrame, flights: DataFrame, hashes: list[int]) -> DataFrame:
+def _nearest_earlier(several: DataFrame, flights: DataFrame) -> DataFrame:
     """Latest kept candidate departing no later than the leg, other than itself.
 
-    Candidates and legs are laid in one sequence per match group; each leg reads
-    the last candidate before it, and the one before that for the case that the
-    last is the leg itself.  `hashes` are those of the very large groups.
+    Only groups that some leg asks for are laid out.  Candidates and legs stand in
+    one sequence per match group; each leg reads the last candidate before it, and
+    the one before that for the case that the last is the leg itself.
     """
+    asked = settle(_questions(several), "asked")
+    groups = settle(asked.select("grp").distinct(), "groups")
+    offered = _offers(flights).join(groups, "grp", "left_semi")
     line = Ordered.of(
-        _offers(flights).unionByName(_questions(several)),
+        settle(offered.unionByName(asked), "offers"),
         keys=["grp"],
         order=["std_ms", "asks", "flight_key"],
-        coarse=F.floor(F.col("std_ms") / HOUR),
-        hashes=hashes,
     ).scan(last_known("cand", "_before", inclusive=False))
     pair = F.when(F.col("asks") == 0, F.struct("cand", "_before"))
     line = line.on(line.df.withColumn("pair", pair)).scan(last_known("pair", "last"))
@@ -178,10 +186,9 @@ def _nearest_earlier(several: DataFrame, flights: DataFrame, hashes: list[int])
 def resolve_previous_leg(current: DataFrame, flights: DataFrame) -> DataFrame:
     """Previous leg of every flight and the rule that settled it."""
     counted = previous_leg_counts(current, flights)
+    counted = settle(counted, "counted")
     several = counted.filter((F.col("n_candidates") > 1) & (F.col("n_after_tail") > 1))
-    # Group sizes come from the plain tables, before the counts narrow them.
-    groups = _offers(flights).unionByName(_questions(_wanted(current).filter("_match IS NOT NULL")))
-    near = _nearest_earlier(several, flights, hot_hashes(groups, ["grp"]))
+    near = _nearest_earlier(several, flights)
     rule = (
         F.when(F.col("n_candidates") == 0, "none")
         .when(F.col("n_candidates") == 1, "single")

@@ -1,15 +1,17 @@
 """Ordered scans over keyed rows that stay parallel when one key is very large.
 
 A window partitioned by the key alone puts every row of that key in one task.
-Here keys that are too large are cut into *blocks* along the order, each block
-is scanned on its own, and one small row per block carries the result of all
-earlier blocks forward.  Ordinary keys stay in a single block, and when no key
-is large the plan is a plain window with no extra join.
-
-`hot_hashes` finds the large keys with a frequent-items sketch: one narrow
-column is read, nothing is shuffled by key, and only the few heavy entries
-reach the driver.  Which keys are cut never changes a result, so the sketch may
-be approximate; it is evaluated once, so all branches of a plan agree.
+Here the rows of keys that are too large are range-partitioned along key and
+order into *blocks* of a bounded number of rows; each block is scanned on its
+own, and one small row per block carries the result of all earlier blocks
+forward.  Ordinary keys stay whole, and when no key is large the plan is a plain
+window with no extra join.
+
+`hot_hashes` counts the rows of each key: one narrow column, summed before the
+shuffle, and only the keys above the limit reach the driver, at most one per
+`limit` rows of input.  Blocks follow the same order as the windows (nulls
+first), and the cut rows are written once, so all branches of a plan agree and
+which keys are cut never changes a result.
 """
 
 from __future__ import annotations
@@ -20,42 +22,45 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyledger.session import settle
+
 BLOCK = "_block"
 HOT_ROWS_CONF = "spark.skyledger.hotKeyRows"
 HOT_ROWS_DEFAULT = 1_000_000
-# Sketch size: a key above 3.5 / 2**16 of the rows is always reported, and at
-# most 4096 keys can each hold more than 1/4096 of the rows.
-SKETCH_ITEMS = 65_536
-MAX_HOT_KEYS = 4_096
+# Rows per block of a large key; by default the same limit.
+BLOCK_ROWS_CONF = "spark.skyledger.blockRows"
+# Beyond so many large keys a lookup is left to the skew handling of the join.
+MOST_BROADCAST_KEYS = 4_096
+
+
+def _limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str]) -> list[int]:
     """Hashes of the keys holding more rows than one task should scan.
 
-    Two keys with the same hash are both treated as large, which is harmless.
+    Two keys with the same hash are counted together, which is harmless.
     """
-    limit = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-    sketch = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {MAX_HOT_KEYS}, {SKETCH_ITEMS})").alias("top")
-    )
-    top = sketch.first()["top"] or []
-    return sorted(entry["item"] for entry in top if entry["count"] > limit)
+    counts = df.select(F.xxhash64(*keys).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r.h for r in counts.filter(F.col("n") > _limit(df)).select("h").collect())
 
 
 def hot_frame(df: DataFrame, hashes: Sequence[int]) -> DataFrame:
-    """The large-key hashes as a small frame (at most MAX_HOT_KEYS rows)."""
+    """The large-key hashes as a frame, at most one row per `limit` rows of input."""
     return df.sparkSession.createDataFrame([(h,) for h in hashes], "_hot long")
 
 
 def lookup_join(
     left: DataFrame, right: DataFrame, key: str, hashes: Sequence[int], how: str = "left"
 ) -> DataFrame:
-    """Join to a right side that has at most one row per key.
+    """Join to a right side that has few rows per key.
 
     Rows of large keys meet a broadcast of the right rows for those keys only
-    (at most MAX_HOT_KEYS rows); all other rows take the ordinary join.
+    (at most MOST_BROADCAST_KEYS keys); all other rows, and all rows when more
+    keys are large, take the ordinary join.
     """
-    if not hashes:
+    if not hashes or len(hashes) > MOST_BROADCAST_KEYS:
         return left.join(right, key, how)
     hot = F.broadcast(hot_frame(left, hashes))
     matches = F.xxhash64(key) == F.col("_hot")
@@ -164,29 +169,32 @@ class Ordered:
         df: DataFrame,
         keys: Sequence[str],
         order: Sequence[str],
-        coarse: Column,
         hashes: Sequence[int] | None = None,
     ) -> "Ordered":
-        """Order `df`; `coarse` must never decrease along `order`."""
+        """Order `df`; `order` must be free of ties within a key."""
         found = hot_hashes(df, keys) if hashes is None else list(hashes)
         if not found:
             return cls(df, tuple(keys), tuple(order))
         hot = F.broadcast(hot_frame(df, found))
-        cut = (
-            df.join(hot, F.xxhash64(*keys) == F.col("_hot"), "left")
-            .withColumn(BLOCK, F.when(F.col("_hot").isNotNull(), coarse.cast("long")))
-            .drop("_hot")
-        )
-        return cls(cut, tuple(keys), tuple(order), True, tuple(found))
+        matches = F.xxhash64(*keys) == F.col("_hot")
+        large = df.join(hot, matches, "left_semi")
+        rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(_limit(df))))
+        blocks = large.repartitionByRange(max(2, -(-large.count() // rows)), *keys, *order)
+        cut = settle(blocks.withColumn(BLOCK, F.spark_partition_id().cast("long")), "blocks")
+        whole = df.join(hot, matches, "left_anti").withColumn(BLOCK, F.lit(None).cast("long"))
+        return cls(whole.unionByName(cut), tuple(keys), tuple(order), True, tuple(found))
 
     def window(self) -> Window:
         """Window over one block (the whole key unless it was cut)."""
         parts = (*self.keys, BLOCK) if self.split else self.keys
         return Window.partitionBy(*parts).orderBy(*self.order)
 
-    def on(self, df: DataFrame) -> "Ordered":
-        """The same order over a frame derived row by row from this one."""
-        return Ordered(df, self.keys, self.order, self.split, self.hashes)
+    def on(self, df: DataFrame, more_keys: Sequence[str] = ()) -> "Ordered":
+        """The same order over a frame derived row by row from this one.
+
+        `more_keys` are columns that split the keys further.
+        """
+        return Ordered(df, (*self.keys, *more_keys), self.order, self.split, self.hashes)
 
     def carry(self, df: DataFrame, totals: dict[str, Column], carried: dict[str, Callable]) -> DataFrame:
         """One row per block of the large keys with values from earlier blocks.
@@ -203,8 +211,12 @@ class Ordered:
         return blocks.select(*self.keys, BLOCK, *[f(over).alias(n) for n, f in carried.items()])
 
     def with_carry(self, df: DataFrame, carry: DataFrame) -> DataFrame:
-        """Attach a carry frame to the rows of its block."""
-        return df.join(carry, [*self.keys, BLOCK], "left")
+        """Attach a carry frame to the rows of its block; null keys are keys like others."""
+        named = carry.withColumnsRenamed({k: f"_of_{k}" for k in (*self.keys, BLOCK)})
+        same = F.col(BLOCK) == F.col(f"_of_{BLOCK}")
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        return df.join(named, same, "left").drop(*[f"_of_{k}" for k in (*self.keys, BLOCK)])
 
     def scan(self, *scans: Scan) -> "Ordered":
         """Add the output column of each scan."""

@@ -50,7 +50,6 @@ def legs(spark: SparkSession, sf_dir: str) -> Ordered:
         joined,
         keys=["chain_id"],
         order=["ship_us", "line_no", "part_id", "supp_id", "qty"],
-        coarse=F.col("ship_us") * 8 + F.least("line_no", F.lit(7)),
         hashes=hashes,
     ).scan(rank("leg_seq"))
 
@@ -156,7 +155,6 @@ def crew_assignments(legs_: DataFrame, hashes: list[int]) -> DataFrame:
         cols,
         keys=["duty"],
         order=["std_ms", "chain_id", "leg_seq"],
-        coarse=F.floor(F.col("std_ms") / DAY),
         hashes=hashes,
     ).scan(previous("_me", "_prev"), following("_me", "_next"))
     seats = F.when(

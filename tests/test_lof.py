@@ -26,13 +26,15 @@ def run(spark, legs, events, limit=None, strict=False):
     """Emitted legs as {(chain, seq): (ptd, pta, equip, cabin, cockpit)} in minutes."""
     if limit:
         spark.conf.set("spark.skyledger.hotKeyRows", str(limit))
+        spark.conf.set("spark.skyledger.blockRows", "40")
     try:
         df = spark.createDataFrame(legs, SCHEMA)
-        line = Ordered.of(df, ["chain_id"], ["leg_seq"], df.leg_seq.cast("long") / 2)
+        line = Ordered.of(df, ["chain_id"], ["leg_seq"])
         done = lof.apply_delay(lof.attach_events(line, spark.createDataFrame(events, EVENT_SCHEMA)), strict)
         rows = lof.emitted_legs(done).collect()
     finally:
         spark.conf.unset("spark.skyledger.hotKeyRows")
+        spark.conf.unset("spark.skyledger.blockRows")
     small = lambda v: None if v is None else v / M
     return {
         (r.chain_id, r.leg_seq): tuple(
@@ -166,3 +168,29 @@ def test_cancel_twice_is_cancel_once(spark):
 def test_unreadable_value_emits_nothing(spark):
     chain = [leg(1, 1, 30, 90, 60, 30, 90)]
     assert run(spark, chain, [(1, 1, "ACTUAL_OFF_CHANGE", "late", None)]) == {}
+
+
+def test_two_events_of_a_chain_do_not_mix(spark):
+    chain = [leg(1, 1, 30, 90, 60, 0, 60), leg(1, 2, 100, 160, 60, 100, 160)]
+    df = spark.createDataFrame(chain, SCHEMA)
+    events = spark.createDataFrame(
+        [(1, 1, "DEP_DLY_EVENT", None, None), (1, 1, "ACTUAL_IN_CHANGE", str(120 * M), None)], EVENT_SCHEMA
+    )
+    done = lof.apply_delay(lof.attach_events(Ordered(df, ("chain_id",), ("leg_seq",)), events))
+    got = sorted((r.leg_seq, r.ptd_ms // M, r.pta_ms // M) for r in lof.emitted_legs(done).collect())
+    assert got == [(1, 0, 120), (1, 30, 90), (2, 120, 180), (2, 130, 190)]
+    assert sorted(r.legs_seen for r in lof.audit(done).collect()) == [2, 2]
+
+
+def test_fold_carries_only_chains_with_events(spark):
+    legs = [leg(c, s, 100 * s, 100 * s + 60, 60, 100 * s, 100 * s + 60) for c in (1, 2) for s in (1, 2)]
+    line = Ordered(spark.createDataFrame(legs, SCHEMA), ("chain_id",), ("leg_seq",))
+    events = spark.createDataFrame(
+        [(1, 1, "ACTUAL_OFF_CHANGE", str(150 * M), None, 1), (1, 2, "ACTUAL_OFF_CHANGE", str(400 * M), None, 2)],
+        EVENT_SCHEMA + ", event_rank int",
+    )
+    passes = []
+    done = lof.fold_events(line, events, lambda d: d, passes.append)
+    got = {(r.chain_id, r.leg_seq): r.ptd_ms // M for r in done.df.collect()}
+    assert got == {(1, 1): 150, (1, 2): 400, (2, 1): 100, (2, 2): 200}
+    assert len(passes) == 2

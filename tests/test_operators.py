@@ -1,10 +1,24 @@
 """Operators on small hand-made inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from skyledger.operators import graph, lookup, project, sinks
 from skyledger.session import settle
-from skyledger.operators.ordered import HOT_ROWS_CONF, Ordered, hot_hashes, lookup_join, previous, rank, running_sum
+from skyledger.operators.ordered import (
+    BLOCK_ROWS_CONF,
+    HOT_ROWS_CONF,
+    Ordered,
+    following,
+    hot_hashes,
+    last_known,
+    lookup_join,
+    previous,
+    rank,
+    running_max,
+    running_sum,
+)
 
 LEG = (
     "flight_key string, flight_date string, std_ms long, sta_ms long, ltd_ms long, lta_ms long, ptd_ms long, "
@@ -143,9 +157,10 @@ def test_one_key_with_a_third_of_the_rows(spark):
         F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("t"), F.lit(1).alias("one")
     )
     spark.conf.set(HOT_ROWS_CONF, "5000")
+    spark.conf.set(BLOCK_ROWS_CONF, "700")
     try:
         found = hot_hashes(rows, ["k"])
-        line = Ordered.of(rows.withColumn("me", F.struct("t")), ["k"], ["t"], F.floor(F.col("t") / 700))
+        line = Ordered.of(rows.withColumn("me", F.struct("t")), ["k"], ["t"])
         scanned = line.scan(running_sum("one", "n"), rank("r"), previous("me", "before")).rows().filter("k = -1")
         joined = lookup_join(
             rows, spark.createDataFrame([(-1, "hot"), (5, "cold")], "k long, name string"), "k", found, "inner"
@@ -157,3 +172,56 @@ def test_one_key_with_a_third_of_the_rows(spark):
         assert {(r.name, r["count"]) for r in joined.groupBy("name").count().collect()} == {("hot", 10_000), ("cold", 1)}
     finally:
         spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.unset(BLOCK_ROWS_CONF)
+
+
+def test_cut_keys_never_change_a_scan(spark):
+    """Null order values, null keys, ties broken late and one very full moment: cut against uncut."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        key = rng.choice(["hot", "hot", "hot", None, "cold"])
+        moment = rng.choice([None, 5, 5, 5, rng.randrange(100)])
+        rows.append((key, moment, rng.choice([None, i % 3]), i, rng.choice([None, rng.randrange(50)])))
+    df = spark.createDataFrame(rows, "k string, t long, u long, i long, v long").withColumn("me", F.struct("i"))
+
+    def scanned():
+        line = Ordered.of(df, ["k"], ["t", "u", "i"])
+        return line.split, sorted(
+            map(
+                tuple,
+                line.scan(
+                    running_sum("i", "total"),
+                    running_max("v", "most", inclusive=False),
+                    rank("place"),
+                    last_known("v", "known", inclusive=False),
+                    previous("me", "before"),
+                    following("me", "after"),
+                )
+                .rows()
+                .select("i", "total", "most", "place", "known", "before.i", "after.i")
+                .collect(),
+            )
+        )
+
+    split, whole = scanned()
+    assert not split
+    for block in ("7", "60"):
+        spark.conf.set(HOT_ROWS_CONF, "50")
+        spark.conf.set(BLOCK_ROWS_CONF, block)
+        try:
+            split, cut = scanned()
+        finally:
+            spark.conf.unset(HOT_ROWS_CONF)
+            spark.conf.unset(BLOCK_ROWS_CONF)
+        assert split and cut == whole
+
+
+def test_null_parts_never_match_and_tails_ignore_case(spark):
+    lost = flight("lost", None, "Q", "T1", 10, "9", None)
+    leg = flight("me", "Z", None, "T1", 100)
+    assert resolve(spark, [lost, leg])["me"] == ("none", None)
+    shifted = ("shift", "A", "A", "2024-01-01", "X", "Q", "0", "T1", 10, None, None)
+    assert resolve(spark, [shifted, flight("me", "Z", "X", "T1", 100)])["me"] == ("none", None)
+    cands = [flight("p1", "X", "Q", "t2", 10, "9", None), flight("p2", "X", "Q", "T3", 20, "9", None)]
+    assert resolve(spark, [*cands, flight("me", "Z", "X", "T2", 100)])["me"] == ("tail", "p1")

@@ -4,12 +4,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.functions.fixed_values import STATUS_CHANGES, TIMES_CHANGES
-from skyledger.operators import diff
+from skyledger.operators import diff, lof
+from skyledger.operators.ordered import Ordered
 from skyledger.plans import events as plans
-from skyledger.session import run_dir
+from skyledger.session import run_dir, settle
 from skyledger.sources.raw_events import raw_events
 from skyledger.sources.tables import SCHEMAS, table
-from skyledger.streaming import changes
+from skyledger.streaming import changes, delays
+from tests.test_lof import EVENT_SCHEMA as EVENTS
+from tests.test_lof import SCHEMA as LEGS
+from tests.test_lof import M, leg
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +77,28 @@ def test_a_batch_that_runs_again_replaces_itself(spark):
     for _ in range(2):
         _, events, _ = diff.advance(state, second, {"S": "s"})
         assert [r.value for r in events.collect()] == ["OFF"]
+
+
+def test_delay_stream_folds_events_and_moves_its_state(spark):
+    """Three batches on two chains, two events of one chain in one batch, against one fold over all."""
+    legs = [leg(c, s, 100 * s, 100 * s + 60, 60, 100 * s, 100 * s + 60) for c in (1, 2) for s in (1, 2, 3)]
+    line = Ordered(spark.createDataFrame(legs, LEGS), ("chain_id",), ("leg_seq",))
+    events = [
+        [(1, 1, 1, "ACTUAL_OFF_CHANGE", str(150 * M), None), (2, 1, 2, "ACTUAL_OFF_CHANGE", str(310 * M), None)],
+        [(3, 2, 1, "ACTUAL_IN_CHANGE", str(230 * M), None)],
+        [(4, 1, 3, "CANCEL", None, None), (5, 1, 1, "ACTUAL_IN_CHANGE", str(400 * M), None)],
+    ]
+    schema = f"event_id long, {EVENTS}"
+    source = run_dir(spark, "delay-source")
+    for batch in events:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    folder = run_dir(spark, "delay-run")
+    legs_path, audit_path = delays.run_delays(incoming, line, folder)
+    ranked = delays.ranked(spark.createDataFrame([e for b in events for e in b], schema))
+    want = lof.fold_events(line, ranked, lambda d: settle(d, "test")).df
+    got = delays.current(line.df, want.select("chain_id").distinct(), spark.read.parquet(f"{folder}/state"))
+    key = ["chain_id", "leg_seq", *lof.STORED]
+    assert sorted(map(tuple, got.select(*key).collect()), key=repr) == sorted(map(tuple, want.select(*key).collect()), key=repr)
+    audit = spark.read.schema(delays.AUDIT_SCHEMA).parquet(audit_path)
+    assert audit.count() == 5
