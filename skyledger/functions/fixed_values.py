@@ -79,3 +79,6 @@ DELAY_TYPES = (
     "ACTUAL_IN_CHANGE",
     "CANCEL",
 )
+
+# Request types of what-if runs.
+WHATIF_REQUESTS = ("HEATWHATIF", "HEATWHATIF_NOACTION", "SWAP_WHATIF")

@@ -10,6 +10,11 @@ from skyledger.functions.scalars import changed
 from skyledger.operators.ordered import Ordered, previous, running_max
 
 
+def quarantined(records: DataFrame) -> DataFrame:
+    """Records without a source time: they cannot be compared and are kept apart, with the reason."""
+    return records.filter(F.col("source_ts_ms").isNull()).withColumn("error", F.lit("no source time"))
+
+
 def in_arrival_order(records: DataFrame) -> Ordered:
     """Records with a source time, in arrival order within their flight."""
     return Ordered.of(
@@ -27,6 +32,16 @@ def accepted(records: Ordered) -> Ordered:
     )
 
 
+def disposition(records: DataFrame) -> DataFrame:
+    """What becomes of every record: accepted, late or quarantined."""
+    slim = records.select("flight_key", "event_id", "source_ts_ms")
+    marked = in_arrival_order(slim).scan(running_max("source_ts_ms", "_latest", inclusive=False)).rows()
+    passed = F.col("_latest").isNull() | (F.col("source_ts_ms") > F.col("_latest"))
+    timed = marked.select("flight_key", "event_id", F.when(passed, "accepted").otherwise("late").alias("disposition"))
+    apart = quarantined(slim).select("flight_key", "event_id", F.lit("quarantined").alias("disposition"))
+    return timed.unionByName(apart)
+
+
 def unpivot_changes(tracked: dict[str, str], old: str | None, extra: list[Column] = ()) -> Column:
     """Array of (event_type, value) for the tracked columns that changed.
 
@@ -81,12 +96,13 @@ def atomic_events(records: DataFrame, tracked: dict[str, str], with_cancel: bool
 
 
 def advance(
-    state: DataFrame | None, batch: DataFrame, tracked: dict[str, str], with_cancel: bool = False
+    state: DataFrame | None, batch: DataFrame, tracked: dict[str, str], with_cancel: bool = False, keep=None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One micro-batch: (rows both results derive from, change events, new state).
 
-    The state holds the last accepted record of every flight and comes first in
-    its flight's order; the batch follows in arrival order.
+    The state holds the last accepted record of the batch's flights and comes first
+    in its flight's order; the batch follows in arrival order.  `keep` writes the rows
+    that both results derive from and reads them back.
     """
     columns = tracked_columns(tracked, with_cancel)
     wanted = ("flight_key", "event_id", "source_ts_ms", *columns)
@@ -99,6 +115,7 @@ def advance(
         order=["_new", "event_id"],
     )
     paired = _pairs(accepted(line), columns)
+    paired = keep(paired) if keep else paired
     last = F.max_by(F.struct(*wanted[1:]), F.struct("_new", "event_id"))
     new_state = paired.groupBy("flight_key").agg(last.alias("r")).select("flight_key", "r.*")
     return paired, emit(paired.filter("_new = 1"), tracked, with_cancel), new_state

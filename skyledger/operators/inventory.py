@@ -30,17 +30,19 @@ def _move(kind: str, when: Column, hand: Column, reserved: Column, damaged: Colu
     )
 
 
-def movements(lines: DataFrame, openings: DataFrame) -> DataFrame:
-    """All stock movements as signed rows.
+def movements(lines: DataFrame, locations: DataFrame) -> DataFrame:
+    """All stock movements of order lines as signed rows.
 
     An open order reserves and a cancelled line of it releases; other lines
-    sell.  The first line of an order is supplied from the next location by a
-    transfer pair.  Returned goods come back sellable or damaged, and some
-    accepted goods are written off.
+    sell.  The first line of an order is supplied from the next location of the
+    location table by a transfer pair.  Returned goods come back sellable or
+    damaged, and some accepted goods are written off.
     """
+    # The location table is a reference list; a location that it lacks supplies itself.
+    lines = lines.join(F.broadcast(locations.select("location_id", "next_location_id")), "location_id", "left")
     units, zero, here = F.col("units"), F.lit(0).cast("long"), F.col("location_id")
     ship, open_order = F.col("ship_ms"), F.col("order_status") == "P"
-    source = (here + 1) % 25
+    source = F.coalesce("next_location_id", "location_id")
     returned = ~open_order & (F.col("return_flag") == "R")
     first = F.col("line_no") == 1
     items = F.array(
@@ -62,11 +64,16 @@ def movements(lines: DataFrame, openings: DataFrame) -> DataFrame:
             _move("RETURN_DAMAGED", ship + 10 * DAY, zero, zero, units, here),
         ),
     )
-    moved = lines.select(
+    return lines.select(
         "product_id", "order_id", "line_no", "supplier_id", F.inline(F.filter(items, lambda x: x.isNotNull()))
     )
-    none = F.lit(-1).cast("long")
-    start = openings.select(
+
+
+def with_openings(moved: DataFrame, products: DataFrame, opening: Column) -> DataFrame:
+    """Movements and, for every product at every location they touch, its opening stock."""
+    none, zero = F.lit(-1).cast("long"), F.lit(0).cast("long")
+    positions = moved.select("product_id", "location_id").distinct()
+    start = positions.join(products.select("product_id", opening.alias("_opening")), "product_id").select(
         "product_id",
         none.alias("order_id"),
         none.alias("line_no"),
@@ -75,19 +82,26 @@ def movements(lines: DataFrame, openings: DataFrame) -> DataFrame:
         zero.alias("step"),
         zero.alias("ts_ms"),
         "location_id",
-        units.alias("on_hand"),
+        F.col("_opening").alias("on_hand"),
         zero.alias("reserved"),
         zero.alias("damaged"),
     )
     return start.unionByName(moved)
 
 
-def stock_levels(moves: DataFrame) -> DataFrame:
-    """On hand, reserved, available and damaged units per product and location."""
-    return (
-        moves.groupBy("product_id", "location_id")
-        .agg(F.sum("on_hand").alias("on_hand"), F.sum("reserved").alias("reserved"), F.sum("damaged").alias("damaged"))
-        .withColumn("available", F.col("on_hand") - F.col("reserved"))
+def stock_levels(moved: DataFrame, products: DataFrame, opening: Column) -> DataFrame:
+    """On hand, reserved, available and damaged units per product and location with movements.
+
+    The opening stock is added once per position, after the movements are summed.
+    """
+    sums = moved.groupBy("product_id", "location_id").agg(
+        F.sum("on_hand").alias("moved"), F.sum("reserved").alias("reserved"), F.sum("damaged").alias("damaged")
+    )
+    opened = sums.join(products.select("product_id", opening.alias("_opening")), "product_id")
+    on_hand = F.col("_opening") + F.col("moved")
+    return opened.select(
+        "product_id", "location_id", on_hand.alias("on_hand"), "reserved", "damaged",
+        (on_hand - F.col("reserved")).alias("available"),
     )
 
 
@@ -95,9 +109,11 @@ def status_of(available: Column, reorder_point: Column) -> Column:
     return F.when(available <= 0, "out").when(available <= F.coalesce(reorder_point, F.lit(0)), "low").otherwise("in")
 
 
-def stock_status(levels: DataFrame, thresholds: DataFrame) -> DataFrame:
-    joined = levels.join(thresholds, ["product_id", "location_id"], "left")
-    return joined.withColumn("status", status_of(F.col("available"), F.col("reorder_point")))
+def stock_status(levels: DataFrame, products: DataFrame, point: Column, quantity: Column) -> DataFrame:
+    """Levels with the reorder rule of their product and location, and their status."""
+    joined = levels.join(products.select("product_id", "size"), "product_id", "left")
+    ruled = joined.withColumns({"reorder_point": point, "reorder_qty": quantity}).drop("size")
+    return ruled.withColumn("status", status_of(F.col("available"), F.col("reorder_point")))
 
 
 def ledger(moves: DataFrame) -> Ordered:
@@ -111,9 +127,10 @@ def ledger(moves: DataFrame) -> Ordered:
     return line.scan(running_sum("on_hand", "balance"), running_sum("_free", "available"))
 
 
-def low_stock_alerts(moves: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """One alert each time the balance falls to the threshold, until it recovers."""
-    rows = ledger(moves).rows().join(thresholds, ["product_id", "location_id"])
+def low_stock_alerts(moves: DataFrame, products: DataFrame, point: Column, quantity: Column) -> DataFrame:
+    """One alert each time the balance falls to the reorder point, until it recovers."""
+    sized = ledger(moves).rows().join(products.select("product_id", "size"), "product_id")
+    rows = sized.withColumns({"reorder_point": point, "reorder_qty": quantity})
     low = F.col("balance") <= F.col("reorder_point")
     before = (F.col("balance") - F.col("on_hand") <= F.col("reorder_point")) & (F.col("kind") != "OPENING")
     return rows.filter(low & ~before).select(
@@ -127,7 +144,7 @@ def stock_rollup(levels: DataFrame, locations: DataFrame) -> DataFrame:
     Units are summed per location first, so the rollup sees a few rows only.
     """
     small = levels.groupBy("location_id").agg(F.sum("on_hand").alias("on_hand"), F.sum("available").alias("available"))
-    joined = small.join(F.broadcast(locations), "location_id")
+    joined = small.join(F.broadcast(locations.select("location_id", "region")), "location_id")
     return joined.rollup("region", "location_id").agg(
         F.sum("on_hand").alias("on_hand"),
         F.sum("available").alias("available"),

@@ -51,9 +51,13 @@ _RESOURCE = (
 )
 
 
-def resource_ready(legs: DataFrame, crew: DataFrame, tails: DataFrame, with_crew: bool = True) -> DataFrame:
+def resource_ready(
+    legs: DataFrame, crew: DataFrame, tails: DataFrame, with_crew: bool = True, times: DataFrame | None = None
+) -> DataFrame:
     """One row per resource a leg waits for: its aircraft and each crew member.
 
+    `times` holds the legs they come from, by default the same legs.
+
     Without an inbound leg the aircraft still gives a row when it is out of
     service in a swap what-if, with the return to service as latest time.
     """
@@ -61,7 +65,8 @@ def resource_ready(legs: DataFrame, crew: DataFrame, tails: DataFrame, with_crew
     turn = turn_minutes()
     with_tail = tail_ready(legs, tails, turn)
     service = F.when(swap_tail, F.coalesce("tail_ready_ms", F.lit(0))).otherwise(F.lit(0))
-    craft = inbound(with_tail, legs, "prev_leg_key", INBOUND_TIMES)
+    times = legs if times is None else times
+    craft = inbound(with_tail, times, "prev_leg_key", INBOUND_TIMES)
     found = F.col("in_flight_key").isNotNull()
     measures = ready_measures(turn, F.col("pe_event") == "PE_CONTINUED")
     zero = F.lit(0)
@@ -84,7 +89,7 @@ def resource_ready(legs: DataFrame, crew: DataFrame, tails: DataFrame, with_crew
     if not with_crew:
         return equipment
     asked = legs.select("flight_key", "request_type")
-    people = inbound(crew.join(asked, "flight_key"), legs, "prev_flight_key", INBOUND_TIMES, "inner")
+    people = inbound(crew.join(asked, "flight_key"), times, "prev_flight_key", INBOUND_TIMES, "inner")
     persons = people.withColumns(
         {
             **ready_measures(F.col("turn_min"), F.lit(False)),

@@ -102,14 +102,14 @@ def times_records(raw: DataFrame, as_of_ms: Column, as_of_date: Column) -> DataF
         Rule("lta_ms", ("SKDCHNG",), "times.sta", sta_ts, given="_future"),
         Rule("ltd_ms", ("CONTINUATION",), "times.std", std_ts),
         Rule("lta_ms", ("CONTINUATION",), "times.sta", sta_ts),
-        full("pta_fos_ms", "times.pta"),
-        always("pta_fos_ms", ("DCSN", "ETD", "EON", "ETO", "ETA", "OFF", "ON", "OUT", "OVR", *STUB_EVENTS), "times.pta"),
-        Rule("pta_fos_ms", ("CONTINUATION",), "times.sta", sta_ts),
-        Rule("pta_fos_ms", ("CONTINUATION",), "times.pta", "_eff", present=True),
-        full("ptd_fos_ms", "times.ptd"),
-        always("ptd_fos_ms", ("DCSN", "ETD", "OUT", *STUB_EVENTS), "times.ptd"),
-        Rule("ptd_fos_ms", ("CONTINUATION",), "times.std", std_ts),
-        Rule("ptd_fos_ms", ("CONTINUATION",), "times.ptd", "_eff", present=True),
+        full("pta_feed_ms", "times.pta"),
+        always("pta_feed_ms", ("DCSN", "ETD", "EON", "ETO", "ETA", "OFF", "ON", "OUT", "OVR", *STUB_EVENTS), "times.pta"),
+        Rule("pta_feed_ms", ("CONTINUATION",), "times.sta", sta_ts),
+        Rule("pta_feed_ms", ("CONTINUATION",), "times.pta", "_eff", present=True),
+        full("ptd_feed_ms", "times.ptd"),
+        always("ptd_feed_ms", ("DCSN", "ETD", "OUT", *STUB_EVENTS), "times.ptd"),
+        Rule("ptd_feed_ms", ("CONTINUATION",), "times.std", std_ts),
+        Rule("ptd_feed_ms", ("CONTINUATION",), "times.ptd", "_eff", present=True),
         full("eon_ms", "times.eon"),
         always("eon_ms", ("EON", "ETO"), "times.eon"),
         Rule("eon_ms", ("OVR",), "times.eon", "_eff", present=True),

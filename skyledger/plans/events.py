@@ -91,17 +91,31 @@ def late_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per flight: records, distinct records by value, and repeats of the one before."""
-    raw = _raw(spark, sf_dir).select("flight_key", "event_id", "source_ts_ms", F.upper("raw_event").alias("event"))
-    value = F.struct("flight_key", "event")
-    rows = diff.in_arrival_order(raw.withColumn("_value", value)).scan(diff.previous("_value", "_old")).rows()
+    """Per flight: records, distinct records by value and by hash, and repeats of the one before.
+
+    Two records are equal in flight key, payload, arrival station and previous leg.
+    """
+    raw = _raw(spark, sf_dir)
+    prior = F.concat_ws("/", "linkage.prior_num", "linkage.prior_date")
+    slim = raw.select(
+        "flight_key", "event_id", "source_ts_ms", F.upper("raw_event").alias("payload"),
+        F.col("stations.arr").alias("arrival"), F.when(F.col("linkage").isNotNull(), prior).alias("previous"),
+    )
+    value = F.struct("flight_key", "payload", "arrival", "previous")
+    rows = diff.in_arrival_order(slim.withColumn("_value", value)).scan(diff.previous("_value", "_old")).rows()
     return rows.groupBy("flight_key").agg(
         F.count(F.lit(1)).alias("records"),
-        F.countDistinct("event").alias("distinct_records"),
+        F.countDistinct("_value").alias("distinct_records"),
+        F.countDistinct(F.xxhash64("flight_key", "payload", "arrival", "previous")).alias("distinct_hashes"),
         F.count_if(F.col("_value").eqNullSafe(F.col("_old"))).alias("repeats"),
     )
 
 
+def event_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every raw event once: accepted, late or quarantined."""
+    return diff.disposition(_raw(spark, sf_dir))
+
+
 QUERIES = {
     "times_routing": times_routing,
     "status_routing": status_routing,
@@ -113,6 +127,7 @@ QUERIES = {
     "equipment_diff": equipment_diff,
     "late_guard": late_guard,
     "record_equality": record_equality,
+    "event_disposition": event_disposition,
 }
 
 
@@ -176,12 +191,12 @@ livetimes AS (
     {_filled("out_ms", "times_actual_out", True, "OFF OUT RTD", "", "UNFLY")},
     {_filled("ogt_min", "times_ogt_min", True, _OGT)},
     {_filled("door_close_ms", "times_door_close", False, "DCS")},
-    CASE WHEN ev = 'CONTINUATION' THEN coalesce(times_pta, times_sta) WHEN {_in(_FULL + " " + _PTA)} THEN times_pta END AS pta_fos_ms,
+    CASE WHEN ev = 'CONTINUATION' THEN coalesce(times_pta, times_sta) WHEN {_in(_FULL + " " + _PTA)} THEN times_pta END AS pta_feed_ms,
     CASE WHEN ev = 'CONTINUATION' THEN CASE WHEN times_pta IS NOT NULL THEN eff ELSE sta_at END
-         WHEN {_in(_PTA)} THEN eff WHEN {_in(_FULL)} AND times_pta IS NOT NULL THEN eff END AS pta_fos_ts,
-    CASE WHEN ev = 'CONTINUATION' THEN coalesce(times_ptd, times_std) WHEN {_in(_FULL + " " + _PTD)} THEN times_ptd END AS ptd_fos_ms,
+         WHEN {_in(_PTA)} THEN eff WHEN {_in(_FULL)} AND times_pta IS NOT NULL THEN eff END AS pta_feed_ts,
+    CASE WHEN ev = 'CONTINUATION' THEN coalesce(times_ptd, times_std) WHEN {_in(_FULL + " " + _PTD)} THEN times_ptd END AS ptd_feed_ms,
     CASE WHEN ev = 'CONTINUATION' THEN CASE WHEN times_ptd IS NOT NULL THEN eff ELSE std_at END
-         WHEN {_in(_PTD)} THEN eff WHEN {_in(_FULL)} AND times_ptd IS NOT NULL THEN eff END AS ptd_fos_ts,
+         WHEN {_in(_PTD)} THEN eff WHEN {_in(_FULL)} AND times_ptd IS NOT NULL THEN eff END AS ptd_feed_ts,
     CASE WHEN {_in(_FULL + " " + _TAXI)} THEN tin_s // 60 WHEN ev = 'RETURN' THEN times_ogt_min END AS pred_taxi_in_min,
     CASE WHEN {_in(_FULL + " " + _TAXI)} AND tin_s IS NOT NULL THEN eff
          WHEN ev = 'RETURN' AND times_ogt_min IS NOT NULL THEN eff END AS pred_taxi_in_min_ts,
@@ -364,8 +379,16 @@ WHERE status_leg IN ('CANCELLED', 'CANCELLED_VIA_XL') AND status_dep IS DISTINCT
     "late_guard": _RAW + "," + _kept("base") + "SELECT flight_key, event_id, source_ts_ms FROM kept",
     "record_equality": _RAW
     + """
-SELECT flight_key, count(*) AS records, count(DISTINCT ev) AS distinct_records,
-       count(*) FILTER (ev IS NOT DISTINCT FROM old) AS repeats
-FROM (SELECT *, lag(ev) OVER (PARTITION BY flight_key ORDER BY event_id) AS old FROM base WHERE source_ts_ms IS NOT NULL)
+SELECT flight_key, count(*) AS records, count(DISTINCT v) AS distinct_records, count(DISTINCT v) AS distinct_hashes,
+       count(*) FILTER (v = old) AS repeats
+FROM (SELECT *, lag(v) OVER (PARTITION BY flight_key ORDER BY event_id) AS old
+      FROM (SELECT *, concat_ws('|', ev, coalesce(stations_arr, '~'), CASE WHEN has_linkage
+              THEN concat_ws('/', linkage_prior_num, linkage_prior_date) ELSE '~' END) AS v FROM base WHERE source_ts_ms IS NOT NULL))
 GROUP BY flight_key""",
+    "event_disposition": _RAW
+    + """
+SELECT flight_key, event_id, CASE WHEN source_ts_ms IS NULL THEN 'quarantined'
+    WHEN latest IS NULL OR source_ts_ms > latest THEN 'accepted' ELSE 'late' END AS disposition
+FROM (SELECT *, max(source_ts_ms) OVER (PARTITION BY flight_key ORDER BY event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM base)""",
 }

@@ -10,18 +10,20 @@ from skyledger.operators import lookup
 from skyledger.operators import project as p
 from skyledger.plans import projection
 from skyledger.plans.relations_sql import CREW, FLIGHTS, LEGS, with_
-from skyledger.session import settle
+from skyledger.session import run_dir, settle
 from skyledger.sources import state
 from skyledger.sources.flights import crew_assignments, hot_duties
 
-ROUNDS = 4
+# Rounds that the check SQL writes out; it fails when the last one leaves legs to visit.
+SQL_ROUNDS = 30
 STATE = (
     "flight_key", "flight_date", "std_ms", "sta_ms", "ltd_ms", "lta_ms", "ptd_ms", "pctd_ms", "pmtd_ms", "plmtd_ms",
     "pta_ms", "pcta_ms", "pmta_ms", "plmta_ms", "ctd_ms", "cta_ms", "taxi_out_min", "taxi_in_min", "pred_air_min",
-    "leg_status", "dep_status", "arr_status", "prev_leg_key",
+    "leg_status", "dep_status", "arr_status", "prev_leg_key", "airline", "tail", "ogt_min", "request_type", "request_id",
+    "pe_event", "out_ms", "off_ms", "on_ms", "in_ms",
 )
 # What links, waits and crew duties read besides.
-LINKED = ("next_leg_key", "ogt_min", "part_id", "supp_id", "chain_id", "leg_seq", "line_no")
+LINKED = ("next_leg_key", "part_id", "supp_id", "chain_id", "leg_seq", "line_no")
 
 
 def _links(spark: SparkSession, sf_dir: str):
@@ -49,20 +51,20 @@ def inbound_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, sf_dir: str, cancel_continues: bool = False) -> DataFrame:
-    """Propagate from every leg that departs later than scheduled."""
+    """Propagate from every leg that departs later than scheduled, by its own event and request."""
     wide, crew = _links(spark, sf_dir)
     crew = settle(crew, "crew")
     legs = wide.select(*STATE)
-    links = settle(g.edges(wide, crew), "links")
-    waiting = settle(g.waits(wide, crew), "waits")
-    roots = legs.filter("ltd_ms > std_ms").select("flight_key", "flight_date")
-    return g.propagate(legs, links, waiting, roots, ROUNDS, settle, cancel_continues)[0]
+    links = settle(g.linked(g.edges(wide, crew), legs), "links")
+    roots = legs.filter("ltd_ms > std_ms").select("flight_key", "flight_date", "request_id", "request_type")
+    people = crew.select("flight_key", "duty_key", "seat", "prev_flight_key", "turn_min")
+    return g.propagate(legs, links, people, state.tails(spark, sf_dir), roots, run_dir(spark, "rounds"), cancel_continues)[0]
 
 
 def _shown(log: DataFrame) -> DataFrame:
     return log.select(
-        F.col("round").cast("long").alias("round"), "root_key", "flight_key", "last_key", "resource_type", "arrivals",
-        "errors", "children", "continues", "new_ptd_ms", "new_pta_ms", "new_pcta_ms",
+        F.col("round").cast("long").alias("round"), "root_key", "request_id", "flight_key", "last_key", "resource_type",
+        "arrivals", "errors", "children", "continues", *[f"new_{f}" for f in p.PROJECTED],
         F.array_join("path", ",").alias("path"),
     )
 
@@ -94,19 +96,23 @@ def continue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One step on and any step further: which second steps return onto the path."""
-    links = g.edges(*_links(spark, sf_dir))
-    there = links.filter("resource_type = 'EQUIPMENT'").select(F.col("src").alias("start"), F.col("dst").alias("at"))
+    """Two steps on from every leg, the second also over links turned round, so that paths loop."""
+    wide, crew = _links(spark, sf_dir)
+    links = g.edges(wide, crew)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "resource_type")
-    steps = links.unionByName(back).distinct()
-    walked = there.withColumn("path", F.array_sort(F.array("start", "at"))).join(steps, F.col("at") == F.col("src"))
-    return walked.select(
-        "start",
-        "at",
-        "dst",
+    both = g.linked(links.unionByName(back).distinct(), wide)
+    start = wide.select(
+        F.col("flight_key").alias("root_key"), F.col("flight_date").alias("root_date"), "request_id",
+        F.lit(False).alias("swap"), "flight_key", F.array("flight_key").alias("path"),
+    )
+    first = g.follow(start, g.linked(links.filter("resource_type = 'EQUIPMENT'"), wide)).filter("error IS NULL")
+    return g.follow(first.drop("last_key", "resource_type", "error"), both).select(
+        F.col("root_key").alias("start"),
+        F.col("last_key").alias("at"),
+        F.col("flight_key").alias("dst"),
         "resource_type",
-        F.array_contains("path", F.col("dst")).alias("cyclic"),
-        F.array_join(F.array_sort(F.array_union("path", F.array("dst"))), ",").alias("path"),
+        "error",
+        F.array_join("path", ",").alias("path"),
     )
 
 
@@ -184,46 +190,46 @@ waits AS (
 _ALL = (LEGS, FLIGHTS, state.wide_sql(), CREW, _LINKS)
 
 
+def _step_sql(r: int) -> str:
+    """Resources, ready times and projection of the frontier legs, from the pieces of the projection's SQL."""
+    event = "" if r == 0 else "REPLACE ('PE_CONTINUED' AS pe_event)"
+    named = {"wide w": f"w{r} w", "wide i": f"s{r} i", "FROM served": f"FROM served{r}", "FROM craft": f"FROM craft{r}",
+             "FROM res ": f"FROM res{r} ", "mx m": f"mx{r} m", "FROM dep)": f"FROM dep{r})", "FROM ruled)": f"FROM ruled{r})"}
+    pieces = []
+    for text in (projection._EQUIPMENT, projection._RES, projection._MAX, projection._DEP, projection._RULED):
+        for old, new in named.items():
+            text = text.replace(old, new)
+        for name in ("served", "craft", "res", "mx", "dep", "ruled", "proj"):
+            text = text.replace(f"\n{name} AS (", f"\n{name}{r} AS MATERIALIZED (")
+        pieces.append(text)
+    return f"""
+w{r} AS MATERIALIZED (SELECT * {event} FROM s{r} WHERE flight_key IN (SELECT flight_key FROM f{r} WHERE error IS NULL)),""" + ",".join(pieces)
+
+
 def _round_sql(r: int, cancel_continues: bool) -> str:
-    patched = "wide" if r == 0 else f"s{r}"
-    fields = "ptd_ms, pctd_ms, pta_ms, pcta_ms".split(", ")
-    air = "coalesce(pred_air_min, (sta_ms - std_ms) // 60000) * 60000"
-    state_cte = "" if r == 0 else f"""
+    fields = p.PROJECTED
+    moved = " OR ".join(f"(new_{f} IS NOT NULL AND new_{f} IS DISTINCT FROM {f})" for f in fields)
+    state_cte = "s0 AS (SELECT * FROM wide)," if r == 0 else f"""
 s{r} AS MATERIALIZED (
-  SELECT w.* REPLACE ({", ".join(f"CASE WHEN n.flight_key IS NULL THEN w.{f} ELSE n.new_{f} END AS {f}" for f in fields)})
-  FROM {"wide" if r == 1 else f"s{r - 1}"} w LEFT JOIN rec{r - 1} n ON n.flight_key = w.flight_key),"""
-    stop = "" if cancel_continues else "AND leg_status <> 'CANCELLED'"
-    return f"""{state_cte}
-rec{r} AS MATERIALIZED (
-  SELECT *, CASE WHEN leg_status = 'CANCELLED' THEN std_ms ELSE d_ptd END AS new_ptd_ms,
-    CASE WHEN leg_status = 'CANCELLED' THEN std_ms ELSE d_pctd END AS new_pctd_ms,
-    CASE WHEN leg_status = 'CANCELLED' THEN sta_ms WHEN arr_status IN ('ON', 'IN') THEN lta_ms
-         ELSE greatest(lta_ms, d_ptd + {air}) END AS new_pta_ms,
-    CASE WHEN leg_status = 'CANCELLED' THEN sta_ms WHEN arr_status IN ('ON', 'IN') THEN lta_ms
-         ELSE greatest(lta_ms, d_pctd + {air}, CASE WHEN leg_status <> 'ROUTE_OUT' THEN cta_ms + taxi_in_min * 60000 END)
-         END AS new_pcta_ms
-  FROM (SELECT w.*,
-      CASE WHEN dep_status IN ('OUT', 'OFF') THEN ltd_ms ELSE greatest(ltd_ms, r) END AS d_ptd,
-      CASE WHEN dep_status IN ('OUT', 'OFF') THEN ltd_ms ELSE greatest(ltd_ms, rc,
-           CASE WHEN leg_status <> 'ROUTE_OUT' THEN ctd_ms - taxi_out_min * 60000 END) END AS d_pctd
-    FROM {patched} w LEFT JOIN (
-      SELECT a.flight_key, max(coalesce(i.pta_ms, i.lta_ms) + a.turn_min * 60000) AS r,
-             max(coalesce(i.pcta_ms, i.lta_ms) + a.turn_min * 60000) AS rc
-      FROM waits a JOIN {patched} i ON i.flight_key = a.prev_key GROUP BY a.flight_key) q ON q.flight_key = w.flight_key
-    WHERE w.flight_key IN (SELECT flight_key FROM f{r} WHERE error IS NULL))),
+  SELECT w.* REPLACE ({", ".join(f"coalesce(n.new_{f}, w.{f}) AS {f}" for f in fields)})
+  FROM s{r - 1} w LEFT JOIN (SELECT * FROM proj{r - 1} WHERE {moved}) n ON n.flight_key = w.flight_key),"""
+    stop = "" if cancel_continues else "AND c.leg_status <> 'CANCELLED'"
+    return f"""{state_cte}{_step_sql(r)},
 v{r} AS MATERIALIZED (
-  SELECT f.*, c.new_ptd_ms, c.new_pta_ms, c.new_pcta_ms,
-    CASE WHEN f.error IS NULL {stop.replace("leg_status", "c.leg_status")}
-      AND (c.new_pta_ms IS DISTINCT FROM c.pta_ms OR c.new_pcta_ms IS DISTINCT FROM c.pcta_ms)
-      AND c.new_pcta_ms - c.sta_ms < 172800000 AND CAST(c.flight_date AS DATE) - CAST(f.root_date AS DATE) < 2
+  SELECT f.*, {", ".join(f"c.new_{f}" for f in fields)},
+    CASE WHEN f.error IS NULL {stop}
+      AND (c.new_pta_ms IS NOT NULL AND c.new_pta_ms IS DISTINCT FROM c.pta_ms
+        OR c.new_pcta_ms IS NOT NULL AND c.new_pcta_ms IS DISTINCT FROM c.pcta_ms OR f.swap AND c.new_plmta_ms IS NOT NULL)
+      AND coalesce(c.new_pcta_ms, c.new_pta_ms) - c.sta_ms < 172800000 AND CAST(c.flight_date AS DATE) - CAST(f.root_date AS DATE) < 2
       THEN true ELSE false END AS continues
-  FROM f{r} f LEFT JOIN rec{r} c ON c.flight_key = f.flight_key),
+  FROM f{r} f LEFT JOIN proj{r} c ON c.flight_key = f.flight_key),
 f{r + 1} AS MATERIALIZED (
-  SELECT root_key, min(root_date) AS root_date, flight_key, count(*) AS arrivals, count(error) AS errors,
+  SELECT root_key, min(root_date) AS root_date, min(request_id) AS request_id, bool_or(swap) AS swap, flight_key,
+    count(*) AS arrivals, count(error) AS errors,
     arg_min(last_key, o) AS last_key, arg_min(resource_type, o) AS resource_type, arg_min(path, o) AS path,
     CASE WHEN count(error) = count(*) THEN min(error) END AS error
   FROM (SELECT *, {{'e': error IS NOT NULL, 'l': last_key, 't': resource_type, 'p': path}} AS o
-    FROM (SELECT v.root_key, v.root_date, l.dst AS flight_key, l.src AS last_key, l.resource_type,
+    FROM (SELECT v.root_key, v.root_date, v.request_id, v.swap, l.dst AS flight_key, l.src AS last_key, l.resource_type,
         list_sort(list_distinct(list_append(v.path, l.dst))) AS path,
         CASE WHEN l.resource_type = 'EQUIPMENT' AND list_contains(v.path, l.dst) THEN 'cyclic path'
              WHEN l.resource_type = 'EQUIPMENT' AND w.prev_leg_key <> l.src THEN 'previous leg differs' END AS error
@@ -234,23 +240,27 @@ f{r + 1} AS MATERIALIZED (
 def _log_sql(cancel_continues: bool = False) -> str:
     first = """
 f0 AS MATERIALIZED (
-  SELECT flight_key AS root_key, flight_date AS root_date, flight_key, 1 AS arrivals, 0 AS errors,
-    CAST(NULL AS VARCHAR) AS last_key, CAST(NULL AS VARCHAR) AS resource_type, [flight_key] AS path, CAST(NULL AS VARCHAR) AS error
+  SELECT flight_key AS root_key, flight_date AS root_date, request_id, request_type = 'SWAP_WHATIF' AS swap, flight_key,
+    1 AS arrivals, 0 AS errors, CAST(NULL AS VARCHAR) AS last_key, CAST(NULL AS VARCHAR) AS resource_type,
+    [flight_key] AS path, CAST(NULL AS VARCHAR) AS error
   FROM wide WHERE ltd_ms > std_ms)"""
     log = "\nUNION ALL ".join(
-        f"""SELECT CAST({r} AS BIGINT) AS round, v.root_key, v.flight_key, v.last_key, v.resource_type,
-  CAST(v.arrivals AS BIGINT) AS arrivals, CAST(v.errors AS BIGINT) AS errors, v.continues, v.new_ptd_ms, v.new_pta_ms,
-  v.new_pcta_ms, array_to_string(v.path, ',') AS path,
+        f"""SELECT CAST({r} AS BIGINT) AS round, v.root_key, v.request_id, v.flight_key, v.last_key, v.resource_type,
+  CAST(v.arrivals AS BIGINT) AS arrivals, CAST(v.errors AS BIGINT) AS errors, v.continues,
+  {", ".join(f"v.new_{f}" for f in p.PROJECTED)}, array_to_string(v.path, ',') AS path,
   CASE WHEN v.continues THEN coalesce(d.n, 0) ELSE 0 END AS children
 FROM v{r} v LEFT JOIN degree d ON d.src = v.flight_key"""
-        for r in range(ROUNDS)
+        for r in range(SQL_ROUNDS)
     )
     return with_(
         *_ALL,
+        state.TAILS_SQL,
         "degree AS (SELECT src, count(*) AS n FROM links GROUP BY src)",
         first,
-        *[_round_sql(r, cancel_continues) for r in range(ROUNDS)],
-        f"visits AS ({log})",
+        *[_round_sql(r, cancel_continues) for r in range(SQL_ROUNDS)],
+        f"""visits AS ({log}
+UNION ALL SELECT error('legs are left after the last round'), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  {", ".join("NULL" for _ in p.PROJECTED)}, NULL, NULL FROM f{SQL_ROUNDS})""",
     )
 
 
@@ -286,9 +296,11 @@ FROM proj q LEFT JOIN wide i ON i.flight_key = q.prev_leg_key""",
     "cycle_guard": with_(*_ALL)
     + """,
 steps AS (SELECT src, dst, resource_type FROM links UNION SELECT dst, src, resource_type FROM links)
-SELECT a.src AS start, a.dst AS at, b.dst, b.resource_type, b.dst IN (a.src, a.dst) AS cyclic,
+SELECT a.src AS start, a.dst AS at, b.dst, b.resource_type,
+       CASE WHEN b.resource_type = 'EQUIPMENT' AND b.dst IN (a.src, a.dst) THEN 'cyclic path'
+            WHEN b.resource_type = 'EQUIPMENT' AND w.prev_leg_key <> b.src THEN 'previous leg differs' END AS error,
        array_to_string(list_sort(list_distinct([a.src, a.dst, b.dst])), ',') AS path
-FROM links a JOIN steps b ON b.src = a.dst WHERE a.resource_type = 'EQUIPMENT'""",
+FROM links a JOIN steps b ON b.src = a.dst JOIN wide w ON w.flight_key = b.dst WHERE a.resource_type = 'EQUIPMENT'""",
     "calculated_markers": _WIDE
     + "SELECT flight_key, 'PE_CALCULATED' AS event_type, prev_leg_key FROM wide WHERE request_type = 'LIVE'",
     "ron_flag": _WIDE

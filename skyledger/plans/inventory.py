@@ -11,7 +11,7 @@ from skyledger.operators import project as p
 from skyledger.plans import lof as lof_plans
 from skyledger.plans import projection
 from skyledger.plans.relations_sql import LEGS, with_
-from skyledger.session import run_dir
+from skyledger.session import run_dir, settle
 from skyledger.sources import flights, state, stock
 from skyledger.sources.tables import table
 
@@ -19,24 +19,41 @@ from skyledger.sources.tables import table
 AS_OF_MS = 902_016_000_000
 
 
-def opening_units():
-    return F.col("size") * (2 * stock.LOCATIONS)
+_MOVED = (
+    "product_id", "order_id", "line_no", "supplier_id", "location_id", "units", "ship_ms", "order_status", "return_flag",
+    "line_status", "untaxed",
+)
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.movements(stock.order_lines(spark, sf_dir), stock.openings(stock.products(spark, sf_dir)))
+def _opening():
+    return stock.opening_units(F.col("size"))
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.stock_levels(_moves(spark, sf_dir))
+def _rule():
+    return stock.reorder_point(F.col("size"), F.col("location_id")), stock.reorder_qty(F.col("size"))
+
+
+def planned_opening(spark: SparkSession, sf_dir: str):
+    """Opening units of a product over all locations of the location table."""
+    return _opening() * stock.locations(spark, sf_dir).count()
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inv.movements(stock.order_lines(spark, sf_dir, *_MOVED), stock.locations(spark, sf_dir))
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All movements with openings, written once because the ledger reads them several times."""
+    moved = settle(_moved(spark, sf_dir), "moved")
+    return settle(inv.with_openings(moved, stock.products(spark, sf_dir), _opening()), "moves")
 
 
-def _thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stock.thresholds(stock.products(spark, sf_dir))
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inv.stock_levels(_moved(spark, sf_dir), stock.products(spark, sf_dir), _opening())
 
 
 def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.stock_status(_levels(spark, sf_dir), _thresholds(spark, sf_dir))
+    return inv.stock_status(_levels(spark, sf_dir), stock.products(spark, sf_dir), *_rule())
 
 
 def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +65,7 @@ def stock_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_stock_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.low_stock_alerts(_moves(spark, sf_dir), _thresholds(spark, sf_dir))
+    return inv.low_stock_alerts(_moves(spark, sf_dir), stock.products(spark, sf_dir), *_rule())
 
 
 def stock_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +96,11 @@ def order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.sales_trend(stock.order_lines(spark, sf_dir))
+    return inv.sales_trend(stock.order_lines(spark, sf_dir, "order_ms", "units", "revenue_e4"))
 
 
 def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.product_sales(stock.order_lines(spark, sf_dir))
+    return inv.product_sales(stock.order_lines(spark, sf_dir, "product_id", "units", "revenue_e4"))
 
 
 def top_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,16 +108,16 @@ def top_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slow_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.slow_movers(stock.products(spark, sf_dir), _sales(spark, sf_dir), opening_units())
+    return inv.slow_movers(stock.products(spark, sf_dir), _sales(spark, sf_dir), planned_opening(spark, sf_dir))
 
 
 def order_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.order_value(stock.order_lines(spark, sf_dir))
+    return inv.order_value(stock.order_lines(spark, sf_dir, "customer_id", "order_id", "revenue_e4", "order_ms"))
 
 
 def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.turnover(
-        stock.products(spark, sf_dir), _sales(spark, sf_dir), _levels(spark, sf_dir), opening_units()
+        stock.products(spark, sf_dir), _sales(spark, sf_dir), _levels(spark, sf_dir), planned_opening(spark, sf_dir)
     )
 
 
@@ -109,7 +126,7 @@ def stock_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def po_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suppliers = inv.preferred_suppliers(stock.order_lines(spark, sf_dir))
+    suppliers = inv.preferred_suppliers(stock.order_lines(spark, sf_dir, "product_id", "supplier_id"))
     return inv.po_suggestions(_status(spark, sf_dir), suppliers, AS_OF_MS)
 
 
@@ -118,15 +135,15 @@ def po_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.supplier_score(stock.purchase_orders(spark, sf_dir))
+    return inv.supplier_score(stock.purchase_orders(spark, sf_dir, with_value=False))
 
 
 def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.dashboard(
         _status(spark, sf_dir),
         stock.products(spark, sf_dir),
-        stock.order_lines(spark, sf_dir),
-        stock.purchase_orders(spark, sf_dir),
+        stock.order_lines(spark, sf_dir, "order_id", "order_ms"),
+        stock.purchase_orders(spark, sf_dir, with_value=False),
         AS_OF_MS,
     )
 
@@ -203,12 +220,12 @@ lines AS (
          epoch_ms(o_orderdate) AS order_ms, epoch_ms(l_shipdate) AS ship_ms
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"""
 _MOVES = """
-moves AS (
-  SELECT product_id, CAST(-1 AS BIGINT) AS order_id, CAST(-1 AS BIGINT) AS line_no, CAST(-1 AS BIGINT) AS supplier_id,
-    'OPENING' AS kind, 0 AS step, CAST(0 AS BIGINT) AS ts_ms, unnest(range(25)) AS location_id, size * 2 AS on_hand,
-    CAST(0 AS BIGINT) AS reserved, CAST(0 AS BIGINT) AS damaged FROM prod
-  UNION ALL SELECT product_id, order_id, line_no, supplier_id, 'TRANSFER_OUT', 1, ship_ms - 86400000, (location_id + 1) % 25, -units, 0, 0
-    FROM lines WHERE line_no = 1
+loc AS (SELECT CAST(n_nationkey AS BIGINT) AS location_id,
+          CAST(coalesce(lead(n_nationkey) OVER (ORDER BY n_nationkey), min(n_nationkey) OVER ()) AS BIGINT) AS next_id FROM nation),
+moved AS (
+  SELECT product_id, order_id, line_no, supplier_id, 'TRANSFER_OUT' AS kind, 1 AS step, ship_ms - 86400000 AS ts_ms,
+    coalesce(next_id, location_id) AS location_id, -units AS on_hand, CAST(0 AS BIGINT) AS reserved, CAST(0 AS BIGINT) AS damaged
+    FROM lines LEFT JOIN loc USING (location_id) WHERE line_no = 1
   UNION ALL SELECT product_id, order_id, line_no, supplier_id, 'TRANSFER_IN', 2, ship_ms - 86400000, location_id, units, 0, 0
     FROM lines WHERE line_no = 1
   UNION ALL SELECT product_id, order_id, line_no, supplier_id, 'RESERVE', 3, ship_ms, location_id, 0, units, 0
@@ -223,8 +240,14 @@ moves AS (
     FROM lines WHERE order_status <> 'P' AND return_flag = 'R' AND line_status = 'O'
   UNION ALL SELECT product_id, order_id, line_no, supplier_id, 'RETURN_DAMAGED', 8, ship_ms + 864000000, location_id, 0, 0, units
     FROM lines WHERE order_status <> 'P' AND return_flag = 'R' AND line_status = 'F'),
+moves AS (
+  SELECT product_id, CAST(-1 AS BIGINT) AS order_id, CAST(-1 AS BIGINT) AS line_no, CAST(-1 AS BIGINT) AS supplier_id,
+    'OPENING' AS kind, 0 AS step, CAST(0 AS BIGINT) AS ts_ms, location_id, size * 2 AS on_hand,
+    CAST(0 AS BIGINT) AS reserved, CAST(0 AS BIGINT) AS damaged
+  FROM (SELECT DISTINCT product_id, location_id FROM moved) JOIN prod USING (product_id)
+  UNION ALL SELECT * FROM moved),
 thr AS (SELECT product_id, location_id, size * (1 + location_id % 3) // 2 AS reorder_point, size * 20 AS reorder_qty
-        FROM (SELECT product_id, size, unnest(range(25)) AS location_id FROM prod))"""
+        FROM (SELECT DISTINCT product_id, location_id FROM moved) JOIN prod USING (product_id))"""
 _LEVELS = """
 levels AS (
   SELECT product_id, location_id, CAST(sum(on_hand) AS BIGINT) AS on_hand, CAST(sum(reserved) AS BIGINT) AS reserved,
@@ -297,8 +320,8 @@ SELECT s.product_id, s.units, s.revenue_e4, p.name, p.category
 FROM (SELECT * FROM sales ORDER BY units DESC, product_id LIMIT 10) s JOIN prod p ON p.product_id = s.product_id""",
     "slow_movers": with_(_LINES, _SALES)
     + """
-SELECT p.product_id, p.name, coalesce(s.units, 0) AS units_sold, p.size * 50 AS opening_units
-FROM prod p LEFT JOIN sales s ON s.product_id = p.product_id WHERE coalesce(s.units, 0) * 4 < p.size * 50""",
+SELECT p.product_id, p.name, coalesce(s.units, 0) AS units_sold, p.size * 2 * (SELECT count(*) FROM nation) AS opening_units
+FROM prod p LEFT JOIN sales s ON s.product_id = p.product_id WHERE coalesce(s.units, 0) * 4 < p.size * 2 * (SELECT count(*) FROM nation)""",
     "order_value": with_(_LINES)
     + """
 SELECT customer_id, count(*) AS orders, round(sum(rev) / count(*) / 10000, 6) AS average_value,
@@ -308,7 +331,7 @@ GROUP BY customer_id""",
     "turnover": with_(_LINES, _MOVES, _LEVELS, _SALES)
     + """,
 b AS (
-  SELECT p.product_id, category, coalesce(s.units, 0) AS sold, CAST(p.size * 50 + coalesce(c.closing, 0) AS BIGINT) AS stock2, cost_cents
+  SELECT p.product_id, category, coalesce(s.units, 0) AS sold, CAST(p.size * 2 * (SELECT count(*) FROM nation) + coalesce(c.closing, 0) AS BIGINT) AS stock2, cost_cents
   FROM prod p LEFT JOIN sales s ON s.product_id = p.product_id
   LEFT JOIN (SELECT product_id, sum(on_hand) AS closing FROM levels GROUP BY product_id) c ON c.product_id = p.product_id),
 u AS (

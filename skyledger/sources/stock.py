@@ -6,14 +6,13 @@ units and money whole cents, so sums are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyledger.sources.flights import epoch_ms
 from skyledger.sources.tables import table
 
 DAY = 86_400_000
-LOCATIONS = 25
 DAMAGED_TAX = 0.0
 
 
@@ -32,76 +31,83 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 25 nations with their region name."""
+    """The location table: each location with its region and the next location in number order."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").cast("long").alias("location_id"), F.col("r_name").alias("region")
+    order = Window.orderBy("n_nationkey")
+    # A reference list of one row per nation; the last location is followed by the first.
+    first = F.first("n_nationkey").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = nation.withColumn("after", F.coalesce(F.lead("n_nationkey").over(order), first))
+    return after.join(F.broadcast(region), nation.n_regionkey == region.r_regionkey).select(
+        F.col("n_nationkey").cast("long").alias("location_id"),
+        F.col("r_name").alias("region"),
+        F.col("after").cast("long").alias("next_location_id"),
     )
 
 
-def thresholds(products_: DataFrame) -> DataFrame:
-    """Reorder point and quantity per product and location."""
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOCATIONS - 1).cast("long"))).alias("location_id")
-    return products_.select("product_id", "size", at).select(
-        "product_id",
-        "location_id",
-        (F.col("size") * (F.lit(1) + F.col("location_id") % 3) / 2).cast("long").alias("reorder_point"),
-        (F.col("size") * 20).alias("reorder_qty"),
-    )
+def reorder_point(size: Column, location: Column) -> Column:
+    """Stock at which a product is ordered again at a location."""
+    return (size * (F.lit(1) + location % 3) / 2).cast("long")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines with their location, status and money."""
-    line = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", epoch_ms("o_orderdate").alias("order_ms")
-    )
-    supplier = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", F.col("s_nationkey").cast("long").alias("location_id")
-    )
-    disc = F.round(F.col("l_discount") * 100).cast("long")
-    return (
-        line.join(orders, line.l_orderkey == orders.o_orderkey)
-        .join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("supplier_id"),
-            F.col("l_linenumber").cast("long").alias("line_no"),
-            "location_id",
-            F.col("l_quantity").cast("long").alias("units"),
-            (cents("l_extendedprice") * (F.lit(100) - disc)).alias("revenue_e4"),
-            F.col("l_returnflag").alias("return_flag"),
-            F.col("l_linestatus").alias("line_status"),
-            (F.col("l_tax") == DAMAGED_TAX).alias("untaxed"),
-            F.col("o_orderstatus").alias("order_status"),
-            "order_ms",
-            epoch_ms("l_shipdate").alias("ship_ms"),
-        )
-    )
+def reorder_qty(size: Column) -> Column:
+    return size * 20
+
+
+def opening_units(size: Column) -> Column:
+    """Opening stock of a product at every location that stocks it."""
+    return size * 2
 
 
-def openings(products_: DataFrame) -> DataFrame:
-    """Opening stock of every product at every location."""
-    at = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOCATIONS - 1).cast("long"))).alias("location_id")
-    return products_.select("product_id", (F.col("size") * 2).alias("units"), at)
+# Columns of an order line that need a joined table.
+_OF_ORDER = {"customer_id", "order_status", "order_ms"}
+_OF_SUPPLIER = {"location_id"}
 
 
-def purchase_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order line read as a purchase from its supplier."""
-    line = order_lines(spark, sf_dir).select(
-        "order_id", "line_no", "product_id", "supplier_id", "units", "return_flag", "line_status", "order_ms", "ship_ms"
+def order_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Order lines with the given columns; only the tables that these need are joined."""
+    line = table(spark, sf_dir, "lineitem")
+    disc = F.round(F.col("l_discount") * 100).cast("long")
+    known = {
+        "order_id": F.col("l_orderkey"),
+        "customer_id": F.col("o_custkey"),
+        "product_id": F.col("l_partkey"),
+        "supplier_id": F.col("l_suppkey"),
+        "line_no": F.col("l_linenumber").cast("long"),
+        "location_id": F.col("s_nationkey").cast("long"),
+        "units": F.col("l_quantity").cast("long"),
+        "revenue_e4": cents("l_extendedprice") * (F.lit(100) - disc),
+        "return_flag": F.col("l_returnflag"),
+        "line_status": F.col("l_linestatus"),
+        "untaxed": F.col("l_tax") == DAMAGED_TAX,
+        "order_status": F.col("o_orderstatus"),
+        "order_ms": epoch_ms("o_orderdate"),
+        "ship_ms": epoch_ms("l_shipdate"),
+    }
+    wanted = columns or tuple(known)
+    if _OF_ORDER & set(wanted):
+        line = line.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if _OF_SUPPLIER & set(wanted):
+        line = line.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return line.select(*[known[c].alias(c) for c in wanted])
+
+
+def purchase_orders(spark: SparkSession, sf_dir: str, with_value: bool = True) -> DataFrame:
+    """Every order line read as a purchase from its supplier, with its value if asked."""
+    line = order_lines(
+        spark, sf_dir,
+        "order_id", "line_no", "product_id", "supplier_id", "units", "return_flag", "line_status", "order_ms",
     )
-    cost = products(spark, sf_dir).select("product_id", "cost_cents")
+    if with_value:
+        cost = products(spark, sf_dir).select("product_id", "cost_cents")
+        line = line.join(cost, "product_id").withColumn("value_cents", F.col("units") * F.col("cost_cents"))
     got = F.col("line_status") == "F"
-    return line.join(cost, "product_id").select(
+    return line.select(
         "order_id",
         "line_no",
         "supplier_id",
         "product_id",
         "units",
-        (F.col("units") * F.col("cost_cents")).alias("value_cents"),
+        *(["value_cents"] if with_value else []),
         F.when(got & (F.col("line_no") % 7 == 0), F.col("units") - 1).when(got, F.col("units")).otherwise(0).alias("received"),
         F.when(got & (F.col("return_flag") == "R"), F.floor(F.col("units") / 10)).otherwise(0).alias("defects"),
         F.col("order_ms").alias("ordered_ms"),

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from skyledger.operators import graph, lookup, project, sinks
-from skyledger.session import settle
+from skyledger.session import run_dir, settle
 from skyledger.operators.ordered import (
     BLOCK_ROWS_CONF,
     HOT_ROWS_CONF,
@@ -24,60 +24,97 @@ LEG = (
     "flight_key string, flight_date string, std_ms long, sta_ms long, ltd_ms long, lta_ms long, ptd_ms long, "
     "pctd_ms long, pmtd_ms long, plmtd_ms long, pta_ms long, pcta_ms long, pmta_ms long, plmta_ms long, ctd_ms long, "
     "cta_ms long, taxi_out_min long, taxi_in_min long, pred_air_min long, leg_status string, dep_status string, "
-    "arr_status string, prev_leg_key string"
+    "arr_status string, prev_leg_key string, airline string, tail string, ogt_min long, request_type string, "
+    "request_id string, pe_event string, out_ms long, off_ms long, on_ms long, in_ms long"
 )
 M = 60_000
 
 
-def state_row(key, dep, late=0, prev=None, status="ACTIVE", air=60):
+def state_row(key, dep, late=0, prev=None, status="ACTIVE", air=60, turn=20, event="PE_ETD", request="LIVE"):
     std, sta = dep * M, (dep + air) * M
     ltd = std + late * M
     return (
         key, "2024-01-01", std, sta, ltd, max(sta, ltd), ltd, ltd, None, None, sta, sta, None, None, None, None,
-        0, 0, air, status, "SCHEDULED", "SCHEDULED", prev,
+        0, 0, air, status, "SCHEDULED", "SCHEDULED", prev, "AA", "T1", turn, request, "0", event, None, None, None, None,
     )
 
 
-def spread(spark, legs, links, waits, roots, **options):
-    state = spark.createDataFrame(legs, LEG)
+def spread(spark, legs, links, crew, roots, **options):
+    """Visits and patch of a run; `crew` has (leg, inbound leg, turn minutes)."""
+    state = settle(spark.createDataFrame(legs, LEG), "state")
     edges = spark.createDataFrame(links, "src string, dst string, resource_type string")
-    waiting = spark.createDataFrame(waits, "flight_key string, prev_key string, turn_min long")
-    start = state.filter(F.col("flight_key").isin(roots)).select("flight_key", "flight_date")
-    log, patch = graph.propagate(state, edges, waiting, start, 5, settle, **options)
-    return {(r.root_key, r.flight_key): r for r in log.collect()}, {r.flight_key: r for r in patch.collect()}
+    people = spark.createDataFrame(
+        [(a, "d", "FA", b, t) for a, b, t in crew],
+        "flight_key string, duty_key string, seat string, prev_flight_key string, turn_min long",
+    )
+    tails = spark.createDataFrame([], "airline string, tail string, ots boolean, est_return_ms long, return_ms long")
+    start = state.filter(F.col("flight_key").isin(roots)).select("flight_key", "flight_date", "request_id", "request_type")
+    known = settle(graph.linked(edges, state), "links")
+    log, patch = graph.propagate(state, known, people, tails, start, run_dir(spark, "rounds"), **options)
+    visits = sorted(log.collect(), key=lambda r: r["round"])
+    return {(r.root_key, r.flight_key): r for r in visits}, {r.flight_key: r for r in patch.collect()}
 
 
 def test_delay_passes_through_aircraft_and_crew(spark):
     legs = [state_row("a", 100, late=50), state_row("b", 180, prev="a"), state_row("c", 190)]
-    visits, patch = spread(
-        spark, legs, [("a", "b", "EQUIPMENT"), ("a", "c", "CREW")], [("b", "a", 20), ("c", "a", 30)], ["a"]
-    )
+    visits, patch = spread(spark, legs, [("a", "b", "EQUIPMENT"), ("a", "c", "CREW")], [("c", "a", 30)], ["a"])
     assert set(visits) == {("a", "a"), ("a", "b"), ("a", "c")}
     assert patch["a"].pta_ms == 210 * M and patch["b"].ptd_ms == 230 * M and patch["c"].ptd_ms == 240 * M
+    assert patch["b"].pmtd_ms == 230 * M
+
+
+def test_a_chain_of_twelve_is_followed_to_its_end(spark):
+    legs = [state_row("l0", 100, late=50)]
+    links = []
+    for i in range(1, 13):
+        legs.append(state_row(f"l{i}", 100 + 80 * i, prev=f"l{i - 1}"))
+        links.append((f"l{i - 1}", f"l{i}", "EQUIPMENT"))
+    visits, patch = spread(spark, legs, links, [], ["l0"])
+    assert len(visits) == 13 and max(v["round"] for v in visits.values()) == 12
+    assert patch["l12"].ptd_ms == (100 + 80 * 12 + 50) * M
+    tracked = graph.tracker(spark.createDataFrame([tuple(v[c] for c in ("round", "root_key", "flight_key", "arrivals", "errors", "children")) for v in visits.values()], "round int, root_key string, flight_key string, arrivals long, errors long, children long"))
+    assert tracked.first().pending == 0
+
+
+def test_a_root_acts_by_its_own_event(spark):
+    legs = [state_row("a", 100, late=50, event="PE_CANCEL"), state_row("b", 180, prev="a")]
+    visits, patch = spread(spark, legs, [("a", "b", "EQUIPMENT")], [], ["a"])
+    assert patch["a"].ptd_ms == 100 * M and not visits[("a", "a")].continues
+
+
+def test_swap_what_if_passes_on_latest_times(spark):
+    calm = state_row("a", 100, late=0, request="SWAP_WHATIF")
+    legs = [calm, state_row("b", 400, prev="a")]
+    assert set(spread(spark, legs, [("a", "b", "EQUIPMENT")], [], ["a"])[0]) == {("a", "a"), ("a", "b")}
+    legs[0] = state_row("a", 100, late=0)
+    assert set(spread(spark, legs, [("a", "b", "EQUIPMENT")], [], ["a"])[0]) == {("a", "a")}
+
+
+def test_nothing_to_start_from(spark):
+    visits, patch = spread(spark, [state_row("a", 100)], [("a", "b", "CREW")], [], [])
+    assert visits == {} and patch == {}
 
 
 def test_link_back_onto_the_path_is_refused(spark):
     legs = [state_row("a", 100, late=50), state_row("b", 180, prev="a")]
-    visits, _ = spread(
-        spark, legs, [("a", "b", "EQUIPMENT"), ("b", "a", "EQUIPMENT")], [("b", "a", 20)], ["a"]
-    )
+    visits, _ = spread(spark, legs, [("a", "b", "EQUIPMENT"), ("b", "a", "EQUIPMENT")], [], ["a"])
     assert visits[("a", "b")].continues
     assert any(v.errors for v in visits.values())
 
 
 def test_link_that_disagrees_with_the_leg_is_refused(spark):
     legs = [state_row("a", 100, late=50), state_row("b", 180, prev="x")]
-    visits, patch = spread(spark, legs, [("a", "b", "EQUIPMENT")], [("b", "a", 20)], ["a"])
+    visits, patch = spread(spark, legs, [("a", "b", "EQUIPMENT")], [], ["a"])
     assert visits[("a", "b")].error == "previous leg differs"
     assert "b" not in patch
 
 
 def test_cancelled_leg_passes_nothing_on_unless_asked(spark):
     legs = [state_row("a", 100, late=50, status="CANCELLED"), state_row("b", 180, prev="a")]
-    links, waits = [("a", "b", "EQUIPMENT")], [("b", "a", 20)]
+    links = [("a", "b", "EQUIPMENT")]
     legs[0] = legs[0][:10] + (999 * M,) + legs[0][11:]
-    assert set(spread(spark, legs, links, waits, ["a"])[0]) == {("a", "a")}
-    assert set(spread(spark, legs, links, waits, ["a"], cancel_continues=True)[0]) == {("a", "a"), ("a", "b")}
+    assert set(spread(spark, legs, links, [], ["a"])[0]) == {("a", "a")}
+    assert set(spread(spark, legs, links, [], ["a"], cancel_continues=True)[0]) == {("a", "a"), ("a", "b")}
 
 
 def test_tracker_counts_pending_children(spark):
@@ -126,13 +163,11 @@ def test_previous_leg_skips_the_flight_itself(spark):
 
 
 def test_schedule_replaces_every_projected_time(spark):
-    row = state_row("a", 100)
+    row = state_row("a", 100, event="PE_CANCEL")
     late = row[:6] + (145 * M, 150 * M, 145 * M, None) + row[10:]
-    df = spark.createDataFrame([late + ("PE_CANCEL",)], LEG + ", pe_event string")
+    df = spark.createDataFrame([late], LEG)
     for m in project.MEASURES:
         df = df.withColumn(f"max_{m}", F.lit(None).cast("long"))
-    for c in ("out_ms", "in_ms", "off_ms", "on_ms"):
-        df = df.withColumn(c, F.lit(None).cast("long"))
     r = project.project(df).first()
     assert {r[f"new_{f}"] for f in project.DEP} == {100 * M}
     assert {r[f"new_{f}"] for f in project.ARR} == {160 * M}

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from skyledger.operators.ordered import BLOCK_ROWS_CONF, HOT_ROWS_CONF
 
 
 def plan(df) -> str:
@@ -41,5 +42,28 @@ def test_change_detection_has_one_shuffle(spark, sf_dir, queries):
 
 
 def test_indexed_find_filters_early(spark, sf_dir, queries):
-    text = plan(queries["id_lookup"](spark, sf_dir))
-    assert "BroadcastNestedLoopJoin" not in text
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        text = plan(queries["indexed_find"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    for column in ("airline", "flight_number", "dep_station", "arr_station"):
+        assert f"EqualTo({column}," in text
+    assert "Join" not in text and "Window" not in text
+
+
+@pytest.mark.parametrize("name, joins", [("sales_trend", 1), ("supplier_score", 1), ("po_by_supplier", 2), ("order_value", 1)])
+def test_reports_join_only_what_they_read(spark, sf_dir, queries, name, joins):
+    text = plan(queries[name](spark, sf_dir))
+    assert text.count("Join") == joins and "supplier.parquet" not in text
+
+
+def test_cut_keys_keep_one_scan_of_the_rest(spark, sf_dir, queries):
+    spark.conf.set(HOT_ROWS_CONF, "2")
+    spark.conf.set(BLOCK_ROWS_CONF, "500")
+    try:
+        text = plan(queries["times_diff"](spark, sf_dir))
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.unset(BLOCK_ROWS_CONF)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

@@ -44,6 +44,10 @@ def test_windowed_state_matches_batch(spark, sf_dir, parts):
     assert rows(got) == rows(plans.status_diff(spark, sf_dir))
     batches = spark.read.parquet(f"{folder}/state").select("batch_id").distinct().count()
     assert batches == 5
+    apart = spark.read.parquet(f"{folder}/quarantine")
+    balance = {r.disposition: r["count"] for r in plans.event_disposition(spark, sf_dir).groupBy("disposition").count().collect()}
+    assert apart.count() == balance["quarantined"] > 0
+    assert sum(balance.values()) == table(spark, sf_dir, "events").count()
 
 
 def test_state_store_matches_batch(spark, sf_dir, parts):
