@@ -164,7 +164,8 @@ def upsert_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     legs = flights.legs(spark, sf_dir)
     at = F.col("order_ms")
     patch = lof.emitted_legs(lof.apply_delay(lof.same_event(legs, "DEP_DLY_EVENT", at, at)))
-    return sinks.upsert(legs.rows().select("flight_key", "std_ms", *PATCHED), patch, "flight_key", PATCHED)
+    after = sinks.upsert(legs.rows().select("flight_key", "std_ms", *PATCHED), patch, "flight_key", PATCHED)
+    return sinks.stored(after, run_dir(spark, "times"), 1)
 
 
 def replace_resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +180,8 @@ def replace_resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fresh = p.resource_ready(wide, None, state.tails(spark, sf_dir), with_crew=False)
     swap = wide.filter(F.col("request_type") == p.SWAP).select("flight_key")
-    return sinks.replace_rows(old, fresh.join(swap, "flight_key", "left_semi").select(*columns), "flight_key")
+    after = sinks.replace_rows(old, fresh.join(swap, "flight_key", "left_semi").select(*columns), "flight_key")
+    return sinks.stored(after, run_dir(spark, "resources"), 1)
 
 
 QUERIES = {

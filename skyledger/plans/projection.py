@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators import project as p
+from skyledger.operators import sinks
 from skyledger.plans.relations_sql import CREW, EVENTS, FLIGHTS, LEGS, with_
-from skyledger.session import settle
+from skyledger.session import run_dir, settle
 from skyledger.sources import state
 from skyledger.sources.flights import crew_assignments, delay_events, hot_duties
 
@@ -89,7 +90,8 @@ def times_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.change_events(p.change_set(_projected(spark, sf_dir)))
+    found = p.change_events(p.change_set(_projected(spark, sf_dir)))
+    return sinks.stored(found, run_dir(spark, "changes"), 1)
 
 
 def published_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +130,10 @@ def mntc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def debug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calculation debug row: the event, the new times and the deciding resource."""
+    """Stored calculation debug row: the event, the new times and the deciding resource."""
     wide, resources = _parts(spark, sf_dir)
     done = p.project(wide.join(p.max_ready(resources), "flight_key", "left"))
-    return done.join(p.most_restrictive(resources), "flight_key", "left").select(
+    rows = done.join(p.most_restrictive(resources), "flight_key", "left").select(
         "flight_key",
         "pe_event",
         F.col("new_ptd_ms").alias("ptd_ms"),
@@ -140,6 +142,7 @@ def debug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "resource_key",
         F.col("ready_ms").alias("resource_ready_ms"),
     )
+    return sinks.stored(rows, run_dir(spark, "debug"), 1)
 
 
 def _delay_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,11 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session the caller made."""
+    """Apply the runtime settings that the caller has not set; UTC always, since results depend on it."""
+    given = spark._jsparkSession.sessionState().conf()
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if key == "spark.sql.session.timeZone" or not given.contains(key):
+            spark.conf.set(key, value)
     return spark
 
 

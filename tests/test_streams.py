@@ -89,7 +89,7 @@ def test_delay_stream_folds_events_and_moves_its_state(spark):
     line = Ordered(spark.createDataFrame(legs, LEGS), ("chain_id",), ("leg_seq",))
     events = [
         [(1, 1, 1, "ACTUAL_OFF_CHANGE", str(150 * M), None), (2, 1, 2, "ACTUAL_OFF_CHANGE", str(310 * M), None)],
-        [(3, 2, 1, "ACTUAL_IN_CHANGE", str(230 * M), None)],
+        [(3, 2, 1, "ACTUAL_IN_CHANGE", str(230 * M), None), (9, 2, 2, "ACTUAL_OFF_CHANGE", "late", None)],
         [(4, 1, 3, "CANCEL", None, None), (5, 1, 1, "ACTUAL_IN_CHANGE", str(400 * M), None)],
     ]
     schema = f"event_id long, {EVENTS}"
@@ -99,7 +99,8 @@ def test_delay_stream_folds_events_and_moves_its_state(spark):
     incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     folder = run_dir(spark, "delay-run")
     legs_path, audit_path = delays.run_delays(incoming, line, folder)
-    ranked = delays.ranked(spark.createDataFrame([e for b in events for e in b], schema))
+    ranked = delays.ranked(spark.createDataFrame([e for b in events for e in b if e[0] != 9], schema))
+    assert [r.event_id for r in spark.read.parquet(f"{folder}/quarantine").collect()] == [9]
     want = lof.fold_events(line, ranked, lambda d: settle(d, "test")).df
     got = delays.current(line.df, want.select("chain_id").distinct(), spark.read.parquet(f"{folder}/state"))
     key = ["chain_id", "leg_seq", *lof.STORED]
