@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.session import settle
+from skyledger.session import run_dir
 
 # The ASCII white space of the contracts: space and 09 to 0D.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -20,6 +20,64 @@ BATCH_ROWS = 2048
 BATCH_BYTES = 4 << 20
 
 
+# Work folders of this process that are still there.
+_MADE: list[str] = []
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared folder, noted until it is removed."""
+    path = run_dir(spark, label)
+    _MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a work folder; nothing may read it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def made_folders() -> list[str]:
+    """The work folders of this process that are still there."""
+    return list(_MADE)
+
+
+def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back, cutting its lineage."""
+    spark = df.sparkSession
+    path = path or work_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Equi-join by sort and merge at every size, for sides that grow with the data.
+
+    Adaptive execution splits the partitions of hot keys when both sides are written
+    tables or rows, not aggregates made on the fly.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+class Scratch:
+    """Tables of the inside of an operator, removed when its result is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.count = spark, work_dir(spark, label), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, self.path)
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        self.count += 1
+        return settle(df, label, f"{self.path}/{self.count}-{label}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,25 +104,23 @@ def pieces_of(rows: list, size: int) -> Iterator[list]:
         yield rows[at : at + size]
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
+def components(edges: DataFrame, work: Scratch) -> DataFrame:
     """Connected components of (a, b) edges: one row (node, root) per node, root the smallest node.
 
     Each round a node takes the smallest label among its neighbours and itself and
     then the label of that label, so long chains halve.  Every round is written to
-    the shared folder; only the number of changed nodes reaches the driver.  Null
-    ends are no nodes.
+    the shared folder (`work`); only whether a node changed reaches the driver.
+    Null ends are no nodes.
     """
     both = edges.where("a is not null and b is not null")
-    both = settle(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), f"{label}-0")
-    turn = 0
+    both = work.settle(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = work.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "labels")
     while True:
-        turn += 1
         heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
         of_root = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
         step = nearer.join(of_root, "root").select("node", "was", F.least("root", "above").alias("root"))
-        step = settle(step, f"{label}-{turn}")
+        step = work.settle(step, "labels")
         if step.where("root <> was").isEmpty():
             return step.select("node", "root")
         labels = step.select("node", "root")

@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import mapped, table
-from skyledger.session import settle
+from skyledger.llm.common import mapped, settle, table
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 14

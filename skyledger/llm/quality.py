@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import SPACE, as_bytes, mapped, table
-from skyledger.session import settle
+from skyledger.llm.common import SPACE, as_bytes, mapped, settle, table
 
 LEAST_WORDS = 50
 MOST_REPEATED_PCT = 50

@@ -23,8 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import UPPER, table
-from skyledger.session import settle
+from skyledger.llm.common import UPPER, Scratch, settle, table
 
 # Fixed values: (verdict, rule).
 RULES = (
@@ -70,14 +69,14 @@ def split_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     return own.select("page_id", host.alias("host"), path.alias("path"))
 
 
-def _level(rows: DataFrame, level: int) -> DataFrame:
+def _level(rows: DataFrame, level: int, work: Scratch) -> DataFrame:
     """Rows with the branch of their next segment: node and purity move one level down."""
     last = level + 1 >= DEPTH
     segment = F.concat_ws("/", F.slice("segments", level + 1, 1 << 20)) if last else F.element_at("segments", level + 1)
     rows = rows.withColumn("segment", segment).withColumn("shape", F.regexp_replace("segment", "[0-9]+", "#"))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    kids = settle(rows.groupBy("host", "node", "purity", "segment", "shape").agg(*sums), "url-kids")
-    parents = kids.groupBy("host", "node").agg(F.sum("n").alias("all"))
+    kids = work.settle(rows.groupBy("host", "node", "purity", "segment", "shape").agg(*sums), "url-kids")
+    parents = work.settle(kids.groupBy("host", "node").agg(F.sum("n").alias("all")), "url-parents")
     enough = (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("all"))
     kids = kids.join(parents, ["host", "node"]).withColumn("literal", enough)
     shapes = kids.where(~F.col("literal")).groupBy("host", "node", "shape", "all").agg(F.sum("n").alias("n")).where(enough).select("host", "node", "shape", F.lit(True).alias("common"))
@@ -98,32 +97,33 @@ def _level(rows: DataFrame, level: int) -> DataFrame:
     merged = merged.withColumn("below", (F.col("bad") + SMOOTHING * F.col("purity")) / (F.col("labelled") + SMOOTHING))
     to = branches.select("host", "node", "branch", "part").join(merged.select("host", "node", "part", "name", "below"), ["host", "node", "part"])
     to = kids.select("host", "node", "segment", "branch").join(to, ["host", "node", "branch"]).select("host", "node", "segment", F.concat_ws("/", "node", "name").alias("child"), "below")
-    moved = rows.drop("shape").join(settle(to, "url-branches"), ["host", "node", "segment"])
+    moved = rows.drop("shape").join(work.settle(to, "url-branches"), ["host", "node", "segment"])
     return moved.select("host", "path", "segments", "n", "labelled", "bad", F.col("child").alias("node"), F.col("below").alias("purity"))
 
 
-def templates(urls: DataFrame, labelled: DataFrame) -> DataFrame:
+def templates(urls: DataFrame, labelled: DataFrame, work: Scratch) -> DataFrame:
     """host, path, template, purity of every distinct (host, path).
 
     `urls` has host and path; `labelled` has host, path and bad (0 or 1) of urls with a label.
     """
     counts = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
+    # Aggregates are written before they are joined back, so that the join of a hot host can be split.
     known = labelled.groupBy("host", "path").agg(F.count("*").alias("labelled"), F.sum(F.col("bad").cast("long")).alias("bad"))
     paths = counts.join(known, ["host", "path"], "left").fillna(0, ["labelled", "bad"])
-    paths = settle(paths.withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != "")), "url-paths")
+    paths = work.settle(paths.withColumn("segments", F.filter(F.split("path", "/"), lambda x: x != "")), "url-paths")
     total = paths.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     prior = (total.bad or 0) / total.labelled if total.labelled else 0.0
     hosts = paths.groupBy("host").agg(((F.sum("bad") + SMOOTHING * prior) / (F.sum("labelled") + SMOOTHING)).alias("purity"))
-    live = paths.join(hosts, "host").withColumn("node", F.lit(""))
+    live = paths.join(work.settle(hosts, "url-hosts"), "host").withColumn("node", F.lit(""))
     done, level = [], 0
     while True:
-        live = settle(live, f"url-level-{level}")
+        live = work.settle(live, f"url-level-{level}")
         ended = F.size("segments") <= level if level < DEPTH else F.lit(True)
         done.append(live.where(ended).select("host", "path", F.col("node").alias("template"), "purity"))
         live = live.where(~ended)
         if live.isEmpty():
             break
-        live = _level(live, level)
+        live = _level(live, level, work)
         level += 1
     out = done[0]
     for more in done[1:]:
@@ -134,7 +134,8 @@ def templates(urls: DataFrame, labelled: DataFrame) -> DataFrame:
 def url_verdicts(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", limit: float = LIMIT) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page."""
     urls = settle(split_urls(pages, id_col, url_col), "url-parts")
-    found = templates(urls, labelled)
+    with Scratch(pages.sparkSession, "url") as work:
+        found = settle(templates(urls, labelled, work), "url-templates")
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     own = F.when(F.col("purity") >= limit, "block").otherwise("allow")
     joined = urls.join(found, ["host", "path"])

@@ -28,8 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import mapped, table
-from skyledger.session import run_dir, settle
+from skyledger.llm.common import Scratch, mapped, settle, table, work_dir
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 16 << 20
@@ -43,11 +42,12 @@ HTTP_TYPE = "application/http; msgtype=response"
 READ = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
-def revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def revisits(pages: DataFrame, work: Scratch, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, digest, original) of the pages whose payload an earlier page has."""
     headers = pages.select("page_id", F.octet_length("html").alias("bytes"), F.sha2("html", 256).alias("digest")).where(F.col("bytes") >= least)
     originals = headers.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-    originals = originals.where("n > 1 and original is not null").drop("n")
+    # Written before the join, so that the join of a hot payload can be split.
+    originals = work.settle(originals.where("n > 1 and original is not null").drop("n"), "originals")
     later = headers.join(originals, "digest").where("page_id is null or page_id > original")
     return later.select("page_id", "digest", "original").distinct()
 
@@ -98,9 +98,10 @@ def _numbered(limit: int):
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write the deduplicated archives of `pages` as gzip files below `path`."""
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    found = settle(revisits(pages, least), "warc-revisits")
-    numbered = mapped(records(pages, found), _numbered(archive_bytes), "value string, archive int")
-    numbered.write.partitionBy("archive").option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
+    with Scratch(pages.sparkSession, "warc-work") as work:
+        found = work.settle(revisits(pages, work, least), "revisits")
+        numbered = mapped(records(pages, found), _numbered(archive_bytes), "value string, archive int")
+        numbered.write.partitionBy("archive").option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes):
@@ -146,11 +147,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     heads = settle(mapped(files.select("content"), _scan, READ), "warc-headers")
     asked = heads.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
     answers = heads.where("record_type = 'response'").join(asked, ["page_id", "payload_digest"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
+    answers = settle(answers, "warc-answers")
     return heads.join(answers, ["refers_to", "payload_digest"], "left").select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = run_dir(spark, "warc")
+    path = work_dir(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
 

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from skyledger.llm.queries import ORACLE, QUERIES
+from skyledger.session import run_dir
 from tests.compare import differences, duck
 from tests.llm.test_ngram_join import grams
 
@@ -36,7 +37,9 @@ def test_stages(spark, sf_dir):
     columns = docs.columns
     outs = []
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, sf_dir).cache()
+        path = run_dir(spark, "stage-test")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
         outs.append([r.asDict() for r in docs.collect()])
         if i < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
