@@ -15,8 +15,8 @@ pair of ranks at p and p + l - 2**k.  Stretches have at most `least_words` lines
 bounds the rounds by its logarithm.
 
 Only positions and ranks are shuffled.  The first position of an interval comes from a
-partial aggregation and an equi-join, so a line that a third of all documents share is
-never gathered.
+partial aggregation, is written, and meets the positions in an equi-join that adaptive
+execution can split, so a line that a third of all documents share is never gathered.
 
 Defined cases: null text stays null and has no lines; lines without a word are never
 deleted and do not interrupt a run; of repeated documents the first in id order stays
@@ -33,8 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import SPACE, as_bytes, mapped, table
-from skyledger.session import settle
+from skyledger.llm.common import SPACE, Scratch, as_bytes, mapped, settle, shuffle_join, table
 
 LEAST_WORDS = 50
 LINES = "rid long, idx long, digest binary, words long"
@@ -57,7 +56,7 @@ def _lines(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
-def document_starts(counts: DataFrame) -> DataFrame:
+def document_starts(counts: DataFrame, work: Scratch) -> DataFrame:
     """(rid, base): the position of a document's first line, by id; `counts` has rid, doc_id, n.
 
     A range-partitioned sort and the partitions' sums (one row a partition on the
@@ -65,7 +64,7 @@ def document_starts(counts: DataFrame) -> DataFrame:
     """
     spark = counts.sparkSession
     ordered = counts.orderBy(F.col("doc_id").asc_nulls_last(), "rid").select("rid", "n", F.monotonically_increasing_id().alias("ord"))
-    ordered = settle(ordered.withColumn("part", F.shiftright("ord", 33)), "lines-order")
+    ordered = work.settle(ordered.withColumn("part", F.shiftright("ord", 33)), "lines-order")
     base, rows = 0, []
     for part, total in sorted(ordered.groupBy("part").agg(F.sum(F.col("n") + 1)).collect()):
         rows.append((part, base))
@@ -76,10 +75,11 @@ def document_starts(counts: DataFrame) -> DataFrame:
     return ordered.withColumn("within", within).join(F.broadcast(offsets), "part").select("rid", (F.col("offset") + F.col("within")).alias("base"))
 
 
-def shared_ranks(rows: DataFrame, key: list[str]) -> DataFrame:
+def shared_ranks(rows: DataFrame, key: list[str], work: Scratch) -> DataFrame:
     """(pos, rank) of the positions whose key another position has; rank is the first such position."""
     first = rows.groupBy(*key).agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(first, key).select("pos", F.col("first").alias("rank"))
+    first = work.settle(first, "first")
+    return shuffle_join(rows, first, key).select("pos", F.col("first").alias("rank"))
 
 
 def stretches(pos: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,34 +138,38 @@ def _stretch_maker(least: int):
     return make
 
 
-def copied_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def copied_runs(docs: DataFrame, work: Scratch, least_words: int = LEAST_WORDS) -> DataFrame:
     """(rid, idx, len): runs of lines, counted over lines with a word, that stand earlier too.
 
-    `docs` has rid (unique), doc_id and text, and gives the same rows whenever it is read.
+    `docs` has rid (unique), doc_id and text, and gives the same rows whenever it is read;
+    the result reads tables of `work`.
     """
-    lines = settle(mapped(docs.select("rid", "text"), _lines, LINES), "lines")
+    lines = work.settle(mapped(docs.select("rid", "text"), _lines, LINES), "lines")
     counts = lines.groupBy("rid").agg(F.count("*").alias("n")).join(docs.select("rid", "doc_id"), "rid")
-    starts = document_starts(counts)
+    starts = document_starts(counts, work)
     placed = lines.join(starts, "rid").select("rid", "idx", "words", "digest", (F.col("base") + F.col("idx")).alias("pos"))
+    placed = work.settle(placed, "lines-placed")
     first = placed.groupBy("digest").agg(F.min("pos").alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = settle(placed.join(first, "digest").select("rid", "idx", "words", "pos", "rank"), "lines-shared")
+    first = work.settle(first, "lines-first")
+    shared = work.settle(shuffle_join(placed, first, "digest").select("rid", "idx", "words", "pos", "rank"), "lines-shared")
 
     sorted_ = shared.select("rid", "idx", "pos", "words").repartition("rid").sortWithinPartitions("rid", "pos")
-    asked = settle(mapped(sorted_, _stretch_maker(least_words), STRETCHES), "lines-stretches")
+    asked = work.settle(mapped(sorted_, _stretch_maker(least_words), STRETCHES), "lines-stretches")
     longest = asked.agg(F.max("len")).first()[0] or 0
 
     ranks, depth, copies = shared.select("pos", "rank"), 1, None
     while depth <= longest:
         own = asked.where((F.col("len") >= depth) & (F.col("len") < 2 * depth))
-        own = own.join(ranks.select("pos", F.col("rank").alias("head")), "pos")
+        own = shuffle_join(own, ranks.select("pos", F.col("rank").alias("head")), "pos")
         own = own.withColumn("other", F.col("pos") + F.col("len") - depth)
-        own = own.join(ranks.select(F.col("pos").alias("other"), F.col("rank").alias("tail")), "other")
+        own = work.settle(shuffle_join(own, ranks.select(F.col("pos").alias("other"), F.col("rank").alias("tail")), "other"), f"lines-asked-{depth}")
         interval = own.groupBy("len", "head", "tail").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = own.join(interval, ["len", "head", "tail"]).where("pos > first").select("rid", "idx", "len")
+        interval = work.settle(interval, f"lines-intervals-{depth}")
+        later = shuffle_join(own, interval, ["len", "head", "tail"]).where("pos > first").select("rid", "idx", "len")
         copies = later if copies is None else copies.union(later)
         if 2 * depth <= longest:
             ahead = ranks.select((F.col("pos") - depth).alias("pos"), F.col("rank").alias("next"))
-            ranks = settle(shared_ranks(ranks.join(ahead, "pos"), ["rank", "next"]), f"lines-ranks-{2 * depth}")
+            ranks = work.settle(shared_ranks(shuffle_join(ranks, ahead, "pos"), ["rank", "next"], work), f"lines-ranks-{2 * depth}")
         depth *= 2
     empty = docs.sparkSession.createDataFrame([], "rid long, idx long, len long")
     return empty if copies is None else copies
@@ -240,7 +244,9 @@ def _kept(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> Data
     """Documents with their row number and the runs to delete."""
     kept = settle(docs.withColumn("__rid", F.monotonically_increasing_id()), "lines-docs")
     own = kept.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.join(settle(_ranges(copied_runs(own, least_words)), "lines-copies"), "__rid", "left")
+    with Scratch(docs.sparkSession, "lines") as work:
+        ranges = settle(_ranges(copied_runs(own, work, least_words)), "lines-copies")
+    return shuffle_join(kept, ranges, "__rid", "left")
 
 
 def without_copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
