@@ -10,7 +10,8 @@ only reported.
 
 Each digit is its own row in a table partitioned by level, so every byte is shuffled
 at most twice, and a group of copies of any size is only ever counted (with partial
-aggregation) and joined, never gathered.
+aggregation) and joined, never gathered.  Counts are written before they are joined
+back, which lets adaptive execution split the join of a hot group.
 
 Defined cases: null text counts as empty and all empty texts are equal; a null id
 sorts after every other id and can be kept only when no copy has an id; of repeated
@@ -26,8 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import SPACE, as_bytes, mapped, table
-from skyledger.session import run_dir, settle
+from skyledger.llm.common import SPACE, Scratch, as_bytes, mapped, settle, shuffle_join, table
 
 FIRST_WIDTH = 32
 FACTOR = 4
@@ -69,14 +69,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list(names))
 
 
-def equal_groups(pieces, first: int, factor: int) -> DataFrame | None:
+def equal_groups(pieces, first: int, factor: int, work: Scratch) -> DataFrame:
     """(rid, rep) of every document that has an equal one; `pieces(level)` gives (rid, digit)."""
     level, width, found = 0, first, None
     live = pieces(0).select("rid", F.lit(0).cast("long").alias("grp"), "digit")
     while True:
         shared = live.groupBy("grp", "digit").agg(F.count("*").alias("n"), F.min("rid").alias("rep")).where("n > 1").drop("n")
-        joined = live.join(shared, ["grp", "digit"]).select("rid", "rep", (F.length("digit") < width).alias("ended"))
-        joined = settle(joined, f"radix-{level}")
+        shared = work.settle(shared, f"groups-{level}")
+        joined = shuffle_join(live, shared, ["grp", "digit"]).select("rid", "rep", (F.length("digit") < width).alias("ended"))
+        joined = work.settle(joined, f"shared-{level}")
         ended = joined.where("ended").select("rid", "rep")
         found = ended if found is None else found.union(ended)
         open_ = joined.where("not ended").select("rid", F.col("rep").alias("grp"))
@@ -91,19 +92,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.length(text).cast("long").alias("points"))
-    path = run_dir(spark, "radix-digits")
-    mapped(source, _cutter(first, factor), PIECES).write.partitionBy("level").parquet(path)
     schema = "rid long, digit binary, doc_id long, points long, sha string, level int"
+    with Scratch(spark, "radix") as work:
+        path = f"{work.path}/digits"
+        mapped(source, _cutter(first, factor), PIECES).write.partitionBy("level").parquet(path)
 
-    def pieces(level: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(path).where(F.col("level") == level).select("rid", "digit")
+        def level_of(level: int) -> DataFrame:
+            return spark.read.schema(schema).parquet(path).where(F.col("level") == level)
 
-    groups = equal_groups(pieces, first, factor)
-    rows = spark.read.schema(schema).parquet(path).where("level = 0").select("rid", "doc_id", "points", "sha")
-    rows = rows.join(groups, "rid", "left").withColumn("grp", F.coalesce("rep", "rid")).drop("rep")
+        groups = equal_groups(lambda level: level_of(level).select("rid", "digit"), first, factor, work)
+        rows = level_of(0).select("rid", "doc_id", "points", "sha").join(groups, "rid", "left")
+        rows = settle(rows.withColumn("grp", F.coalesce("rep", "rid")).drop("rep"), "radix-rows")
     rank = F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"))
-    best = rows.groupBy("grp").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
-    return rows.join(best, "grp").select(
+    best = settle(rows.groupBy("grp").agg(F.min(rank).alias("best"), F.count("*").alias("group_size")), "radix-best")
+    return shuffle_join(rows, best, "grp").select(
         "doc_id",
         F.col("best.keep_id").alias("keep_id"),
         "group_size",
