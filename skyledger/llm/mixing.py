@@ -27,8 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import SPACE_CLASS, mapped, running_start, table
-from skyledger.session import settle
+from skyledger.llm.common import SPACE_CLASS, mapped, running_start, settle, shuffle_join, table
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -190,12 +189,12 @@ class Mix:
     def taken(self) -> DataFrame:
         """(rid, taken): words the mix takes of each document that it touches."""
         times = self.shards().groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        joined = self.spans().join(times, ["source_no", "block"])
+        joined = shuffle_join(self.spans(), times, ["source_no", "block"])
         return joined.groupBy("rid").agg(F.sum((F.col("last") - F.col("first")) * F.col("times")).alias("taken"))
 
     def parts(self) -> DataFrame:
         """(rid, epoch, spans): the word ranges of a document taken in each pass over its source."""
-        joined = self.spans().join(self.shards().select("source_no", "block", "epoch"), ["source_no", "block"])
+        joined = shuffle_join(self.spans(), self.shards().select("source_no", "block", "epoch"), ["source_no", "block"])
         return joined.groupBy("rid", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
 
 
@@ -203,7 +202,7 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, size, source_size, target, taken for every document."""
     sized = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     mix = Mix(settle(sized, "mix-sizes"))
-    rows = mix.numbered().join(mix.taken(), "rid", "left")
+    rows = shuffle_join(mix.numbered(), mix.taken(), "rid", "left")
     return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -245,7 +244,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sized = kept.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     parts = Mix(settle(sized, "mix-sizes")).parts()
     parts = parts.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
-    joined = kept.join(parts, "__rid").select(*docs.columns, "__spans")
+    joined = shuffle_join(kept, parts, "__rid").select(*docs.columns, "__spans")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return mapped(joined, _cut(docs.columns.index(text_col), chars), docs.schema)
 
