@@ -19,25 +19,26 @@ repeated rows are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import as_bytes, mapped, running_start, table
-from skyledger.session import settle
+from skyledger.llm.common import as_bytes, mapped, running_start, settle, table
 
 SIZE = 2048
 END_ID = 0
 NODES = 20_000
 FILLINGS = 64
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), lengths falling
 Solution = list[tuple[Pattern, int]]  # patterns with the number of bins
@@ -45,17 +46,26 @@ Solution = list[tuple[Pattern, int]]  # patterns with the number of bins
 
 # -- tokens ---------------------------------------------------------------------------
 
-# Letters, digits and signs whose normal form and lower case do not depend on neighbours.
+# Signs, digits and letters whose normal form and lower case do not depend on neighbours.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^a-z0-9ß-öø-ɏ]+")
+_ALL_PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|\n|[^\na-z0-9ß-öø-ɏ]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """The letters that byte-level models write for bytes: visible ones stand for themselves."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(other)}
 
 
 class WordIds:
-    """Token ids of a text, word by word, with a bounded cache of words.
+    """Token ids of a text, word by word, with bounded caches of words and word parts.
 
     The tokenizer drops white space and never merges across it, so a text's ids are
     those of its words.  Plain words are cut further at the tokenizer's own split
-    pattern, which many words share.
+    pattern, and its model gives the ids of each part; other words go through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
@@ -63,54 +73,85 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.flat, self.starts, self.lengths = array("q"), array("q"), array("q")
-
-    def _split(self, word: bytes) -> list[str]:
-        text = word.decode()
-        if _PLAIN.fullmatch(text) and not any(s in word for s in self.special):
-            return _PARTS.findall(text.lower())
-        return [text]
+        none = np.zeros(0, np.int64)
+        self.words: dict[bytes, int] = {}
+        self.flat, self.starts, self.lengths = none, none, none
+        # Part 0 is the line end between words and has no ids.
+        self.parts: dict[str, int] = {"\n": 0}
+        self.part_flat, self.part_starts, self.part_lengths = array("q"), array("q", [0]), array("q", [0])
+
+    def _new_parts(self, parts: list[str]) -> None:
+        tokenize, letters = self.model.tokenize, self.letters
+        texts = [p if p.isascii() else p.encode().decode("latin-1").translate(letters) for p in parts]
+        found = [[t.id for t in tokenize(text)] for text in texts]
+        lengths = array("q", map(len, found))
+        first, at = len(self.part_starts), len(self.part_flat)
+        self.parts.update(zip(parts, range(first, first + len(parts))))
+        self.part_starts.extend(accumulate(lengths[:-1], initial=at))
+        self.part_lengths.extend(lengths)
+        self.part_flat.extend(chain.from_iterable(found))
+
+    def _add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        first, at = len(self.starts), len(self.flat)
+        self.words.update(zip(words, range(first, first + len(words))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, at + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [self._split(w) for w in words]
-        missing = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts))
-        for p, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.parts[p] = tuple(found.ids)
-        for word, parts in zip(words, split):
-            self.number[word] = len(self.starts)
-            self.starts.append(len(self.flat))
-            for p in parts:
-                self.flat.extend(self.parts[p])
-            self.lengths.append(len(self.flat) - self.starts[-1])
+        text = b"\n".join(words).decode()
+        if not _ALL_PLAIN.fullmatch(text) or any(x in text for x in self.special):
+            texts = [w.decode() for w in words]
+            odd = [not _PLAIN.fullmatch(t) or any(x in t for x in self.special) for t in texts]
+            whole = [w for w, o in zip(words, odd) if o]
+            found = self.tokenizer.encode_batch_fast([t for t, o in zip(texts, odd) if o], add_special_tokens=False)
+            ids = [f.ids for f in found]
+            self._add(whole, np.array([i for own in ids for i in own], np.int64), np.array([len(own) for own in ids], np.int64))
+            words = [w for w, o in zip(words, odd) if not o]
+            if not words:
+                return
+            text = b"\n".join(words).decode()
+        sequence = _PARTS.findall(text.lower())
+        new = list(set(sequence).difference(self.parts))
+        if new:
+            self._new_parts(new)
+        number = np.fromiter(map(self.parts.__getitem__, sequence), np.int64, len(sequence))
+        lengths = np.array(self.part_lengths)[number]
+        flat = np.array(self.part_flat)[_ranges(np.array(self.part_starts)[number], lengths)]
+        ends = np.append(np.cumsum(lengths)[np.flatnonzero(number == 0)], len(flat))
+        self._add(words, flat, np.diff(ends, prepend=0))
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.number) > self.limit:
+        if max(len(self.words), len(self.parts)) > self.limit:
             self.clear()
         words = [raw.split() for raw in raws]
-        missing = list({w for ws in words for w in ws if w not in self.number})
-        if missing:
-            self._learn(missing)
         counts = np.array([len(w) for w in words], np.int64)
-        number = self.number
-        flat = np.fromiter((number[x] for w in words for x in w), np.int64, int(counts.sum()))
-        if not len(flat):
-            return [np.zeros(0, np.uint32) for _ in raws]
-        lengths = np.array(self.lengths)[flat]
-        starts = np.array(self.starts)[flat]
-        ends = np.cumsum(lengths)
-        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-        ids = np.array(self.flat)[index].astype(np.uint32) if len(index) else np.zeros(0, np.uint32)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        flat = list(chain.from_iterable(words))
+        number = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(number < 0)
+        if len(unknown):
+            missing = [flat[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            number[unknown] = np.fromiter(map(self.words.__getitem__, missing), np.int64, len(missing))
+        lengths = self.lengths[number]
+        ids = self.flat[_ranges(self.starts[number], lengths)].astype(np.uint32)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of every (start, length), one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
 _ENCODERS: dict[str, WordIds] = {}
 
 
@@ -121,6 +162,8 @@ def _piece_maker(path: str, size: int, with_ids: bool):
     def cut(batches):
         encoder = _ENCODERS.setdefault(path, None) or WordIds(path)
         _ENCODERS[path] = encoder
+        # Millions of small objects and no cycles: the cycle collector would only walk the caches.
+        gc.disable()
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(as_bytes(batch.column("text")))):
