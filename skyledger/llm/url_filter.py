@@ -2,15 +2,15 @@
 
 Every host has a tree of path templates, grown one path segment at a time.  Below a
 node a segment stays literal when it has at least `SUPPORT` urls and `SHARE` of the
-node's urls; other segments fall to their shape (digits as #), and shapes that are rare
-themselves to a wildcard, so a node has at most 2 / SHARE + 1 branches.  Neighbouring
-branches, by their share of bad urls, are merged when a two-sample z test cannot tell
-them apart.  A node's purity is its labelled share of bad urls, smoothed towards its
+node's urls; other segments fall to their shape (digits as #), and shapes that are rare themselves to
+a wildcard.  Branches are counted into `BINS` bins of their smoothed share of bad urls;
+in order of rate a bin joins the group before it when z tests can tell it neither from
+the group's pooled counts nor from the group's first bin.  A node's purity is its labelled share of bad urls, smoothed towards its
 parent's; the template a url ends in decides, and is blocked from `LIMIT` on.
 
 Work runs on distinct (host, path) with counts.  Each level is partial aggregation and
-equi-joins on (host, node, segment), written to the shared folder; the only windows run
-over the bounded branches of one node.  A path deeper than `DEPTH` keeps its rest as one
+equi-joins on (host, node, segment), written to the shared folder; only the bins of one
+node meet in one row.  A path deeper than `DEPTH` keeps its rest as one
 last segment.
 
 Defined cases: a null url, or one without `://`, has empty host and path and ends at the
@@ -20,10 +20,13 @@ blocked; repeated rows count each time; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import UPPER, Scratch, settle, table
+from skyledger.llm.common import UPPER, Scratch, mapped, settle, table
 
 # Fixed values: (verdict, rule).
 RULES = (
@@ -39,6 +42,12 @@ DEPTH = 8
 SMOOTHING = 20.0
 Z = 1.96
 LIMIT = 0.5
+# Branches whose rates fall into one of so many equal bins are one before the test; LIMIT is a bin's edge.
+BINS = 1000
+# A merged branch names up to so many of its branches, else the first and the number of the others.
+NAMED = 200
+
+PARTS = "host string, node string, bin int, part int, below double, branches long, first string"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -69,6 +78,49 @@ def split_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     return own.select("page_id", host.alias("host"), path.alias("path"))
 
 
+def merged_parts(bins: list[tuple[int, int]], purity: float) -> list[int]:
+    """The group of each (labelled, bad), in order of rate.
+
+    A bin joins the group before it unless a z test tells it from the group's pooled
+    counts or from the group's first bin, so small steps cannot chain.
+    """
+    smooth = lambda labelled, bad: (labelled + SMOOTHING, (bad + SMOOTHING * purity) / (labelled + SMOOTHING))
+
+    def apart(x: tuple[int, int], y: tuple[int, int]) -> bool:
+        (n, p), (m, q) = smooth(*x), smooth(*y)
+        return abs(q - p) > Z * math.sqrt(max(0.0, p * (1 - p) / n + q * (1 - q) / m))
+
+    out: list[int] = []
+    first = pool = None
+    for own in bins:
+        if pool is None or apart(pool, own) or apart(first, own):
+            out.append(out[-1] + 1 if out else 0)
+            first = pool = own
+        else:
+            out.append(out[-1])
+            pool = (pool[0] + own[0], pool[1] + own[1])
+    return out
+
+
+def _parts(batches):
+    """Per bin of a node its group, the group's purity, its number of branches and its first branch."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.string())
+    for batch in batches:
+        rows = []
+        for node in batch.to_pylist():
+            bins = sorted(node["bins"], key=lambda x: x["bin"])
+            groups: dict[int, list[dict]] = {}
+            for x, part in zip(bins, merged_parts([(x["labelled"], x["bad"]) for x in bins], node["purity"])):
+                groups.setdefault(part, []).append(x)
+            for part, own in groups.items():
+                labelled, bad, branches = (sum(x[c] for x in own) for c in ("labelled", "bad", "branches"))
+                below = (bad + SMOOTHING * node["purity"]) / (labelled + SMOOTHING)
+                first = min((x["first"] for x in own), key=str.encode)
+                rows += [(node["host"], node["node"], x["bin"], part, below, branches, first) for x in own]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in PARTS.split(", ")])
+
+
 def _level(rows: DataFrame, level: int, work: Scratch) -> DataFrame:
     """Rows with the branch of their next segment: node and purity move one level down."""
     last = level + 1 >= DEPTH
@@ -83,20 +135,19 @@ def _level(rows: DataFrame, level: int, work: Scratch) -> DataFrame:
     kids = kids.join(shapes, ["host", "node", "shape"], "left")
     kids = kids.withColumn("branch", F.when(F.col("literal"), F.col("segment")).when(F.col("common"), F.concat(F.lit("{"), F.col("shape"), F.lit("}"))).otherwise("*"))
     branches = kids.groupBy("host", "node", "purity", "branch").agg(*sums)
-    # At most 2 / SHARE + 1 branches a node meet in these windows.
-    own = Window.partitionBy("host", "node")
     rate = (F.col("bad") + SMOOTHING * F.col("purity")) / (F.col("labelled") + SMOOTHING)
-    weight = F.col("labelled") + SMOOTHING
-    order = own.orderBy("rate", "branch")
-    branches = branches.withColumn("rate", rate).withColumn("weight", weight)
-    spread = F.col("rate") * (1 - F.col("rate")) / F.col("weight")
-    branches = branches.withColumn("spread", spread)
-    apart = F.col("rate") - F.lag("rate").over(order) > Z * F.sqrt(F.col("spread") + F.lag("spread").over(order))
-    branches = branches.withColumn("part", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
-    merged = branches.groupBy("host", "node", "purity", "part").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.array_join(F.sort_array(F.collect_set("branch")), "|").alias("name"))
-    merged = merged.withColumn("below", (F.col("bad") + SMOOTHING * F.col("purity")) / (F.col("labelled") + SMOOTHING))
-    to = branches.select("host", "node", "branch", "part").join(merged.select("host", "node", "part", "name", "below"), ["host", "node", "part"])
-    to = kids.select("host", "node", "segment", "branch").join(to, ["host", "node", "branch"]).select("host", "node", "segment", F.concat_ws("/", "node", "name").alias("child"), "below")
+    branches = work.settle(branches.withColumn("bin", F.floor(rate * BINS).cast("int")), "url-rates")
+    one = F.struct("bin", "labelled", "bad", "branches", "first")
+    bins = branches.groupBy("host", "node", "purity", "bin").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("branches"), F.min("branch").alias("first"))
+    # At most BINS + 1 bins a node meet in one row.
+    parts = work.settle(mapped(bins.groupBy("host", "node", "purity").agg(F.collect_list(one).alias("bins")), _parts, PARTS), "url-parts")
+    to = branches.select("host", "node", "branch", "bin").join(parts, ["host", "node", "bin"])
+    to = work.settle(to, "url-to")
+    named = to.where(F.col("branches") <= NAMED).groupBy("host", "node", "part").agg(F.array_join(F.sort_array(F.collect_set("branch")), "|").alias("name"))
+    to = to.join(work.settle(named, "url-names"), ["host", "node", "part"], "left")
+    name = F.coalesce("name", F.format_string("%s|+%d", "first", F.col("branches") - 1))
+    to = kids.select("host", "node", "segment", "branch").join(to.select("host", "node", "branch", "below", name.alias("name")), ["host", "node", "branch"])
+    to = to.select("host", "node", "segment", F.concat_ws("/", "node", "name").alias("child"), "below")
     moved = rows.drop("shape").join(work.settle(to, "url-branches"), ["host", "node", "segment"])
     return moved.select("host", "path", "segments", "n", "labelled", "bad", F.col("child").alias("node"), F.col("below").alias("purity"))
 

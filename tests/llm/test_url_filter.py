@@ -103,3 +103,27 @@ def test_repeated_rows_and_empty_table(spark):
     empty = frame.where(F.lit(False))
     assert url_verdicts(empty, labelled_urls(empty, none)).count() == 0
     assert url_filter.query is not None
+
+
+def labelled_sections(spark, sections):
+    """Pages of one host and their labels: (section, urls, bad urls)."""
+    rows = [(f"http://big.net/{name}/p{'abcdefghij'[i % 10]}", int(i < bad)) for name, n, bad in sections for i in range(n)]
+    frame = pages(spark, [u for u, _ in rows])
+    labels = spark.createDataFrame([(u, b) for u, b in rows], "url string, bad int").selectExpr("url", "bad")
+    known = labels.selectExpr("'big.net' as host", "substring(url, 15) as path", "bad")
+    return rows, frame, known
+
+
+def test_a_ladder_of_rates_does_not_chain(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sections = [(f"s{letters[i // 26]}{letters[i % 26]}", 100, round(100 * 0.9 * i / 39)) for i in range(40)]
+    rows, frame, known = labelled_sections(spark, sections)
+    got = url_verdicts(frame, known).collect()
+    rate = {name: bad / n for name, n, bad in sections}
+    assert len({r.template.split("/")[1] for r in got}) >= 4
+    for r in got:
+        own = rate[rows[r.page_id][0].split("/")[3]]
+        if own >= 0.75 or own <= 0.25:
+            assert r.verdict == ("block" if own >= 0.75 else "allow"), own
+    parts = url_filter.merged_parts([(100, round(90 * i / 39)) for i in range(40)], 0.3)
+    assert parts == sorted(parts) and max(parts) >= 3
