@@ -1,8 +1,8 @@
 """URL verdicts: host and path rules, else the smoothed purity of a path template.
 
 Every host has a tree of path templates, grown one path segment at a time.  Below a
-node a segment stays literal when it has at least `SUPPORT` urls and `SHARE` of the
-node's urls; other segments fall to their shape (digits as #), and shapes that are rare themselves to
+node a segment stays literal when it has at least `SUPPORT` urls, whatever its share;
+other segments fall to their shape (digits as #), and shapes that are rare themselves to
 a wildcard.  Branches are counted into `BINS` bins of their smoothed share of bad urls;
 in order of rate a bin joins the group before it when z tests can tell it neither from
 the group's pooled counts nor from the group's first bin.  A node's purity is its labelled share of bad urls, smoothed towards its
@@ -37,7 +37,6 @@ RULES = (
     ("block", "com/de/"),
 )
 SUPPORT = 20
-SHARE = 0.01
 DEPTH = 8
 SMOOTHING = 20.0
 Z = 1.96
@@ -128,10 +127,9 @@ def _level(rows: DataFrame, level: int, work: Scratch) -> DataFrame:
     rows = rows.withColumn("segment", segment).withColumn("shape", F.regexp_replace("segment", "[0-9]+", "#"))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     kids = work.settle(rows.groupBy("host", "node", "purity", "segment", "shape").agg(*sums), "url-kids")
-    parents = work.settle(kids.groupBy("host", "node").agg(F.sum("n").alias("all")), "url-parents")
-    enough = (F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("all"))
-    kids = kids.join(parents, ["host", "node"]).withColumn("literal", enough)
-    shapes = kids.where(~F.col("literal")).groupBy("host", "node", "shape", "all").agg(F.sum("n").alias("n")).where(enough).select("host", "node", "shape", F.lit(True).alias("common"))
+    enough = F.col("n") >= SUPPORT
+    kids = kids.withColumn("literal", enough)
+    shapes = kids.where(~F.col("literal")).groupBy("host", "node", "shape").agg(F.sum("n").alias("n")).where(enough).select("host", "node", "shape", F.lit(True).alias("common"))
     kids = kids.join(shapes, ["host", "node", "shape"], "left")
     kids = kids.withColumn("branch", F.when(F.col("literal"), F.col("segment")).when(F.col("common"), F.concat(F.lit("{"), F.col("shape"), F.lit("}"))).otherwise("*"))
     branches = kids.groupBy("host", "node", "purity", "branch").agg(*sums)

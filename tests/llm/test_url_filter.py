@@ -127,3 +127,15 @@ def test_a_ladder_of_rates_does_not_chain(spark):
             assert r.verdict == ("block" if own >= 0.75 else "allow"), own
     parts = url_filter.merged_parts([(100, round(90 * i / 39)) for i in range(40)], 0.3)
     assert parts == sorted(parts) and max(parts) >= 3
+
+
+def test_a_section_under_one_percent_keeps_its_own_rate(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    sections = [(f"n{letters[i // 26]}{letters[i % 26]}", 30, 0) for i in range(250)] + [("spam", 60, 60)]
+    rows, frame, known = labelled_sections(spark, sections)
+    got = url_verdicts(frame, known).collect()
+    assert {r.verdict for r in got if "/spam/" in rows[r.page_id][0]} == {"block"}
+    assert {r.verdict for r in got if "/spam/" not in rows[r.page_id][0]} == {"allow"}
+    # Two hundred and fifty equal sections are one branch with a short name, and the tree goes on below it.
+    assert {r.template.split("/")[1] for r in got if "/spam/" not in rows[r.page_id][0]} == {"naa|+249"}
+    assert all(r.template.startswith("/naa|+249/p") for r in got if "/spam/" not in rows[r.page_id][0])
