@@ -84,8 +84,14 @@ class Matcher:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for m in pattern.finditer(text, a, min(b, len(text))):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
+                # The best match can stand after a place with more edits, so both sides of it are searched.
+                todo = [(a, min(b, len(text)))]
+                while todo:
+                    low, high = todo.pop()
+                    m = pattern.search(text, low, high)
+                    if m:
+                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
+                        todo += [(m.end(), high), (low, m.start())]
         return out
 
 

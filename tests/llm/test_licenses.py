@@ -69,6 +69,11 @@ def test_every_edited_notice_is_found():
                 assert label in {f[0] for f in found}, text
 
 
+def test_an_earlier_notice_with_more_edits_is_found():
+    found = Matcher().find(b"all rights reservd all rights reserved")
+    assert sorted((a, b, e) for label, a, b, e, _ in found if label == "reserved") == [(0, 18, 1), (19, 38, 0)]
+
+
 def test_seeds_tile_the_notice():
     for notice in NOTICES:
         for k in range(6):
