@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.session import run_dir
 
@@ -18,6 +20,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Bounds of one Arrow batch handed to Python: rows and bytes (a single longer row still passes).
 BATCH_ROWS = 2048
 BATCH_BYTES = 4 << 20
+# Edges that a task turns into stars at once.
+FOREST_EDGES = 1_000_000
 
 
 # Work folders of this process that are still there.
@@ -99,31 +103,88 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """The rows written once under neutral column names, with a row number `rid`; and those names in order.
+
+    No column of the caller can clash with what an operator adds.
+    """
+    names = [f"own_{i}" for i in range(len(docs.columns))]
+    return settle(docs.toDF(*names).withColumn("rid", F.monotonically_increasing_id()), label), names
+
+
+def renamed(schema: T.StructType, names: list[str]) -> T.StructType:
+    """The schema under other names."""
+    return T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, schema.fields)])
+
+
 def pieces_of(rows: list, size: int) -> Iterator[list]:
     for at in range(0, len(rows), size):
         yield rows[at : at + size]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest node, other node) of every component of the edges."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    up = np.arange(len(nodes))
+    while True:
+        own, other = up[x], up[y]
+        if (own == other).all():
+            break
+        np.minimum.at(up, np.maximum(own, other), np.minimum(own, other))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+    far = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[up[far]], nodes[far]
+
+
+def edge_batches(pairs, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Two arrays of long as batches of (a, b)."""
+    for at in range(0, len(pairs[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + rows], pa.int64()) for x in pairs], ["a", "b"])
+
+
+def _forests(batches):
+    """The stars of each bounded run of edges: no more edges than nodes go on."""
+    held, count = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("a", "b")])
+        count += batch.num_rows
+        if count >= FOREST_EDGES:
+            yield from edge_batches(forest(*map(np.concatenate, zip(*held))))
+            held, count = [], 0
+    if held:
+        yield from edge_batches(forest(*map(np.concatenate, zip(*held))))
+
+
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
-    """Connected components of (a, b) edges: one row (node, root) per node, root the smallest node.
+    """Connected components of (a, b) edges of longs: one row (node, root) per node, root the smallest node.
 
-    Each round a node takes the smallest label among its neighbours and itself and
-    then the label of that label, so long chains halve.  Every round is written to
-    the shared folder (`work`); only whether a node changed reaches the driver.
-    Null ends are no nodes.
+    Tasks first turn their edges into stars.  Then, round by round, every node moves to the
+    smallest node near it and on to the one near that, edges inside what has become one
+    node vanish, and nodes without edges leave, so that rounds shrink; at the end the moves
+    are followed from the last round to the first.  Every round is written to the shared
+    folder (`work`); only whether an edge is left reaches the driver.  Null ends are no nodes.
     """
-    both = edges.where("a is not null and b is not null")
-    both = work.settle(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = work.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        nearer = labels.join(heard, "node").select("node", F.col("root").alias("was"), F.least("root", "heard").alias("root"))
-        of_root = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = nearer.join(of_root, "root").select("node", "was", F.least("root", "above").alias("root"))
-        step = work.settle(step, "labels")
-        if step.where("root <> was").isEmpty():
-            return step.select("node", "root")
-        labels = step.select("node", "root")
+    real = edges.select("a", "b").where("a is not null and b is not null and a <> b")
+    left, moves = work.settle(mapped(real, _forests, "a long, b long"), "edges"), []
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = work.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "near")
+        onward = near.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        moved = work.settle(near.join(onward, "root").select("node", F.col("next").alias("root")), "moves")
+        moves.append(moved)
+        for end in ("a", "b"):
+            left = left.join(moved.select(F.col("node").alias(end), F.col("root").alias(f"new_{end}")), end).drop(end)
+        left = left.select(F.col("new_a").alias("a"), F.col("new_b").alias("b")).where("a <> b").distinct()
+        left = work.settle(mapped(left, _forests, "a long, b long"), "edges")
+    if not moves:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = moves.pop()
+    while moves:
+        last = roots.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        roots = moves.pop().join(last, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    return work.settle(roots, "roots")
 
 
 def running_start(df: DataFrame, key: str, hashed: list[str], order: list, value, buckets: int = 4096) -> DataFrame:
