@@ -183,7 +183,7 @@ def sales_trend(lines: DataFrame) -> DataFrame:
     """Units and revenue per day, week, month and year, and growth on the period before.
 
     Days are summed first; the coarser periods and the growth window then work
-    on one row per calendar day.
+    on one row per calendar day.  Where the period before has no sales there is no growth.
     """
     daily = lines.groupBy(F.to_date(F.timestamp_millis("order_ms")).alias("day")).agg(
         F.sum("units").alias("units"), F.sum("revenue_e4").alias("revenue_e4")
@@ -191,10 +191,12 @@ def sales_trend(lines: DataFrame) -> DataFrame:
     periods = F.inline(
         F.array(*[F.struct(F.lit(g).alias("grain"), F.to_date(F.date_trunc(g, "day")).alias("period")) for g in GRAINS])
     )
+    prior = F.to_date(F.expr("date_trunc(grain, date_sub(period, 1))"))
     totals = daily.select("units", "revenue_e4", periods).groupBy("grain", "period").agg(
         F.sum("units").alias("units"), F.sum("revenue_e4").alias("revenue_e4")
     )
-    before = F.lag("revenue_e4").over(Window.partitionBy("grain").orderBy("period"))
+    over = Window.partitionBy("grain").orderBy("period")
+    before = F.when(F.lag("period").over(over) == prior, F.lag("revenue_e4").over(over))
     return totals.select(
         "grain",
         F.col("period").cast("string").alias("period"),
@@ -239,9 +241,14 @@ def order_value(lines: DataFrame) -> DataFrame:
     )
 
 
-def turnover(products: DataFrame, sales: DataFrame, levels: DataFrame, opening_units: Column) -> DataFrame:
-    """Units or cost sold over average stock, per product and per category."""
-    closing = levels.groupBy("product_id").agg(F.sum("on_hand").alias("closing"))
+def turnover(products: DataFrame, sales: DataFrame, levels: DataFrame, opening_each: Column, locations: int) -> DataFrame:
+    """Units or cost sold over average stock, per product and per category.
+
+    Opening and closing stock are taken over all locations; one where a product did not move
+    closes as it opened.
+    """
+    closing = levels.groupBy("product_id").agg(F.sum("on_hand").alias("closing"), F.count(F.lit(1)).alias("_moved"))
+    still = locations - F.coalesce("_moved", F.lit(0))
     base = (
         products.join(sales.select("product_id", "units"), "product_id", "left")
         .join(closing, "product_id", "left")
@@ -249,7 +256,7 @@ def turnover(products: DataFrame, sales: DataFrame, levels: DataFrame, opening_u
             "product_id",
             "category",
             F.coalesce("units", F.lit(0)).alias("sold"),
-            (opening_units + F.coalesce("closing", F.lit(0))).alias("stock2"),
+            (opening_each * (locations + still) + F.coalesce("closing", F.lit(0))).alias("stock2"),
             "cost_cents",
         )
     )

@@ -9,7 +9,7 @@ from skyledger.functions.fixed_values import EQUIPMENT_CHANGES, STATUS_CHANGES,
 from skyledger.operators import diff, routing
 from skyledger.plans.relations_sql import EVENTS, with_
 from skyledger.sources.flights import delay_events
-from skyledger.sources.raw_events import raw_events, raw_sql
+from skyledger.sources.raw_events import GROUPS, raw_events, raw_sql
 from skyledger.sources.tables import table
 
 # "Now" of the registered queries, so that they repeat: 2024-01-15 00:00 UTC.
@@ -93,12 +93,13 @@ def late_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per flight: records, distinct records by value and by hash, and repeats of the one before.
 
-    Two records are equal in flight key, payload, arrival station and previous leg.
+    Two records are equal in flight key, payload, arrival station and previous leg; the payload
+    is the event's name and all groups of its document.
     """
     raw = _raw(spark, sf_dir)
     prior = F.concat_ws("/", "linkage.prior_num", "linkage.prior_date")
     slim = raw.select(
-        "flight_key", "event_id", "source_ts_ms", F.upper("raw_event").alias("payload"),
+        "flight_key", "event_id", "source_ts_ms", F.struct(F.upper("raw_event").alias("name"), *GROUPS).alias("payload"),
         F.col("stations.arr").alias("arrival"), F.when(F.col("linkage").isNotNull(), prior).alias("previous"),
     )
     value = F.struct("flight_key", "payload", "arrival", "previous")
@@ -378,12 +379,12 @@ WHERE status_leg IN ('CANCELLED', 'CANCELLED_VIA_XL') AND status_dep IS DISTINCT
     + _diff("eq", EQUIPMENT_CHANGES),
     "late_guard": _RAW + "," + _kept("base") + "SELECT flight_key, event_id, source_ts_ms FROM kept",
     "record_equality": _RAW
-    + """
+    + f"""
 SELECT flight_key, count(*) AS records, count(DISTINCT v) AS distinct_records, count(DISTINCT v) AS distinct_hashes,
-       count(*) FILTER (v = old) AS repeats
+       count(*) FILTER (v IS NOT DISTINCT FROM old) AS repeats
 FROM (SELECT *, lag(v) OVER (PARTITION BY flight_key ORDER BY event_id) AS old
-      FROM (SELECT *, concat_ws('|', ev, coalesce(stations_arr, '~'), CASE WHEN has_linkage
-              THEN concat_ws('/', linkage_prior_num, linkage_prior_date) ELSE '~' END) AS v FROM base WHERE source_ts_ms IS NOT NULL))
+      FROM (SELECT *, row(ev, {", ".join(f"has_{g}, " + ", ".join(f"{g}_{n}" for n in fields) for g, (_, fields) in GROUPS.items())}) AS v
+            FROM base WHERE source_ts_ms IS NOT NULL))
 GROUP BY flight_key""",
     "event_disposition": _RAW
     + """

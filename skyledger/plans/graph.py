@@ -50,41 +50,74 @@ def inbound_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.waits(*_links(spark, sf_dir)).select("flight_key", "prev_key").distinct()
 
 
-def _run(spark: SparkSession, sf_dir: str, cancel_continues: bool = False) -> DataFrame:
+# Late legs start a run by their own request, and every second what-if leg a live run as well; both in batches.
+LATE = "ltd_ms > std_ms"
+BATCH, ROUTE = "concat('B', part_id % 4)", "concat('R', supp_id % 5)"
+TWICE = "request_id <> '0' AND part_id % 2 = 0"
+
+
+def _roots(wide: DataFrame) -> DataFrame:
+    late = wide.filter(LATE).withColumns({"batch_id": F.expr(BATCH), "route_id": F.expr(ROUTE)})
+    columns = ("flight_key", "flight_date", "request_id", "request_type", "batch_id", "route_id")
+    live = {"request_id": F.lit("0"), "request_type": F.lit("LIVE")}
+    return late.select(*columns).unionByName(late.filter(TWICE).withColumns(live).select(*columns))
+
+
+def _snapshot_times(wide: DataFrame) -> DataFrame:
+    """What earlier what-if runs have stored."""
+    return state.snapshots(wide).select(F.col("snapshot_id").alias("request_id"), "flight_key", "ptd_ms", "pta_ms")
+
+
+def _run(spark: SparkSession, sf_dir: str, cancel_continues: bool = False, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Propagate from every leg that departs later than scheduled, by its own event and request."""
     wide, crew = _links(spark, sf_dir)
     crew = settle(crew, "crew")
     legs = wide.select(*STATE)
     links = settle(g.linked(g.edges(wide, crew), legs), "links")
-    roots = legs.filter("ltd_ms > std_ms").select("flight_key", "flight_date", "request_id", "request_type")
     people = crew.select("flight_key", "duty_key", "seat", "prev_flight_key", "turn_min")
-    return g.propagate(legs, links, people, state.tails(spark, sf_dir), roots, run_dir(spark, "rounds"), cancel_continues)[0]
+    folder = folder or run_dir(spark, "rounds")
+    return g.propagate(legs, links, people, state.tails(spark, sf_dir), _roots(wide), folder, cancel_continues, _snapshot_times(wide))
 
 
 def _shown(log: DataFrame) -> DataFrame:
     return log.select(
-        F.col("round").cast("long").alias("round"), "root_key", "request_id", "flight_key", "last_key", "resource_type",
+        F.col("round").cast("long").alias("round"), *g.TREE, "route_id", "flight_key", "last_key", "resource_type",
         "arrivals", "errors", "children", "continues", *[f"new_{f}" for f in p.PROJECTED],
-        F.array_join("path", ",").alias("path"),
     )
 
 
 def propagation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_run(spark, sf_dir))
+    return _shown(_run(spark, sf_dir)[0])
 
 
 def propagation_after_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with cancelled legs passing their change on."""
-    return _shown(_run(spark, sf_dir, cancel_continues=True))
+    return _shown(_run(spark, sf_dir, cancel_continues=True)[0])
+
+
+def propagated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times that a run changes, per request: the live rows and those of what-if snapshots."""
+    return _run(spark, sf_dir)[1].select("request_id", "flight_key", *p.PROJECTED)
+
+
+def deepest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tree the way to its last leg, from the root on."""
+    folder = run_dir(spark, "rounds")
+    _run(spark, sf_dir, folder=folder)
+    visits = g.visits_of(spark, folder)
+    last = F.max_by(F.struct("flight_key", "round"), F.struct("round", "flight_key")).alias("v")
+    asked = visits.groupBy(*g.TREE).agg(last).select(*g.TREE, "v.flight_key", "v.round")
+    found = g.paths_to(settle(asked, "asked"), visits, folder)
+    return found.select(*g.TREE, "flight_key", F.col("round").cast("long").alias("round"), F.array_join("path", ",").alias("path"))
 
 
 def tracker_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracked = g.tracker(_run(spark, sf_dir))
+    tracked = g.tracker(_run(spark, sf_dir)[0])
     return tracked.withColumn("last_round", F.col("last_round").cast("long"))
 
 
 def tracker_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.completions(g.tracker(_run(spark, sf_dir)))
+    return g.completions(g.tracker(_run(spark, sf_dir)[0]))
 
 
 def continue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,23 +129,24 @@ def continue_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two steps on from every leg, the second also over links turned round, so that paths loop."""
+    """Two steps on from every leg, the second also over links turned round, so that paths close circles."""
     wide, crew = _links(spark, sf_dir)
     links = g.edges(wide, crew)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "resource_type")
     both = g.linked(links.unionByName(back).distinct(), wide)
+    rounds = g.Rounds(spark, run_dir(spark, "guard"))
+    null = F.lit(None).cast("string")
     start = wide.select(
-        F.col("flight_key").alias("root_key"), F.col("flight_date").alias("root_date"), "request_id",
-        F.lit(False).alias("swap"), "flight_key", F.array("flight_key").alias("path"),
+        F.lit("B").alias("batch_id"), F.col("flight_key").alias("root_key"), "request_id", F.col("flight_date").alias("root_date"),
+        "request_type", null.alias("route_id"), "flight_key", null.alias("last_key"), null.alias("resource_type"),
+        F.col("std_ms").alias("peak_ms"), null.alias("error"),
     )
+    start = rounds.add("frontier", 0, g._merged(start))
     first = g.follow(start, g.linked(links.filter("resource_type = 'EQUIPMENT'"), wide)).filter("error IS NULL")
-    return g.follow(first.drop("last_key", "resource_type", "error"), both).select(
-        F.col("root_key").alias("start"),
-        F.col("last_key").alias("at"),
-        F.col("flight_key").alias("dst"),
-        "resource_type",
-        "error",
-        F.array_join("path", ",").alias("path"),
+    first = rounds.add("frontier", 1, g._merged(first.drop("suspect")))
+    arrivals = rounds.add("arrivals", 1, g.follow(first, both))
+    return g.refused_cycles(arrivals, rounds, 1).select(
+        F.col("root_key").alias("start"), F.col("last_key").alias("at"), F.col("flight_key").alias("dst"), "resource_type", "error",
     )
 
 
@@ -165,6 +199,8 @@ QUERIES = {
         inbound_legs,
         propagation_rounds,
         propagation_after_cancel,
+        propagated_times,
+        deepest_paths,
         tracker_state,
         tracker_complete,
         continue_filter,
@@ -191,9 +227,12 @@ _ALL = (LEGS, FLIGHTS, state.wide_sql(), CREW, _LINKS)
 
 
 def _step_sql(r: int) -> str:
-    """Resources, ready times and projection of the frontier legs, from the pieces of the projection's SQL."""
-    event = "" if r == 0 else "REPLACE ('PE_CONTINUED' AS pe_event)"
-    named = {"wide w": f"w{r} w", "wide i": f"s{r} i", "FROM served": f"FROM served{r}", "FROM craft": f"FROM craft{r}",
+    """Resources, ready times and projection of the frontier legs, from the pieces of the projection's SQL.
+
+    Keys are those inside a request, so that a request's legs meet its own state only.
+    """
+    event = "" if r == 0 else ", 'PE_CONTINUED' AS pe_event"
+    named = {"wide w": f"w{r} w", "wide i": f"s{r} i", "FROM served": f"FROM served{r}", "FROM craft": f"FROM craft{r}", "crew c": "people c",
              "FROM res ": f"FROM res{r} ", "mx m": f"mx{r} m", "FROM dep)": f"FROM dep{r})", "FROM ruled)": f"FROM ruled{r})"}
     pieces = []
     for text in (projection._EQUIPMENT, projection._RES, projection._MAX, projection._DEP, projection._RULED):
@@ -203,16 +242,25 @@ def _step_sql(r: int) -> str:
             text = text.replace(f"\n{name} AS (", f"\n{name}{r} AS MATERIALIZED (")
         pieces.append(text)
     return f"""
-w{r} AS MATERIALIZED (SELECT * {event} FROM s{r} WHERE flight_key IN (SELECT flight_key FROM f{r} WHERE error IS NULL)),""" + ",".join(pieces)
+w{r} AS MATERIALIZED (
+  SELECT s.* REPLACE (CASE WHEN k.swap THEN 'SWAP_WHATIF' ELSE 'LIVE' END AS request_type{event})
+  FROM s{r} s JOIN (SELECT flight_key, bool_or(swap) AS swap FROM f{r} WHERE error IS NULL GROUP BY flight_key) k USING (flight_key)),""" + ",".join(pieces)
+
+
+_MOVED = " OR ".join(f"(new_{f} IS NOT NULL AND new_{f} IS DISTINCT FROM {f})" for f in p.PROJECTED)
+
+
+def _state_sql(r: int) -> str:
+    """The state before round r."""
+    return f"""
+s{r} AS MATERIALIZED (
+  SELECT w.* REPLACE ({", ".join(f"coalesce(n.new_{f}, w.{f}) AS {f}" for f in p.PROJECTED)})
+  FROM s{r - 1} w LEFT JOIN (SELECT * FROM proj{r - 1} WHERE {_MOVED}) n ON n.flight_key = w.flight_key),"""
 
 
 def _round_sql(r: int, cancel_continues: bool) -> str:
     fields = p.PROJECTED
-    moved = " OR ".join(f"(new_{f} IS NOT NULL AND new_{f} IS DISTINCT FROM {f})" for f in fields)
-    state_cte = "s0 AS (SELECT * FROM wide)," if r == 0 else f"""
-s{r} AS MATERIALIZED (
-  SELECT w.* REPLACE ({", ".join(f"coalesce(n.new_{f}, w.{f}) AS {f}" for f in fields)})
-  FROM s{r - 1} w LEFT JOIN (SELECT * FROM proj{r - 1} WHERE {moved}) n ON n.flight_key = w.flight_key),"""
+    state_cte = "" if r == 0 else _state_sql(r)
     stop = "" if cancel_continues else "AND c.leg_status <> 'CANCELLED'"
     return f"""{state_cte}{_step_sql(r)},
 v{r} AS MATERIALIZED (
@@ -224,54 +272,84 @@ v{r} AS MATERIALIZED (
       THEN true ELSE false END AS continues
   FROM f{r} f LEFT JOIN proj{r} c ON c.flight_key = f.flight_key),
 f{r + 1} AS MATERIALIZED (
-  SELECT root_key, min(root_date) AS root_date, min(request_id) AS request_id, bool_or(swap) AS swap, flight_key,
+  SELECT batch_id, root_key, request_id, min(root_date) AS root_date, min(route_id) AS route_id, bool_or(swap) AS swap, flight_key,
     count(*) AS arrivals, count(error) AS errors,
     arg_min(last_key, o) AS last_key, arg_min(resource_type, o) AS resource_type, arg_min(path, o) AS path,
     CASE WHEN count(error) = count(*) THEN min(error) END AS error
-  FROM (SELECT *, {{'e': error IS NOT NULL, 'l': last_key, 't': resource_type, 'p': path}} AS o
-    FROM (SELECT v.root_key, v.root_date, v.request_id, v.swap, l.dst AS flight_key, l.src AS last_key, l.resource_type,
-        list_sort(list_distinct(list_append(v.path, l.dst))) AS path,
-        CASE WHEN l.resource_type = 'EQUIPMENT' AND list_contains(v.path, l.dst) THEN 'cyclic path'
-             WHEN l.resource_type = 'EQUIPMENT' AND w.prev_leg_key <> l.src THEN 'previous leg differs' END AS error
-      FROM v{r} v JOIN links l ON l.src = v.flight_key JOIN wide w ON w.flight_key = l.dst WHERE v.continues))
-  GROUP BY root_key, flight_key)"""
+  FROM (SELECT *, {{'e': error IS NOT NULL, 'l': last_key, 't': resource_type}} AS o
+    FROM (SELECT v.batch_id, v.root_key, v.request_id, v.route_id, v.root_date, v.swap, l.dst AS flight_key, l.src AS last_key, l.resource_type,
+        list_append(v.path, l.dst) AS path,
+        CASE WHEN l.resource_type = 'EQUIPMENT' AND w.prev_leg_key <> l.src THEN 'previous leg differs' END AS error
+      FROM v{r} v JOIN inside l ON l.src = v.flight_key JOIN s0 w ON w.flight_key = l.dst WHERE v.continues))
+  GROUP BY batch_id, root_key, request_id, flight_key)"""
+
+
+# Relations inside each request: its keys, the stored times of its snapshot, links and crew.
+_INSIDE = """
+reqs AS (SELECT DISTINCT request_id AS req FROM wide UNION SELECT '0'),
+s0 AS MATERIALIZED (
+  SELECT w.* REPLACE (r.req || ':' || w.flight_key AS flight_key, r.req || ':' || w.prev_leg_key AS prev_leg_key,
+    coalesce(n.ptd_ms, w.ptd_ms) AS ptd_ms, coalesce(n.pta_ms, w.pta_ms) AS pta_ms)
+  FROM wide w CROSS JOIN reqs r LEFT JOIN snap n ON n.flight_key = w.flight_key AND n.snapshot_id = r.req),
+people AS MATERIALIZED (
+  SELECT c.* REPLACE (r.req || ':' || c.flight_key AS flight_key, r.req || ':' || c.prev_flight_key AS prev_flight_key) FROM crew c CROSS JOIN reqs r),
+inside AS MATERIALIZED (SELECT r.req || ':' || l.src AS src, r.req || ':' || l.dst AS dst, l.resource_type FROM links l CROSS JOIN reqs r)"""
 
 
 def _log_sql(cancel_continues: bool = False) -> str:
-    first = """
+    first = f"""
+late AS (SELECT *, 'B' || (part_id % 4) AS batch_id, 'R' || (supp_id % 5) AS route_id FROM wide WHERE {LATE}),
+roots AS (
+  SELECT flight_key, flight_date, request_id, request_type, batch_id, route_id FROM late
+  UNION ALL SELECT flight_key, flight_date, '0', 'LIVE', batch_id, route_id FROM late WHERE {TWICE}),
 f0 AS MATERIALIZED (
-  SELECT flight_key AS root_key, flight_date AS root_date, request_id, request_type = 'SWAP_WHATIF' AS swap, flight_key,
-    1 AS arrivals, 0 AS errors, CAST(NULL AS VARCHAR) AS last_key, CAST(NULL AS VARCHAR) AS resource_type,
-    [flight_key] AS path, CAST(NULL AS VARCHAR) AS error
-  FROM wide WHERE ltd_ms > std_ms)"""
+  SELECT batch_id, flight_key AS root_key, request_id, flight_date AS root_date,
+    CASE WHEN request_type <> 'LIVE' THEN route_id END AS route_id, request_type = 'SWAP_WHATIF' AS swap,
+    request_id || ':' || flight_key AS flight_key, 1 AS arrivals, 0 AS errors, CAST(NULL AS VARCHAR) AS last_key,
+    CAST(NULL AS VARCHAR) AS resource_type, [request_id || ':' || flight_key] AS path, CAST(NULL AS VARCHAR) AS error
+  FROM roots)"""
     log = "\nUNION ALL ".join(
-        f"""SELECT CAST({r} AS BIGINT) AS round, v.root_key, v.request_id, v.flight_key, v.last_key, v.resource_type,
+        f"""SELECT CAST({r} AS BIGINT) AS round, v.batch_id, v.root_key, v.request_id, v.route_id, split_part(v.flight_key, ':', 2) AS flight_key,
+  split_part(v.last_key, ':', 2) AS last_key, v.resource_type,
   CAST(v.arrivals AS BIGINT) AS arrivals, CAST(v.errors AS BIGINT) AS errors, v.continues,
-  {", ".join(f"v.new_{f}" for f in p.PROJECTED)}, array_to_string(v.path, ',') AS path,
+  {", ".join(f"v.new_{f}" for f in p.PROJECTED)}, v.path,
   CASE WHEN v.continues THEN coalesce(d.n, 0) ELSE 0 END AS children
-FROM v{r} v LEFT JOIN degree d ON d.src = v.flight_key"""
+FROM v{r} v LEFT JOIN degree d ON d.src = split_part(v.flight_key, ':', 2)"""
         for r in range(SQL_ROUNDS)
     )
     return with_(
         *_ALL,
         state.TAILS_SQL,
+        state.snap_sql(),
+        _INSIDE,
         "degree AS (SELECT src, count(*) AS n FROM links GROUP BY src)",
         first,
         *[_round_sql(r, cancel_continues) for r in range(SQL_ROUNDS)],
         f"""visits AS ({log}
-UNION ALL SELECT error('legs are left after the last round'), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+UNION ALL SELECT error('legs are left after the last round'), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
   {", ".join("NULL" for _ in p.PROJECTED)}, NULL, NULL FROM f{SQL_ROUNDS})""",
     )
 
 
+_SEEN = "SELECT * EXCLUDE (path) FROM visits"
 _TRACK = """,
 track AS (
-  SELECT root_key, CAST(sum(arrivals) AS BIGINT) AS processed, CAST(sum(children) AS BIGINT) AS children,
+  SELECT batch_id, root_key, request_id, CAST(sum(arrivals) AS BIGINT) AS processed, CAST(sum(children) AS BIGINT) AS children,
     CAST(1 + sum(children) - sum(arrivals) AS BIGINT) AS pending, CAST(sum(errors) AS BIGINT) AS failures,
     sum(errors) > 0 AS failed, max(round) AS last_round
-  FROM visits GROUP BY root_key)
+  FROM visits GROUP BY batch_id, root_key, request_id)
 """
 
+
+def _times_sql() -> str:
+    asked = " UNION ".join(f"SELECT flight_key FROM f{r} WHERE error IS NULL" for r in range(SQL_ROUNDS))
+    last = _state_sql(SQL_ROUNDS).strip().rstrip(",")
+    return _log_sql() + f""",
+{last}
+SELECT split_part(flight_key, ':', 1) AS request_id, split_part(flight_key, ':', 2) AS flight_key, {", ".join(p.PROJECTED)}
+FROM s{SQL_ROUNDS} WHERE flight_key IN ({asked})"""
+
+
 ORACLE = {
     "edges": with_(*_ALL)
     + """SELECT src, dst, resource_type, dst || '||' || resource_type AS link, dst AS link_key,
@@ -279,12 +357,19 @@ ORACLE = {
     "equipment_edges": _WIDE
     + "SELECT flight_key AS src, next_leg_key AS dst, 'EQUIPMENT' AS resource_type FROM wide WHERE next_leg_key IS NOT NULL",
     "inbound_legs": with_(*_ALL) + "SELECT DISTINCT flight_key, prev_key FROM waits",
-    "propagation_rounds": _log_sql() + "SELECT * FROM visits",
-    "propagation_after_cancel": _log_sql(True) + "SELECT * FROM visits",
+    "propagation_rounds": _log_sql() + _SEEN,
+    "propagation_after_cancel": _log_sql(True) + _SEEN,
+    "propagated_times": _times_sql(),
+    "deepest_paths": _log_sql()
+    + """
+SELECT batch_id, root_key, request_id, flight_key, round,
+  array_to_string(list_transform(path, lambda x: split_part(x, ':', 2)), ',') AS path
+FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, root_key, request_id ORDER BY round DESC, flight_key DESC) AS rn FROM visits)
+WHERE rn = 1""",
     "tracker_state": _log_sql() + _TRACK + "SELECT * FROM track",
     "tracker_complete": _log_sql()
     + _TRACK
-    + """SELECT root_key AS flight_key, 'PE_COMPLETE' AS event_type, CASE WHEN failed THEN 'FAILED' ELSE 'DONE' END AS status,
+    + """SELECT batch_id, root_key AS flight_key, request_id, 'PE_COMPLETE' AS event_type, CASE WHEN failed THEN 'FAILED' ELSE 'DONE' END AS status,
        processed FROM track WHERE pending = 0""",
     "continue_filter": projection._PROJ
     + """
@@ -298,8 +383,7 @@ FROM proj q LEFT JOIN wide i ON i.flight_key = q.prev_leg_key""",
 steps AS (SELECT src, dst, resource_type FROM links UNION SELECT dst, src, resource_type FROM links)
 SELECT a.src AS start, a.dst AS at, b.dst, b.resource_type,
        CASE WHEN b.resource_type = 'EQUIPMENT' AND b.dst IN (a.src, a.dst) THEN 'cyclic path'
-            WHEN b.resource_type = 'EQUIPMENT' AND w.prev_leg_key <> b.src THEN 'previous leg differs' END AS error,
-       array_to_string(list_sort(list_distinct([a.src, a.dst, b.dst])), ',') AS path
+            WHEN b.resource_type = 'EQUIPMENT' AND w.prev_leg_key <> b.src THEN 'previous leg differs' END AS error
 FROM links a JOIN steps b ON b.src = a.dst JOIN wide w ON w.flight_key = b.dst WHERE a.resource_type = 'EQUIPMENT'""",
     "calculated_markers": _WIDE
     + "SELECT flight_key, 'PE_CALCULATED' AS event_type, prev_leg_key FROM wide WHERE request_type = 'LIVE'",

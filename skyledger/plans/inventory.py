@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyledger.operators import inventory as inv
 from skyledger.operators import lof, sinks
 from skyledger.operators import project as p
+from skyledger.operators.versions import KeyedState
 from skyledger.plans import lof as lof_plans
 from skyledger.plans import projection
 from skyledger.plans.relations_sql import LEGS, with_
@@ -117,7 +118,7 @@ def order_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.turnover(
-        stock.products(spark, sf_dir), _sales(spark, sf_dir), _levels(spark, sf_dir), planned_opening(spark, sf_dir)
+        stock.products(spark, sf_dir), _sales(spark, sf_dir), _levels(spark, sf_dir), _opening(), stock.locations(spark, sf_dir).count()
     )
 
 
@@ -160,12 +161,15 @@ PATCHED = ("ptd_ms", "pta_ms", "equip_ready_ms", "cabin_ready_ms", "cockpit_read
 
 
 def upsert_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored legs after the departure-delay results are patched in."""
+    """Stored legs after the departure-delay results are patched in: a version of the patched legs only."""
     legs = flights.legs(spark, sf_dir)
     at = F.col("order_ms")
-    patch = lof.emitted_legs(lof.apply_delay(lof.same_event(legs, "DEP_DLY_EVENT", at, at)))
-    after = sinks.upsert(legs.rows().select("flight_key", "std_ms", *PATCHED), patch, "flight_key", PATCHED)
-    return sinks.stored(after, run_dir(spark, "times"), 1)
+    stored = legs.rows().select("flight_key", "std_ms", *PATCHED)
+    kept = KeyedState(spark, run_dir(spark, "times"), stored.schema, ["flight_key"])
+    kept.write(0, stored)
+    patch = settle(lof.emitted_legs(lof.apply_delay(lof.same_event(legs, "DEP_DLY_EVENT", at, at))), "patch")
+    kept.write(1, sinks.upsert(kept.read(0, patch), patch, "flight_key", PATCHED))
+    return kept.read()
 
 
 def replace_resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,8 +184,10 @@ def replace_resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fresh = p.resource_ready(wide, None, state.tails(spark, sf_dir), with_crew=False)
     swap = wide.filter(F.col("request_type") == p.SWAP).select("flight_key")
-    after = sinks.replace_rows(old, fresh.join(swap, "flight_key", "left_semi").select(*columns), "flight_key")
-    return sinks.stored(after, run_dir(spark, "resources"), 1)
+    kept = KeyedState(spark, run_dir(spark, "resources"), old.schema, ["flight_key"])
+    kept.write(0, old)
+    kept.write(1, fresh.join(swap, "flight_key", "left_semi").select(*columns))
+    return kept.read()
 
 
 QUERIES = {
@@ -314,8 +320,9 @@ t AS (
   SELECT grain, CAST(CAST(date_trunc(grain, epoch_ms(order_ms)) AS DATE) AS VARCHAR) AS period, CAST(sum(units) AS BIGINT) AS units,
          CAST(sum(revenue_e4) AS BIGINT) AS revenue_e4
   FROM (SELECT *, unnest(['day', 'week', 'month', 'year']) AS grain FROM lines) GROUP BY ALL)
-SELECT *, round((revenue_e4 - lag(revenue_e4) OVER w) / lag(revenue_e4) OVER w, 6) AS growth
-FROM t WINDOW w AS (PARTITION BY grain ORDER BY period)""",
+SELECT * EXCLUDE (before), round((revenue_e4 - before) / before, 6) AS growth
+FROM (SELECT *, CASE WHEN CAST(lag(period) OVER w AS DATE) = CAST(date_trunc(grain, CAST(period AS DATE) - 1) AS DATE)
+        THEN lag(revenue_e4) OVER w END AS before FROM t WINDOW w AS (PARTITION BY grain ORDER BY period))""",
     "top_sellers": with_(_LINES, _SALES)
     + """
 SELECT s.product_id, s.units, s.revenue_e4, p.name, p.category
@@ -333,9 +340,10 @@ GROUP BY customer_id""",
     "turnover": with_(_LINES, _MOVES, _LEVELS, _SALES)
     + """,
 b AS (
-  SELECT p.product_id, category, coalesce(s.units, 0) AS sold, CAST(p.size * 2 * (SELECT count(*) FROM nation) + coalesce(c.closing, 0) AS BIGINT) AS stock2, cost_cents
+  SELECT p.product_id, category, coalesce(s.units, 0) AS sold,
+    CAST(p.size * 2 * (2 * (SELECT count(*) FROM nation) - coalesce(c.moved, 0)) + coalesce(c.closing, 0) AS BIGINT) AS stock2, cost_cents
   FROM prod p LEFT JOIN sales s ON s.product_id = p.product_id
-  LEFT JOIN (SELECT product_id, sum(on_hand) AS closing FROM levels GROUP BY product_id) c ON c.product_id = p.product_id),
+  LEFT JOIN (SELECT product_id, sum(on_hand) AS closing, count(*) AS moved FROM levels GROUP BY product_id) c ON c.product_id = p.product_id),
 u AS (
   SELECT 'product' AS grain, CAST(product_id AS VARCHAR) AS item, CAST(sold AS BIGINT) AS sold, stock2 FROM b
   UNION ALL SELECT 'category', category, CAST(sum(sold * cost_cents) AS BIGINT), CAST(sum(stock2 * cost_cents) AS BIGINT) FROM b GROUP BY category),

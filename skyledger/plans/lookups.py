@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.operators import lookup
+from skyledger.operators.versions import KeyedState
 from skyledger.plans.relations_sql import CREW, FLIGHTS, LEGS, with_
 from skyledger.sources import state
-from skyledger.session import settle
+from skyledger.session import run_dir, settle
 from skyledger.sources.flights import crew_assignments, flights, hot_duties, legs
 
 GATE = "'G' || (supp_id % 12)"
@@ -104,16 +105,21 @@ def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.by_ids(keys, wide, ("ltd_ms", "lta_ms", "pta_ms"))
 
 
+# Columns by which stored flights are found.
+FOUND_BY = ("airline", "flight_number", "dep_station", "arr_station")
+
+
+def flight_index(spark: SparkSession, sf_dir: str) -> KeyedState:
+    """The flights stored by the columns they are found by, one version of the state."""
+    rows = flights(legs(spark, sf_dir)).rows().select("flight_key", "flight_date", "std_ms", *FOUND_BY)
+    index = KeyedState(spark, run_dir(spark, "flights"), rows.schema, FOUND_BY)
+    index.write(0, rows)
+    return index
+
+
 def indexed_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights of the stored state matching four equalities, which reach its scan."""
-    wanted = ("flight_key", "flight_date", "std_ms", "airline", "flight_number", "dep_station", "arr_station")
-    stored = settle(flights(legs(spark, sf_dir)).rows().select(*wanted), "stored")
-    found = stored.filter(
-        (F.col("airline") == "A1")
-        & (F.col("flight_number") == "2")
-        & (F.col("dep_station") == "S3")
-        & (F.col("arr_station") == "S1")
-    )
+    """Stored flights that match four equalities: one bucket of the state, filtered in its scan."""
+    found = flight_index(spark, sf_dir).find(airline="A1", flight_number="2", dep_station="S3", arr_station="S1")
     return found.select("flight_key", "flight_date", "std_ms")
 
 

@@ -40,6 +40,12 @@ ev AS (
     FROM orders)
 )"""
 
+# The same with the arrival of the previous leg looked up in the line.
+EVENTS_LOOKED = EVENTS.replace("\nev AS (", "\ngiven AS (") + """,
+ev AS (
+  SELECT g.* REPLACE (p.pta_ms AS prev_leg_pta_ms)
+  FROM given g LEFT JOIN legs p ON p.chain_id = g.chain_id AND p.leg_seq = g.event_seq - 1)"""
+
 FLIGHTS = """
 flights AS (
   SELECT *, coalesce(lag(arr_station) OVER c, 'S' || ((supp_id + 1) % 5)) AS dep_station,

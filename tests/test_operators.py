@@ -39,8 +39,11 @@ def state_row(key, dep, late=0, prev=None, status="ACTIVE", air=60, turn=20, eve
     )
 
 
-def spread(spark, legs, links, crew, roots, **options):
-    """Visits and patch of a run; `crew` has (leg, inbound leg, turn minutes)."""
+ROOT = "flight_key string, flight_date string, request_id string, request_type string, batch_id string, route_id string"
+
+
+def run_rounds(spark, legs, links, crew, roots, **options):
+    """Log and patch of a run; `crew` has (leg, inbound leg, turn minutes), `roots` leg names or whole rows."""
     state = settle(spark.createDataFrame(legs, LEG), "state")
     edges = spark.createDataFrame(links, "src string, dst string, resource_type string")
     people = spark.createDataFrame(
@@ -48,13 +51,27 @@ def spread(spark, legs, links, crew, roots, **options):
         "flight_key string, duty_key string, seat string, prev_flight_key string, turn_min long",
     )
     tails = spark.createDataFrame([], "airline string, tail string, ots boolean, est_return_ms long, return_ms long")
-    start = state.filter(F.col("flight_key").isin(roots)).select("flight_key", "flight_date", "request_id", "request_type")
+    kinds = {r[0]: (r[26], r[27]) for r in legs}
+    rows = [r if isinstance(r, tuple) else (r, "2024-01-01", kinds[r][1], kinds[r][0], "b", None) for r in roots]
     known = settle(graph.linked(edges, state), "links")
-    log, patch = graph.propagate(state, known, people, tails, start, run_dir(spark, "rounds"), **options)
+    return graph.propagate(state, known, people, tails, spark.createDataFrame(rows, ROOT), run_dir(spark, "rounds"), **options)
+
+
+def spread(spark, legs, links, crew, roots, **options):
+    """Newest visit by (root, leg) and patch by leg, for runs of one request."""
+    log, patch = run_rounds(spark, legs, links, crew, roots, **options)
     visits = sorted(log.collect(), key=lambda r: r["round"])
     return {(r.root_key, r.flight_key): r for r in visits}, {r.flight_key: r for r in patch.collect()}
 
 
+def what_if(key, request="7", kind="SWAP_WHATIF", route="r1"):
+    return (key, "2024-01-01", request, kind, "b", route)
+
+
+def live(key, batch="b"):
+    return (key, "2024-01-01", "0", "LIVE", batch, None)
+
+
 def test_delay_passes_through_aircraft_and_crew(spark):
     legs = [state_row("a", 100, late=50), state_row("b", 180, prev="a"), state_row("c", 190)]
     visits, patch = spread(spark, legs, [("a", "b", "EQUIPMENT"), ("a", "c", "CREW")], [("c", "a", 30)], ["a"])
@@ -72,8 +89,123 @@ def test_a_chain_of_twelve_is_followed_to_its_end(spark):
     visits, patch = spread(spark, legs, links, [], ["l0"])
     assert len(visits) == 13 and max(v["round"] for v in visits.values()) == 12
     assert patch["l12"].ptd_ms == (100 + 80 * 12 + 50) * M
-    tracked = graph.tracker(spark.createDataFrame([tuple(v[c] for c in ("round", "root_key", "flight_key", "arrivals", "errors", "children")) for v in visits.values()], "round int, root_key string, flight_key string, arrivals long, errors long, children long"))
-    assert tracked.first().pending == 0
+    log = run_rounds(spark, legs, links, [], ["l0"])[0]
+    assert [(r.pending, r.processed) for r in graph.tracker(log).collect()] == [(0, 13)]
+
+
+def shared_crew(late_a=60, late_b=50):
+    """Leg c waits for the aircraft of a and the crew of b, both late."""
+    legs = [state_row("a", 100, late=late_a), state_row("b", 100, late=late_b), state_row("c", 190, prev="a")]
+    return legs, [("a", "c", "EQUIPMENT"), ("b", "c", "CREW")], [("c", "b", 60)]
+
+
+def test_what_if_runs_leave_the_live_legs_alone(spark):
+    """The live leg c leaves as it would without the what-if run of b, and the other way round."""
+    legs, links, crew = shared_crew()
+    alone = run_rounds(spark, legs, links, crew, [live("a")])[1].collect()
+    both = run_rounds(spark, legs, links, crew, [live("a"), what_if("b", kind="HEATWHATIF")])[1]
+    assert {r.flight_key: r for r in graph.live_times(both).collect()} == {r.flight_key: r for r in alone}
+    other = run_rounds(spark, legs, links, crew, [what_if("b", kind="HEATWHATIF")])[1].collect()
+    assert {r.flight_key: r for r in both.collect() if r.request_id == "7"} == {r.flight_key: r for r in other}
+    assert {(r.request_id, r.flight_key) for r in both.collect()} == {("0", "a"), ("0", "c"), ("7", "b"), ("7", "c")}
+    # Without the other's delay, c waits for the stored arrival of the other resource.
+    times = {(r.request_id, r.flight_key): r.ptd_ms // M for r in both.collect()}
+    assert times[("0", "c")] == 240 and times[("7", "c")] == 270
+
+
+def test_two_requests_on_one_root_are_two_trees(spark):
+    legs, links, crew = shared_crew()
+    log, patch = run_rounds(spark, legs, links, crew, [live("a"), what_if("a", kind="HEATWHATIF")])
+    got = sorted((r.request_id, r.flight_key, r.arrivals, r.route_id) for r in log.collect())
+    assert got == [("0", "a", 1, None), ("0", "c", 1, None), ("7", "a", 1, "r1"), ("7", "c", 1, "r1")]
+    tracked = {(r.root_key, r.request_id): (r.processed, r.pending) for r in graph.tracker(log).collect()}
+    assert tracked == {("a", "0"): (2, 0), ("a", "7"): (2, 0)}
+    assert patch.count() == 4
+
+
+def test_batches_are_trees_of_their_own(spark):
+    legs, links, crew = shared_crew()
+    log = run_rounds(spark, legs, links, crew, [live("a", "b1"), live("a", "b2")])[0]
+    assert {(r.batch_id, r.flight_key): r.arrivals for r in log.collect()} == {("b1", "a"): 1, ("b1", "c"): 1, ("b2", "a"): 1, ("b2", "c"): 1}
+
+
+def test_stored_snapshots_are_read_by_their_request_only(spark):
+    legs, links, crew = shared_crew(late_b=0)
+    stored = spark.createDataFrame([("7", "b", 400 * M)], "request_id string, flight_key string, pta_ms long")
+    patch = run_rounds(spark, legs, links, crew, [live("a"), what_if("a", kind="HEATWHATIF")], stored=stored)[1]
+    times = {(r.request_id, r.flight_key): r.ptd_ms // M for r in patch.collect()}
+    assert times[("0", "c")] == 240 and times[("7", "c")] == 460
+
+
+def test_a_leg_of_another_request_type_is_projected_by_the_run(spark):
+    """The next leg's own row says swap; a live run does not follow it on latest times."""
+    legs = [state_row("a", 100, late=0), state_row("b", 400, prev="a", request="SWAP_WHATIF")]
+    log = run_rounds(spark, legs, [("a", "b", "EQUIPMENT")], [], [live("a")])[0]
+    assert [r.flight_key for r in log.collect()] == ["a"]
+    log = run_rounds(spark, legs, [("a", "b", "EQUIPMENT")], [], [what_if("a")])[0]
+    assert sorted(r.flight_key for r in log.collect()) == ["a", "b"]
+
+
+def test_roots_that_cannot_be_processed_are_marked_and_the_others_go_on(spark):
+    legs, links, crew = shared_crew()
+    log = run_rounds(spark, legs, links, crew, [live("a"), live(None), live("nowhere")])[0]
+    errors = {r.flight_key: r.error for r in log.collect()}
+    assert errors == {"a": None, "c": None, None: "no flight key", "nowhere": "leg is not known"}
+    status = {r.flight_key: r.status for r in graph.completions(graph.tracker(log)).collect()}
+    assert status == {"a": "DONE", None: "FAILED", "nowhere": "FAILED"}
+
+
+def test_a_link_without_a_type_is_followed_and_counted(spark):
+    legs, _, crew = shared_crew()
+    log = run_rounds(spark, legs, [("a", "c", None)], crew, [live("a")])[0]
+    assert {r.flight_key: r.missing_type for r in log.collect()} == {"a": 0, "c": 1}
+
+
+def test_a_circle_is_refused_only_when_every_path_closes_it(spark):
+    """Leg d is reached over b and over c; its link to b closes a circle on the way over b alone."""
+    legs = [state_row("a", 100, late=80), state_row("b", 180, prev="d"), state_row("c", 180, prev="a"), state_row("d", 260, prev="c")]
+    links = [("a", "b", "CREW"), ("a", "c", "EQUIPMENT"), ("b", "d", "CREW"), ("c", "d", "EQUIPMENT"), ("d", "b", "EQUIPMENT")]
+    crew = [("b", "a", 20), ("d", "b", 20)]
+    log = run_rounds(spark, legs, links, crew, [live("a")])[0]
+    sound = [r for r in log.collect() if r.flight_key == "b" and r["round"] == 3]
+    assert [(r.error, r.last_key) for r in sound] == [(None, "d")]
+    # Over b alone, the link back is refused.
+    log = run_rounds(spark, legs, [x for x in links if x[:2] != ("c", "d")], crew, [live("a")])[0]
+    refused = [r for r in log.collect() if r.flight_key == "b" and r["round"] == 3]
+    assert [(r.error, r.errors) for r in refused] == [("cyclic path", 1)]
+
+
+def test_finished_trees_are_known_while_others_run(spark):
+    legs = [state_row("l0", 100, late=50), state_row("x", 100, late=5)]
+    links = []
+    for i in range(1, 5):
+        legs.append(state_row(f"l{i}", 100 + 80 * i, prev=f"l{i - 1}"))
+        links.append((f"l{i - 1}", f"l{i}", "EQUIPMENT"))
+    heard = []
+    run_rounds(spark, legs, links, [], ["l0", "x"], on_ended=lambda n, trees: heard.append((n, [r.root_key for r in trees.collect()])))
+    assert heard == [(0, ["x"]), (1, []), (2, []), (3, []), (4, ["l0"])]
+
+
+def test_paths_are_walked_back_for_what_is_asked(spark):
+    legs, links, crew = shared_crew()
+    legs.append(state_row("d", 270, prev="c"))
+    folder = run_dir(spark, "asked")
+    log = run_rounds(spark, legs, [*links, ("c", "d", "EQUIPMENT")], crew, [live("a"), live("b")])[0]
+    asked = settle(log.filter("flight_key = 'd'"), "asked")
+    got = {r.root_key: r.path for r in graph.paths_to(asked, settle(log, "visits"), folder).collect()}
+    assert got == {"a": ["a", "c", "d"], "b": ["b", "c", "d"]}
+
+
+def test_overlay_merges_generations(spark):
+    kept = graph.Overlay(spark, run_dir(spark, "overlay"), None)
+    columns = "request_id string, flight_key string, " + ", ".join(f"{f} long" for f in project.PROJECTED)
+    for n in range(9):
+        rows = [("0", f"k{i}", *[n] * 8) for i in range(n % 3 + 1)]
+        kept.add(spark.createDataFrame(rows, columns), n)
+    assert len(kept.generations) <= 3
+    asked = spark.createDataFrame([("0", f"k{i}", *[None] * 8) for i in range(4)] + [("7", "k0", *[None] * 8)], columns)
+    got = {(r.request_id, r.flight_key): r.pta_ms for r in kept.onto(asked).collect()}
+    assert got == {("0", "k0"): 8, ("0", "k1"): 8, ("0", "k2"): 8, ("0", "k3"): None, ("7", "k0"): None}
 
 
 def test_a_root_acts_by_its_own_event(spark):
@@ -119,13 +251,13 @@ def test_cancelled_leg_passes_nothing_on_unless_asked(spark):
 
 def test_tracker_counts_pending_children(spark):
     log = spark.createDataFrame(
-        [(0, "a", "a", 1, 0, 2), (1, "a", "b", 1, 0, 0), (0, "z", "z", 1, 0, 1), (1, "z", "y", 1, 1, 0)],
-        "round int, root_key string, flight_key string, arrivals long, errors long, children long",
+        [(0, "b", "a", "0", "a", 1, 0, 2), (1, "b", "a", "0", "b", 1, 0, 0), (0, "b", "z", "7", "z", 1, 0, 1), (1, "b", "z", "7", "y", 1, 1, 0)],
+        "round int, batch_id string, root_key string, request_id string, flight_key string, arrivals long, errors long, children long",
     )
     got = {r.root_key: (r.pending, r.failed) for r in graph.tracker(log).collect()}
     assert got == {"a": (1, False), "z": (0, True)}
     done = graph.completions(graph.tracker(log)).collect()
-    assert [(r.flight_key, r.status) for r in done] == [("z", "FAILED")]
+    assert [(r.flight_key, r.request_id, r.status) for r in done] == [("z", "7", "FAILED")]
 
 
 FLIGHT = (

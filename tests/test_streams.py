@@ -1,17 +1,20 @@
 """Streams over several micro-batches give the batch result."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyledger.functions.fixed_values import STATUS_CHANGES, TIMES_CHANGES
-from skyledger.operators import diff, lof
+from skyledger.operators import diff, line_fold, lof
 from skyledger.operators.ordered import Ordered
+from skyledger.operators.versions import KeyedState
 from skyledger.plans import events as plans
 from skyledger.session import run_dir, settle
 from skyledger.sources.raw_events import raw_events
 from skyledger.sources.tables import SCHEMAS, table
 from skyledger.streaming import changes, delays
-from tests.test_lof import EVENT_SCHEMA as EVENTS
 from tests.test_lof import SCHEMA as LEGS
 from tests.test_lof import M, leg
 
@@ -42,8 +45,8 @@ def test_windowed_state_matches_batch(spark, sf_dir, parts):
     folder = run_dir(spark, "windowed")
     got = changes.run_changes(plans.status_of(incoming(spark, parts)), STATUS_CHANGES, folder, with_cancel=True)
     assert rows(got) == rows(plans.status_diff(spark, sf_dir))
-    batches = spark.read.parquet(f"{folder}/state").select("batch_id").distinct().count()
-    assert batches == 5
+    kept = KeyedState(spark, f"{folder}/state", T.StructType.fromDDL("flight_key string"), ["flight_key"])
+    assert kept.versions() == [0, 1, 2, 3, 4] and len(kept.generations()) < 4
     apart = spark.read.parquet(f"{folder}/quarantine")
     balance = {r.disposition: r["count"] for r in plans.event_disposition(spark, sf_dir).groupBy("disposition").count().collect()}
     assert apart.count() == balance["quarantined"] > 0
@@ -83,27 +86,104 @@ def test_a_batch_that_runs_again_replaces_itself(spark):
         assert [r.value for r in events.collect()] == ["OFF"]
 
 
-def test_delay_stream_folds_events_and_moves_its_state(spark):
-    """Three batches on two chains, two events of one chain in one batch, against one fold over all."""
-    legs = [leg(c, s, 100 * s, 100 * s + 60, 60, 100 * s, 100 * s + 60) for c in (1, 2) for s in (1, 2, 3)]
-    line = Ordered(spark.createDataFrame(legs, LEGS), ("chain_id",), ("leg_seq",))
-    events = [
-        [(1, 1, 1, "ACTUAL_OFF_CHANGE", str(150 * M), None), (2, 1, 2, "ACTUAL_OFF_CHANGE", str(310 * M), None)],
-        [(3, 2, 1, "ACTUAL_IN_CHANGE", str(230 * M), None), (9, 2, 2, "ACTUAL_OFF_CHANGE", "late", None)],
-        [(4, 1, 3, "CANCEL", None, None), (5, 1, 1, "ACTUAL_IN_CHANGE", str(400 * M), None)],
-    ]
-    schema = f"event_id long, {EVENTS}"
+DELAYS = "chain_id long, event_seq long, event_type string, value string"
+MIXED = ("DEP_DLY_EVENT", "ARR_DLY_EVENT", "ACTUAL_OFF_CHANGE", "ACTUAL_IN_CHANGE", "GROUND_TIME_CHANGE", "CREW_CABIN_DLY_EVENT", "CREW_COCKPIT_DLY_EVENT", "CANCEL")
+
+
+def line_of(spark, chains, length=4, late=30):
+    legs = [leg(c, s, 100 * s + late * (s % 2), 100 * s + 60 + late, 60, 100 * s, 100 * s + 60, cabin=100 * s + 5 * c) for c in chains for s in range(1, length + 1)]
+    return Ordered(spark.createDataFrame(legs, LEGS), ("chain_id",), ("leg_seq",))
+
+
+def random_events(seed, chains, each):
+    rng = random.Random(seed)
+    return [(n, c, rng.randint(1, 4), rng.choice(MIXED), str(rng.randint(90, 600) * M)) for c in chains for n in range(1, each + 1)]
+
+
+def windows_fold(line, events):
+    """The same events applied pass by pass with windows."""
+    ranked = events.withColumn("event_rank", F.col("event_no")).drop("event_no")
+    return lof.fold_events(line, ranked, lambda d: settle(d, "test")).df
+
+
+def times(df):
+    return sorted(map(tuple, df.select("chain_id", "leg_seq", *lof.STORED).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_pass_equals_windows(spark, seed):
+    line = line_of(spark, (1, 2, 3))
+    events = spark.createDataFrame(random_events(seed, (1, 2), 5), f"event_no long, {DELAYS}")
+    result = settle(line_fold.folded(line.df, events, ["event_no"]), "folded")
+    moved = line_fold.moved_on(line, result)
+    assert times(moved) == times(windows_fold(line, events))
+    audits = line_fold.audits_of(result)
+    assert audits.count() == 10 and audits.agg(F.sum("legs_changed")).first()[0] == line_fold.legs_of(result).count()
+
+
+def test_previous_arrival_is_looked_up(spark):
+    """A ground event on the second leg takes the arrival that the first leg has by then."""
+    line = line_of(spark, (1,), late=0)
+    events = [(1, 1, 1, "ACTUAL_IN_CHANGE", str(300 * M)), (2, 1, 2, "GROUND_TIME_CHANGE", None)]
+    result = line_fold.folded(line.df, spark.createDataFrame(events, f"event_no long, {DELAYS}"), ["event_no"])
+    got = {r.leg_seq: r.ptd_ms // M for r in line_fold.moved_on(line, result).collect()}
+    assert got[2] == 340
+    # The first leg of a line has none before it.
+    first = line_fold.folded(line.df, spark.createDataFrame([(1, 1, 1, "GROUND_TIME_CHANGE", None)], f"event_no long, {DELAYS}"), ["event_no"])
+    batch = lof.apply_delay(lof.attach_events(line, spark.createDataFrame([(1, 1, "GROUND_TIME_CHANGE", None)], DELAYS)))
+    assert line_fold.legs_of(first).count() == lof.emitted_legs(batch).count()
+
+
+def stream_of(spark, batches, schema):
     source = run_dir(spark, "delay-source")
-    for batch in events:
+    for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
-    incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def test_order_of_files_does_not_matter(spark):
+    """Numbered events dealt over four files in three ways, with repeated deliveries and a value that is none."""
+    line, schema = line_of(spark, (1, 2)), f"event_no long, {DELAYS}"
+    events = random_events(9, (1, 2), 6)
+    events[3] = (4, 1, 1, "ACTUAL_OFF_CHANGE", "late")
+    sound = [e for e in events if e[4] != "late"]
+    want = times(windows_fold(line, renumbered(spark, sound, schema)))
+    for seed in range(3):
+        rng = random.Random(seed)
+        own = events + [events[0], events[7]]
+        rng.shuffle(own)
+        folder = run_dir(spark, "delay-run")
+        _, audit = delays.run_delays(stream_of(spark, [own[n::4] for n in range(4)], schema), line, folder)
+        got = delays.current(line.df, line.df.select("chain_id").distinct(), delays.times_after(spark, folder).read())
+        assert times(got) == want
+        assert spark.read.parquet(f"{folder}/quarantine").count() >= 1
+        assert spark.read.schema(delays.AUDIT_SCHEMA).parquet(audit).count() == len(sound)
+
+
+def renumbered(spark, events, schema):
+    """Numbers without gaps, for the passes."""
+    seen, out = {}, []
+    for e in sorted(events, key=lambda e: (e[1], e[0])):
+        seen[e[1]] = seen.get(e[1], 0) + 1
+        out.append((seen[e[1]], *e[1:]))
+    return spark.createDataFrame(out, schema)
+
+
+def test_a_gap_that_stays_is_passed_at_the_end(spark):
+    line, schema = line_of(spark, (1,)), f"event_no long, {DELAYS}"
+    events = [(1, 1, 1, "ACTUAL_OFF_CHANGE", str(250 * M)), (3, 1, 2, "ACTUAL_IN_CHANGE", str(500 * M))]
     folder = run_dir(spark, "delay-run")
-    legs_path, audit_path = delays.run_delays(incoming, line, folder)
-    ranked = delays.ranked(spark.createDataFrame([e for b in events for e in b if e[0] != 9], schema))
-    assert [r.event_id for r in spark.read.parquet(f"{folder}/quarantine").collect()] == [9]
-    want = lof.fold_events(line, ranked, lambda d: settle(d, "test")).df
-    got = delays.current(line.df, want.select("chain_id").distinct(), spark.read.parquet(f"{folder}/state"))
-    key = ["chain_id", "leg_seq", *lof.STORED]
-    assert sorted(map(tuple, got.select(*key).collect()), key=repr) == sorted(map(tuple, want.select(*key).collect()), key=repr)
-    audit = spark.read.schema(delays.AUDIT_SCHEMA).parquet(audit_path)
-    assert audit.count() == 5
+    delays.run_delays(stream_of(spark, [events[1:], events[:1]], schema), line, folder)
+    got = {r.leg_seq: r.pta_ms // M for r in delays.times_after(spark, folder).read().collect()}
+    assert got[1] == 310 and got[2] == 500
+
+
+def test_a_long_event_list_is_one_pass(spark):
+    """A line with 3,000 events beside others: the same times as the events one by one."""
+    line = line_of(spark, (1, 2))
+    rng = random.Random(4)
+    events = [(n, 1, 1, "ACTUAL_OFF_CHANGE", str(rng.randint(100, 400) * M)) for n in range(1, 3001)] + [(1, 2, 1, "ACTUAL_OFF_CHANGE", str(150 * M))]
+    result = line_fold.folded(line.df, spark.createDataFrame(events, f"event_no long, {DELAYS}"), ["event_no"])
+    got = {(r.chain_id, r.leg_seq): r.ptd_ms for r in line_fold.moved_on(line, result).collect()}
+    assert got[(1, 1)] == int(events[2999][4]) and got[(2, 1)] == 150 * M
+    assert line_fold.audits_of(result).count() == 3001
