@@ -4,12 +4,15 @@ A text is lower-cased (A-Z) and cut into words; words joined by single blanks ar
 searched form.  A notice of n characters may differ in `n // EDIT_EVERY` = k edits; cut
 into k + 1 seeds, at least one seed of any such occurrence is unchanged, so exact
 search of the seeds finds every candidate place, and the `regex` library's
-bounded-error matching verifies the place and reports span and edits.
+bounded-error matching verifies a window around each and reports span and edits.  Places
+are taken from left to right and do not overlap.
 
-Everything happens per row, so nothing is shuffled and no text is cut.
+Everything happens per row, so nothing is shuffled and no text is cut; the time is
+linear in the text, also when it consists of near notices.
 
-Defined cases: null and empty texts have no words, no labels and score 0; repeated
-rows are judged each; an empty table gives an empty result.
+Defined cases: null and empty texts have no words, no labels and score 0; very long texts
+are searched whole; repeated rows are judged each; an empty table gives an empty result;
+columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ NOTICES = {
     "released under the mit license": "mit",
 }
 EDIT_EVERY = 9
+# Windows whose match a task remembers.
+KNOWN_WINDOWS = 50_000
 
 # A-Z to a-z; 0-9, a-z and non-ASCII stay; every other byte is a blank.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -55,12 +60,22 @@ class Matcher:
     """Fuzzy search of a fixed list of notices."""
 
     def __init__(self, notices: dict[str, str] = NOTICES, edit_every: int = EDIT_EVERY):
-        self.notices = []
+        self.notices, self.known = [], {}
         for text, label in notices.items():
             edits = len(text) // edit_every
             pattern = regex.compile(f"(?:{regex.escape(text)}){{e<={edits}}}", regex.BESTMATCH)
             self.notices.append((text, label, edits, pattern, [(o, s, s.encode()) for o, s in seeds(text, edits)]))
 
+    def _match(self, pattern, window: str) -> tuple[int, int, int] | None:
+        """Start, end and edits of the best match in a window; windows repeat, so a bounded number is remembered."""
+        key = (pattern, window)
+        if key not in self.known:
+            if len(self.known) >= KNOWN_WINDOWS:
+                self.known.clear()
+            m = pattern.search(window)
+            self.known[key] = (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+        return self.known[key]
+
     def find(self, joined: bytes) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, edits, notice length) of every verified place, in characters of the joined words."""
         out = []
@@ -70,28 +85,23 @@ class Matcher:
             if not hit:
                 continue
             text = joined.decode() if text is None else text
-            windows = []
+            places = set()
             for offset, seed in hit:
                 at = text.find(seed)
                 while at >= 0:
-                    windows.append((max(0, at - offset - edits), at - offset + len(notice) + edits))
+                    places.add(at - offset)
                     at = text.find(seed, at + 1)
-            windows.sort()
-            merged: list[list[int]] = []
-            for a, b in windows:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                # The best match can stand after a place with more edits, so both sides of it are searched.
-                todo = [(a, min(b, len(text)))]
-                while todo:
-                    low, high = todo.pop()
-                    m = pattern.search(text, low, high)
-                    if m:
-                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
-                        todo += [(m.end(), high), (low, m.start())]
+            # Each seed has a window of its own, no longer than the notice and its edits on both sides.
+            free = 0
+            for place in sorted(places):
+                low, high = max(free, place - edits, 0), min(place + len(notice) + edits, len(text))
+                if high - low < len(notice) - edits:
+                    continue
+                found = self._match(pattern, text[low:high])
+                if found:
+                    start, end, wrong = found
+                    out.append((label, low + start, low + end, wrong, len(notice)))
+                    free = low + end
         return out
 
 
@@ -149,9 +159,11 @@ def _reporter():
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 joined = joined_words(raw)[1]
                 found = matcher.find(joined)
-                text = joined.decode() if found else ""
-                for label, a, b, edits, _ in found:
-                    rows.append((doc_id, label, a, b, text.count(" ", 0, a), text.count(" ", 0, b), edits))
+                text, at, word = joined.decode() if found else "", 0, 0
+                for label, a, b, edits, _ in sorted(found, key=lambda f: f[1]):
+                    # Words are counted on from the place before.
+                    word, at = word + text.count(" ", at, a), a
+                    rows.append((doc_id, label, a, b, word, word + text.count(" ", a, b), edits))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 

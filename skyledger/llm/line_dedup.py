@@ -20,8 +20,9 @@ execution can split, so a line that a third of all documents share is never gath
 
 Defined cases: null text stays null and has no lines; lines without a word are never
 deleted and do not interrupt a run; of repeated documents the first in id order stays
-whole (null ids last); a document whose last line with a word goes is dropped; an empty
-table gives an empty result.
+whole (null ids last); a document whose last line with a word goes is dropped; very long
+texts are compared whole; an empty table gives an empty result; columns of the caller keep
+their names and values whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import SPACE, Scratch, as_bytes, mapped, settle, shuffle_join, table
+from skyledger.llm.common import SPACE, Scratch, as_bytes, mapped, numbered, renamed, settle, shuffle_join, table
 
 LEAST_WORDS = 50
 LINES = "rid long, idx long, digest binary, words long"
@@ -188,7 +189,7 @@ def merged(spans: list) -> list[tuple[int, int]]:
 
 def _ranges(copies: DataFrame) -> DataFrame:
     spans = F.sort_array(F.collect_set(F.struct(F.col("idx"), F.col("len"))))
-    return copies.groupBy(F.col("rid").alias("__rid")).agg(spans.alias("__spans"))
+    return copies.groupBy("rid").agg(spans.alias("spans"))
 
 
 def without(raw: bytes, spans: list) -> tuple[bytes, int, int, list[tuple[int, int]]]:
@@ -233,33 +234,36 @@ def _reporter(batches):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
         rows = []
-        for doc_id, raw, spans in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("__spans").to_pylist()):
+        for doc_id, raw, spans in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("spans").to_pylist()):
             text, lines, gone, ranges = without(raw, spans or [])
             rows.append((doc_id, lines, gone, ",".join(f"{a}-{b - 1}" for a, b in ranges), hashlib.sha256(text).hexdigest()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_lines", "n_deleted", "deleted", "text_sha256"])
 
 
-def _kept(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """Documents with their row number and the runs to delete."""
-    kept = settle(docs.withColumn("__rid", F.monotonically_increasing_id()), "lines-docs")
-    own = kept.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _kept(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> tuple[DataFrame, dict[str, str]]:
+    """Documents under neutral names with `spans`, the runs to delete; and the names."""
+    kept, names = numbered(docs, "lines-docs")
+    named = dict(zip(docs.columns, names))
+    own = kept.select("rid", F.col(named[id_col]).cast("long").alias("doc_id"), F.col(named[text_col]).cast("string").alias("text"))
     with Scratch(docs.sparkSession, "lines") as work:
         ranges = settle(_ranges(copied_runs(own, work, least_words)), "lines-copies")
-    return shuffle_join(kept, ranges, "__rid", "left")
+    return shuffle_join(kept, ranges, "rid", "left"), named
 
 
 def without_copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents without the lines of later copies, in the columns of `docs`."""
-    joined = _kept(docs, id_col, text_col, least_words).select(*docs.columns, "__spans")
+    joined, named = _kept(docs, id_col, text_col, least_words)
+    names = list(named.values())
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    return mapped(joined, _cutter(docs.columns.index(text_col), chars, len(docs.columns)), docs.schema)
+    cut = mapped(joined.select(*names, "spans"), _cutter(docs.columns.index(text_col), chars, len(names)), renamed(docs.schema, names))
+    return cut.toDF(*docs.columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_deleted, deleted (line ranges among lines with a word), text_sha256 of what stays."""
-    joined = _kept(docs, id_col, text_col, least_words)
-    own = joined.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), "__spans")
+    joined, named = _kept(docs, id_col, text_col, least_words)
+    own = joined.select(F.col(named[id_col]).cast("long").alias("doc_id"), F.col(named[text_col]).cast("string").alias("text"), "spans")
     return mapped(own, _reporter, "doc_id long, n_lines long, n_deleted long, deleted string, text_sha256 string")
 
 

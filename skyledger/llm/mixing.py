@@ -16,8 +16,9 @@ Bounded driver work: one row per source (name and words).  Above 5e8 slots the
 hypergeometric draw uses its normal limit.
 
 Defined cases: null text has size 0; null is a source of its own and comes last; a
-document without words takes nothing; repeated rows are separate documents; an empty
-table gives an empty result.
+document without words takes nothing; very long texts are cut into blocks like others;
+repeated rows are separate documents; an empty table gives an empty result; columns of the
+caller keep their names and values whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import SPACE_CLASS, mapped, running_start, settle, shuffle_join, table
+from skyledger.llm.common import SPACE_CLASS, mapped, numbered, renamed, running_start, settle, shuffle_join, table
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -210,7 +211,7 @@ def _cut(text_at: int, chars_at: int | None):
     def cut(batches):
         for batch in batches:
             texts = []
-            for raw, spans in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column("__spans").to_pylist()):
+            for raw, spans in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
                 words = None
                 merged: list[list[int]] = []
                 for s in spans:
@@ -240,13 +241,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A wholly taken text stays as it is; of others the taken runs of words are joined by
     blanks, one line per run.  Columns and their order are those of `docs`.
     """
-    kept = settle(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-docs")
-    sized = kept.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    kept, names = numbered(docs, "mix-docs")
+    named = dict(zip(docs.columns, names))
+    sized = kept.select("rid", F.col(named[id_col]).cast("long").alias("doc_id"), F.col(named[source_col]).cast("string").alias("source"), word_count(F.col(named[text_col])).alias("size"))
     parts = Mix(settle(sized, "mix-sizes")).parts()
-    parts = parts.select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
-    joined = shuffle_join(kept, parts, "__rid").select(*docs.columns, "__spans")
+    joined = shuffle_join(kept, parts.select("rid", "spans"), "rid").select(*names, "spans")
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    return mapped(joined, _cut(docs.columns.index(text_col), chars), docs.schema)
+    return mapped(joined, _cut(docs.columns.index(text_col), chars), renamed(docs.schema, names)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ the pieces of its length by a two-level running count, and rank and length give
 sequence and offset from the pattern table, which has at most 2 * size patterns of at
 most sqrt(2 * size) different lengths.
 
-Defined cases: null and empty texts are the end token alone; a null id stays null;
-repeated rows are packed each; an empty table gives an empty result.
+Defined cases: null and empty texts are the end token alone; a null id stays null; very
+long texts are tokenised whole and cut into full sequences; repeated rows are packed each;
+an empty table gives an empty result; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SIZE = 2048
 END_ID = 0
 NODES = 20_000
 FILLINGS = 64
+# Steps of one enumeration of fillings.
+STEPS = 4096
 CACHE_WORDS = 500_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), lengths falling
@@ -46,14 +49,25 @@ Solution = list[tuple[Pattern, int]]  # patterns with the number of bins
 
 # -- tokens ---------------------------------------------------------------------------
 
-# Signs, digits and letters whose normal form and lower case do not depend on neighbours.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+")
-_ALL_PLAIN = re.compile("[\n!-~À-ÖØ-öø-ɏ]*")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|\n|[^\na-z0-9ß-öø-ɏ]+")
+# Fixed values of the tokenizer's format: its split pattern, for lower-case text of the letters below.
+_LETTER = "a-zß-öø-ɏ"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\n|[^\n{_LETTER}0-9]+")
+
+
+def plain_signs() -> str:
+    """Signs, digits and letters whose normal form and lower case do not depend on neighbours and stay among them."""
+    own = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c < 0xC0 and c not in (0xD7, 0xF7)]
+    low = re.compile(f"[!-~{_LETTER}]")
+    return "".join(c for c in own if low.fullmatch(c.lower()))
+
+
+_SIGNS = re.escape(plain_signs())
+_PLAIN = re.compile(f"[{_SIGNS}]+")
+_ALL_PLAIN = re.compile(f"[\n{_SIGNS}]*")
 
 
 def byte_letters() -> dict[int, int]:
-    """The letters that byte-level models write for bytes: visible ones stand for themselves."""
+    """The letters that byte-level models write for bytes: visible ones stand for themselves (a fixed rule of the format)."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in visible]
     return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(other)}
@@ -256,35 +270,48 @@ def _dominates(a: tuple, b: tuple) -> bool:
     return deal(b, list(a))
 
 
-def fillings(counts: dict[int, int], gap: int, slack: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated item lists that fill `gap` up to at most `slack` waste, least waste first."""
-    if counts.get(gap, 0) > 0:
-        return [(gap,)]
-    lengths = sorted((x for x, n in counts.items() if n and x <= gap), reverse=True)
+def _within(lengths: list[int], counts: dict[int, int], gap: int, waste: int, limit: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Item lists that fill `gap` up to `waste`, longest items first, and whether the effort sufficed for all."""
     mass = [0] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
         mass[i] = mass[i + 1] + lengths[i] * counts[lengths[i]]
     found: list[tuple[int, ...]] = []
-    steps = 0
-
-    def extend(i: int, room: int, items: tuple) -> None:
-        nonlocal steps
-        steps += 1
-        if len(found) >= limit or steps > 64 * limit:
-            return
+    todo: list[tuple[int, int, tuple]] = [(0, gap, ())]
+    while todo and len(found) < limit and steps:
+        i, room, items = todo.pop()
+        steps -= 1
         while i < len(lengths) and lengths[i] > room:
             i += 1
         if i == len(lengths) or room == 0:
-            if room <= slack:
+            if room <= waste:
                 found.append(items)
-            return
-        if room - min(room, mass[i]) > slack:
-            return
-        most = min(room // lengths[i], counts[lengths[i]])
-        for n in range(most, -1, -1):
-            extend(i + 1, room - n * lengths[i], items + (lengths[i],) * n)
-
-    extend(0, gap, ())
+        elif room - min(room, mass[i]) <= waste:
+            most = min(room // lengths[i], counts[lengths[i]])
+            todo += [(i + 1, room - n * lengths[i], items + (lengths[i],) * n) for n in range(most + 1)]
+    return found, not todo
+
+
+def fillings(counts: dict[int, int], gap: int, slack: int, limit: int = FILLINGS, steps: int = STEPS) -> list[tuple[int, ...]]:
+    """Undominated item lists that fill `gap` up to at most `slack` waste, least waste first.
+
+    The waste allowed grows from 0, so that an effort that ends early has kept the fullest.
+    When it ends with none, the best-fit filling stands in if its waste is allowed.
+    """
+    if counts.get(gap, 0) > 0:
+        return [(gap,)]
+    lengths = sorted((x for x, n in counts.items() if n and x <= gap), reverse=True)
+    waste, found = 0, []
+    while True:
+        found, whole = _within(lengths, counts, gap, waste, limit, steps)
+        if waste >= slack or len(found) >= limit or not whole and found:
+            break
+        waste = min(slack, 2 * waste + 1)
+    if not found:
+        room, items = gap, ()
+        for x in lengths:
+            n = min(room // x, counts[x])
+            room, items = room - n * x, items + (x,) * n
+        found = [items] if room <= slack else []
     found.sort(key=lambda x: (-sum(x), len(x)))
     kept: list[tuple[int, ...]] = []
     for items in found:

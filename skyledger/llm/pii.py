@@ -3,25 +3,33 @@
 The patterns give the base spans of each text.  Around digits and at signs a text is cut
 into zones of tokens; a semi-Markov CRF scores whole candidate segments of a zone
 (digits, signs, shape, checksum, neighbours), and dynamic programming over segments of
-at most `MOST_TOKENS` tokens jointly picks boundaries and kinds.  Segments that it is
-sure of and that touch no base span are added to the base spans.
+at most `MOST_TOKENS` tokens and `MOST_CHARS` characters between word bounds jointly picks
+boundaries and kinds.  Segments that it is sure of and that touch no base span are added
+to the base spans.  Zones of more than `ZONE_CHARS` characters are cut into pieces that
+overlap by the longest segment, so that no segment is lost at a cut.
 
 The CRF is trained here, by gradient steps on the exact likelihood (forward and backward
-over segments), on zones of at most `SAMPLE_ZONES` documents taken by hash order from
-all documents; the base spans are its labels.  Texts are read once: the first pass
-keeps base spans and zones, the second reads the zones alone.
-
-All patterns run in time linear in the text, also on long runs of digits.
-
-Defined cases: null and empty texts have no spans; repeated rows are judged each; with
-no zone to learn from the model adds nothing; an empty table gives an empty result.
+over segments), on at most `ZONES_EACH` zones, taken by hash, of each of at most
+`SAMPLE_ZONES` documents in hash order.  Its labels are the base spans and variants of them
+that the patterns miss (`VARIANTS`): phone numbers without plus or country code, cards with
+other separators, addresses broken up to be unreadable for machines.  Texts are read once:
+the first pass keeps base spans and zones, the second reads the zones alone.
+
+Patterns and zones take time linear in the text, also on long runs of digits or of digits
+and letters.
+
+Defined cases: null and empty texts have no spans; very long texts are searched whole;
+repeated rows are judged each; with no zone to learn from the model adds nothing; an empty
+table gives an empty result; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +39,8 @@ from pyspark.sql import functions as F
 from skyledger.llm.common import mapped, settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS = 14
-SAMPLE_ZONES = 1000
+MOST_TOKENS, MOST_CHARS, ZONE_CHARS = 14, 64, 400
+SAMPLE_ZONES, ZONES_EACH = 1000, 4
 ROUNDS = 6
 STEP = 0.5
 # Log odds of a segment against the same tokens read as plain text.
@@ -40,6 +48,7 @@ MARGIN = 4.0
 
 Span = tuple[int, int, int]  # start, kind number, end
 
+# The kinds' patterns, in forms that run in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -117,25 +126,33 @@ _DIGIT = re.compile(r"[0-9]")
 # Chunks without white space that hold a digit or an at sign, and such neighbours one blank apart.
 _CHUNK = re.compile(r"[^\s]+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s")
-_LEFT_OPEN = "+("
+_LEFT_OPEN, _RIGHT_CLOSE = "+(", ")"
 
 
 def zones(text: str) -> Iterator[tuple[int, str]]:
-    """(start, text) of the runs of chunks with digits or at signs."""
+    """(start, text) of the runs of chunks with digits or at signs, in pieces of bounded length."""
     if not ("@" in text or _DIGIT.search(text)):
         return
     start = end = -1
     for m in _CHUNK.finditer(text):
         chunk = m[0]
         if "@" in chunk or _DIGIT.search(chunk):
-            if start >= 0 and m.start() == end + 1 and m.end() - start <= 400:
+            if start >= 0 and m.start() == end + 1:
                 end = m.end()
                 continue
             if start >= 0:
-                yield start, text[start:end]
+                yield from _cut(text, start, end)
             start, end = m.span()
     if start >= 0:
-        yield start, text[start:end]
+        yield from _cut(text, start, end)
+
+
+def _cut(text: str, start: int, end: int) -> Iterator[tuple[int, str]]:
+    while end - start > ZONE_CHARS:
+        yield start, text[start : start + ZONE_CHARS]
+        # One character more on both sides shows whether a segment ends at a word's bound.
+        start += ZONE_CHARS - MOST_CHARS - 2
+    yield start, text[start:end]
 
 
 def _bucket(n: int, bounds: tuple) -> int:
@@ -180,18 +197,60 @@ def span_features(zone: str, a: int, b: int) -> list[str]:
 def candidates(zone: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Token bounds of a zone, and the (first, last) token pairs that may be a segment."""
     tokens = [m.span() for m in _TOKEN.finditer(zone)]
-    plain = [not zone[a:b].isspace() for a, b in tokens]
-    heavy = np.cumsum([0] + [zone[a] in "0123456789@" for a, _ in tokens])
+    kinds = [zone[a] for a, _ in tokens]
+    word = [c.isalnum() for c in kinds]
+    heavy = list(accumulate((c in "0123456789@" for c in kinds), initial=0))
     pairs = []
-    for i, (a, b) in enumerate(tokens):
-        if not plain[i] or not (zone[a].isalnum() or zone[a] in _LEFT_OPEN):
+    for i, (a, _) in enumerate(tokens):
+        # A segment begins and ends with a word's bound, so a long run of letters and digits has few.
+        if not (word[i] and not (i and word[i - 1]) or kinds[i] in _LEFT_OPEN):
             continue
         for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-            if plain[j] and zone[tokens[j][0]].isalnum() and heavy[j + 1] > heavy[i]:
+            if tokens[j][1] - a > MOST_CHARS:
+                break
+            if (word[j] or kinds[j] in _RIGHT_CLOSE) and not (j + 1 < len(tokens) and word[j] and word[j + 1]) and heavy[j + 1] > heavy[i]:
                 pairs.append((i, j))
     return tokens, pairs
 
 
+# The forms of a base span that the patterns miss and the model learns.
+def _grouped(digits: str, sizes: tuple, sign: str) -> str:
+    out, at = [], 0
+    for n in sizes:
+        out.append(digits[at : at + n])
+        at += n
+    return sign.join([x for x in (*out, digits[at:]) if x])
+
+
+def _phone_forms(body: str) -> list[str]:
+    digits = _NOT_DIGIT.sub("", body)
+    own = digits[-10:]
+    return [body[1:], _grouped(own, (3, 3), "-"), _grouped(own, (3, 3), "."), f"({own[:3]}) {own[3:6]}-{own[6:]}", _grouped(own, (3, 3), " ")]
+
+
+def _card_forms(body: str) -> list[str]:
+    digits = _NOT_DIGIT.sub("", body)
+    return [_grouped(digits, (4, 4, 4), sign) for sign in (".", "/", "_")]
+
+
+VARIANTS = {
+    0: lambda body: [body.replace("@", " @ "), body.replace("@", "[@]")],
+    1: lambda body: [body.replace(".", "[.]"), body.replace(".", " . ")],
+    2: _card_forms,
+    3: _phone_forms,
+}
+
+
+def variants(zone: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
+    """The zone with one base span in another form, for each span and one of its forms, taken by hash."""
+    for n, (a, k, b) in enumerate(spans):
+        forms = VARIANTS[k](zone[a:b])
+        body = forms[int(hashlib.sha256(zone[a:b].encode()).hexdigest()[:8], 16) % len(forms)]
+        by = len(body) - (b - a)
+        rest = [(x + by, kind, y + by) for x, kind, y in spans[n + 1 :]]
+        yield zone[:a] + body + zone[b:], [*spans[:n], (a, k, a + len(body)), *rest]
+
+
 class SemiCrf:
     """Segments of at most MOST_TOKENS tokens with a kind, other tokens plain; weights per (feature, kind)."""
 
@@ -314,26 +373,29 @@ def _triples(flat: list[int]) -> list[Span]:
 
 
 def _examples(rows: list) -> list[tuple[str, list[Span]]]:
-    """Zones with the base spans that lie inside them and do not overlap."""
+    """Zones with the base spans that lie inside them and do not overlap, and their variants."""
     out = []
     for row in rows:
         spans = _triples(row["base"])
-        for start, zone in zip(row["starts"], row["zones"]):
+        for start, zone in row["drawn"]:
             inside, end = [], 0
             for a, k, b in spans:
                 if a - start >= end and b <= start + len(zone):
                     inside.append((a - start, k, b - start))
                     end = b - start
             out.append((zone, inside))
+            out.extend(variants(zone, inside))
     return out
 
 
-def train(found: DataFrame, most: int = SAMPLE_ZONES) -> SemiCrf:
-    """A CRF fitted to the zones of at most `most` documents, half of them with base spans."""
+def train(found: DataFrame, most: int = SAMPLE_ZONES, each: int = ZONES_EACH) -> SemiCrf:
+    """A CRF fitted to at most `each` zones of each of at most `most` documents, half of them with base spans."""
     order = F.xxhash64("doc_id", "zones")
+    own = F.transform(F.arrays_zip("starts", "zones"), lambda z: F.struct(F.xxhash64(z["zones"]).alias("h"), z["starts"].alias("at"), z["zones"].alias("zone")))
+    drawn = F.transform(F.slice(F.array_sort(own), 1, each), lambda z: F.struct(z["at"], z["zone"]))
     rows = []
     for has in ("size(base) > 0", "size(base) = 0 and size(zones) > 0"):
-        rows += found.where(has).orderBy(order).limit(most // 2).select("base", F.slice("starts", 1, 4).alias("starts"), F.slice("zones", 1, 4).alias("zones")).collect()
+        rows += found.where(has).orderBy(order).limit(most // 2).select("base", drawn.alias("drawn")).collect()
     return SemiCrf().fit(_examples([r.asDict() for r in rows]))
 
 
@@ -351,9 +413,14 @@ def _adder(model: SemiCrf):
             for doc_id, flat, starts, own in zip(*columns):
                 base = _triples(flat)
                 spans = list(base)
+                taken = sorted((a, b) for a, _, b in base)
                 for start, zone in zip(starts, own):
                     for a, k, b in model.best(zone):
-                        if not any(x < b + start and a + start < y for x, _, y in base):
+                        # Pieces of a zone overlap; the first of two segments that touch stays.
+                        at = bisect_left(taken, (a + start, b + start))
+                        clash = (at and taken[at - 1][1] > a + start) or (at < len(taken) and taken[at][0] < b + start)
+                        if not clash:
+                            taken.insert(at, (a + start, b + start))
                             spans.append((a + start, k, b + start))
                 counts = [sum(s[1] == k for s in base) for k in range(len(KINDS))]
                 rows.append((doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
@@ -363,11 +430,11 @@ def _adder(model: SemiCrf):
     return add
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ZONES) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ZONES, each: int = ZONES_EACH) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of every document."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = settle(mapped(own, _finder, FOUND), "pii-zones")
-    return mapped(found, _adder(train(found, sample)), OUT)
+    return mapped(found, _adder(train(found, sample, each)), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 Each document gets five counts and a set of rules it may fail.  Rule failures are
 counted per host; a host's failure rate is shrunk towards the corpus with a beta prior
-fitted to all hosts by moments; a host whose shrunk rate passes a rule's limit is
-rejected, and its verdict is joined back to its documents.  A document that fails the
-base rule goes on any host.
+fitted to all hosts by moments.  A host is rejected for a rule when its shrunk rate lies
+clearly above the prior's: by `SPREADS` posterior standard deviations it stays over `TIMES`
+times the prior's rate and over `LEAST_RATE`.  The verdict is joined back to its documents,
+and those that fail the rule go; clean documents of a rejected host stay.  A document
+that fails the base rule goes on any host.
 
 Hosts are pre-aggregated before the shuffle, so a host with a third of all rows is
 one row per task there; the prior (two moments a rule) is all that reaches the driver.
 
 Defined cases: null text has no words and fails the base rule; null is a host of its
-own; with one host, or hosts of equal rates, the prior has the largest strength;
-repeated rows count each time; an empty table gives an empty result.
+own; with one host, or hosts of equal rates, the prior has the largest strength; very
+long texts are counted whole; repeated rows count each time; an empty table gives an empty
+result; columns of the caller keep their names and values whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from skyledger.llm.common import SPACE, as_bytes, mapped, settle, table
 
 LEAST_WORDS = 50
 MOST_REPEATED_PCT = 50
-# Share of failing documents from which a host is rejected, and the prior's bounds in documents.
-HOST_LIMIT = 0.8
+# When a host's rate is clearly above that of the others, and the prior's bounds in documents.
+SPREADS, TIMES, LEAST_RATE = 3.0, 2.0, 0.1
 STRENGTHS = (2.0, 1000.0)
 SYMBOLS = b"#*$%&|<>"
 
@@ -124,18 +127,23 @@ def beta_prior(hosts: DataFrame) -> dict[str, tuple[float, float]]:
     return out
 
 
-def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, rejected): whether a rule's shrunk failure rate passes the limit."""
-    prior = beta_prior(hosts)
-    bad = F.lit(False)
-    for r, (a, b) in prior.items():
-        bad = bad | ((F.col(f"k_{r}") + F.lit(a)) / (F.col("n") + F.lit(a + b)) > limit)
-    return hosts.select("host", bad.alias("rejected"))
+def host_verdicts(hosts: DataFrame, spreads: float = SPREADS, times: float = TIMES, least: float = LEAST_RATE) -> DataFrame:
+    """(host, bad_<rule>): whether a rule's shrunk failure rate lies clearly above the prior's."""
+    out = []
+    for r, (a, b) in beta_prior(hosts).items():
+        size = F.col("n") + F.lit(a + b)
+        rate = (F.col(f"k_{r}") + F.lit(a)) / size
+        low = rate - spreads * F.sqrt(rate * (1 - rate) / (size + 1))
+        out.append(((low > times * a / (a + b)) & (low > least)).alias(f"bad_{r}"))
+    return hosts.select("host", *out)
+
+
+REJECTED = " or ".join(f"bad_{r} and ({rule})" for r, rule in RULES.items())
 
 
 def _judged(counted: DataFrame, verdicts: DataFrame, host_col: str) -> DataFrame:
     joined = counted.join(verdicts, counted[host_col].eqNullSafe(verdicts["host"]))
-    return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~F.col("rejected"))
+    return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~F.expr(REJECTED))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -169,7 +177,9 @@ def _sql() -> str:
     strength = ", ".join(
         f"m_{r}, case when v_{r} > 0 then least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, {STRENGTHS[0]}), {STRENGTHS[1]}) else {STRENGTHS[1]} end as s_{r}" for r in RULES
     )
-    bad = " or ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) > {HOST_LIMIT}" for r in RULES)
+    shrunk = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) as p_{r}" for r in RULES)
+    low = "p_{r} - {z} * sqrt(p_{r} * (1 - p_{r}) / (n + s_{r} + 1))"
+    bad = ", ".join(f"{low.format(r=r, z=SPREADS)} > {TIMES} * m_{r} and {low.format(r=r, z=SPREADS)} > {LEAST_RATE} as bad_{r}" for r in RULES)
     return f"""
 with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
 w as (
@@ -191,10 +201,11 @@ s as (
 ),
 h as (select source as host, count(*) as n, {fails} from s group by source),
 o as (select {moments} from h),
-q as (select {strength} from o),
-v as (select host, {bad} as rejected from h, q)
+q as (select {strength}, * from o),
+z as (select *, {shrunk} from h, q),
+v as (select host, {bad} from z)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({BASE_FAILED}) as base_failed,
-       not ({BASE_FAILED}) and not rejected as kept
+       not ({BASE_FAILED}) and not ({REJECTED}) as kept
 from s join v on s.source is not distinct from v.host
 """
 
