@@ -45,7 +45,7 @@ BLOCK_ROWS, LEAF = 4096, 8
 
 def largest_number(width: int) -> int:
     """Numbers saturate here, so that a vector's error fits in a long."""
-    return 1 << ((61 - max(width - 1, 0).bit_length()) // 2)
+    return 1 << ((60 - max(width - 1, 0).bit_length()) // 2)
 
 
 def whole_numbers(vectors: np.ndarray) -> np.ndarray:
@@ -281,12 +281,14 @@ def _coder(books: list[np.ndarray]):
 
 
 def first_codebooks(rows: DataFrame, entries: int, parts: int) -> list[np.ndarray]:
-    """The parts of the first rows by id; at most `entries` rows reach the driver."""
-    first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).collect()
-    if not first:
+    """The parts of the first rows by id that have the length of the very first; at most `entries` rows reach the driver."""
+    order = (F.col("vec_id").asc_nulls_last(), "v")
+    head = rows.orderBy(*order).limit(1).collect()
+    if not head:
         return []
-    width = len(first[0]["v"])
-    numbers = whole_numbers(np.array([r["v"] for r in first if len(r["v"]) == width], np.float64))
+    width = len(head[0]["v"])
+    first = rows.where(F.size("v") == width).orderBy(*order).limit(entries).collect()
+    numbers = whole_numbers(np.array([r["v"] for r in first], np.float64))
     edges = cuts(width, parts)
     return [numbers[:, edges[p] : edges[p + 1]] for p in range(parts)]
 
