@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,28 +26,34 @@ BATCH_BYTES = 4 << 20
 FOREST_EDGES = 1_000_000
 
 
-# Work folders of this process that are still there.
-_MADE: list[str] = []
+# Where the work folders made in the running context are noted, if someone asked for it.
+_NOTED: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared folder, noted until it is removed."""
+    """A fresh folder below the shared folder."""
     path = run_dir(spark, label)
-    _MADE.append(path)
+    noted = _NOTED.get()
+    if noted is not None:
+        noted.append(path)
     return path
 
 
+@contextmanager
+def noted_folders() -> Iterator[list[str]]:
+    """The work folders made inside, for removal when what was made of them is written."""
+    made: list[str] = []
+    before = _NOTED.set(made)
+    try:
+        yield made
+    finally:
+        _NOTED.reset(before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a work folder; nothing may read it any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    if path in _MADE:
-        _MADE.remove(path)
-
-
-def made_folders() -> list[str]:
-    """The work folders of this process that are still there."""
-    return list(_MADE)
 
 
 def settle(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -87,9 +95,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that very long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small, so that very long texts cannot fill a worker; smaller ones of the caller stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        given = spark.conf.get(key).lower().removesuffix("b")
+        if not (given.isdigit() and 0 < int(given) <= most):
+            spark.conf.set(key, str(most))
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:

@@ -58,3 +58,28 @@ def test_stages(spark, sf_dir):
             assert not sets[a] or not sets[b] or 100 * len(sets[a] & sets[b]) < 80 * len(sets[a] | sets[b])
     assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in near}
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir, tmp_path):
+    """Null, empty, repeated and very long texts, null ids and sources; and an empty table; only the result stays."""
+    import os
+    import random
+
+    from skyledger.session import shared_dir
+    from tests.llm.helpers import words
+
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(120_000))
+    texts = [None, "", "few words", long, words(rng, 300, 4000), words(rng, 300, 4000)]
+    rows = [(i, t, "en", None if i % 2 else "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[4], (None, words(rng, 200, 4000), None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, part in (("odd", rows), ("none", [])):
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        before = set(os.listdir(shared_dir(spark)))
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        left = set(os.listdir(shared_dir(spark))) - before
+        assert len(left) == 1 and next(iter(left)).startswith("stage-4")
+        assert {r.doc_id for r in got} <= {3, 4, 5, None} if part else not got
+        if part:
+            assert 3 in {r.doc_id for r in got} and sum(r.doc_id == 3 for r in got) > 40
