@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,20 @@ REMEMBERED = ("ptd_ms", "pctd_ms", "plmtd_ms", "pta_ms", "pcta_ms", "plmta_ms")
 SWAP = "SWAP_WHATIF"
 
 
+_BUILT: dict[tuple[str, str], dict] = {}
+
+
+def built(name: str, make: Callable[[], dict]) -> dict:
+    """Columns that never change, put together once per application.
+
+    A run projects round by round, and making them takes longer than planning a round.
+    """
+    key = (SparkContext._active_spark_context.applicationId, name)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 # Our rules for values whose calculation lies outside the event feeds.
 def air_minutes() -> Column:
     """Predicted flight minutes, else the scheduled ones; taxi is included."""
@@ -61,38 +78,17 @@ def resource_ready(
     Without an inbound leg the aircraft still gives a row when it is out of
     service in a swap what-if, with the return to service as latest time.
     """
-    swap_tail = (F.col("request_type") == SWAP) & (F.col("pe_event") == "PE_TAIL")
-    turn = turn_minutes()
-    with_tail = tail_ready(legs, tails, turn)
-    service = F.when(swap_tail, F.coalesce("tail_ready_ms", F.lit(0))).otherwise(F.lit(0))
+    craft = inbound(tail_ready(legs, tails, turn_minutes()), legs if times is None else times, "prev_leg_key", INBOUND_TIMES)
+    own = built("equipment", _equipment)
+    equipment = craft.filter(own["given"]).withColumns(own["columns"]).withColumn("resource_key", F.col("prev_flight_key")).select(*_RESOURCE)
     times = legs if times is None else times
-    craft = inbound(with_tail, times, "prev_leg_key", INBOUND_TIMES)
-    found = F.col("in_flight_key").isNotNull()
-    measures = ready_measures(turn, F.col("pe_event") == "PE_CONTINUED")
-    zero = F.lit(0)
-    raised = F.greatest(measures["ready_latest_ms"], F.when(F.col("request_type") == SWAP, service).otherwise(zero))
-    equipment = (
-        craft.filter(found | (swap_tail & F.coalesce("ots", F.lit(False))))
-        .withColumns(
-            {
-                **{m: F.when(found, measures[m]).otherwise(zero) for m in MEASURES[:3]},
-                "ready_latest_ms": F.when(found, raised).otherwise(service),
-                "prev_flight_key": F.when(found, F.col("in_flight_key")).otherwise(F.col("flight_key")),
-                "resource_type": F.lit("EQUIPMENT"),
-                "seat": F.lit("AC"),
-                "turn_min": F.when(found, turn),
-            }
-        )
-        .withColumn("resource_key", F.col("prev_flight_key"))
-        .select(*_RESOURCE)
-    )
     if not with_crew:
         return equipment
     asked = legs.select("flight_key", "request_type")
     people = inbound(crew.join(asked, "flight_key"), times, "prev_flight_key", INBOUND_TIMES, "inner")
     persons = people.withColumns(
         {
-            **ready_measures(F.col("turn_min"), F.lit(False)),
+            **built("people", lambda: ready_measures(F.col("turn_min"), F.lit(False))),
             "resource_key": F.col("duty_key"),
             "resource_type": F.lit("CREW"),
         }
@@ -100,6 +96,25 @@ def resource_ready(
     return equipment.unionByName(persons)
 
 
+def _equipment() -> dict:
+    """When an aircraft is a resource, and the columns of its row."""
+    swap_tail = (F.col("request_type") == SWAP) & (F.col("pe_event") == "PE_TAIL")
+    turn, zero = turn_minutes(), F.lit(0)
+    service = F.when(swap_tail, F.coalesce("tail_ready_ms", F.lit(0))).otherwise(F.lit(0))
+    found = F.col("in_flight_key").isNotNull()
+    measures = ready_measures(turn, F.col("pe_event") == "PE_CONTINUED")
+    raised = F.greatest(measures["ready_latest_ms"], F.when(F.col("request_type") == SWAP, service).otherwise(zero))
+    columns = {
+        **{m: F.when(found, measures[m]).otherwise(zero) for m in MEASURES[:3]},
+        "ready_latest_ms": F.when(found, raised).otherwise(service),
+        "prev_flight_key": F.when(found, F.col("in_flight_key")).otherwise(F.col("flight_key")),
+        "resource_type": F.lit("EQUIPMENT"),
+        "seat": F.lit("AC"),
+        "turn_min": F.when(found, turn),
+    }
+    return {"given": found | (swap_tail & F.coalesce("ots", F.lit(False))), "columns": columns}
+
+
 def max_ready(resources: DataFrame) -> DataFrame:
     """Largest ready times of a leg and the resource type behind each.
 
@@ -196,6 +211,13 @@ def project(legs: DataFrame) -> DataFrame:
     `pub_*` flags for the fields the event publishes.  A cancelled leg takes
     its schedule whatever the event.
     """
+    own = built("project", _rules)
+    timed = legs.withColumn("rule", own["rule"]).withColumns(own["dep"]).withColumns(own["usual"]).withColumns(own["arr"])
+    return timed.withColumns(own["pub"]).drop(*own["usual"])
+
+
+def _rules() -> dict:
+    """The columns of `project`, in the order in which they build on each other."""
     event = F.col("pe_event")
     std, sta = F.col("std_ms"), F.col("sta_ms")
     ltd, lta = F.col("ltd_ms"), F.col("lta_ms")
@@ -237,14 +259,14 @@ def project(legs: DataFrame) -> DataFrame:
 
     # Departures first: the arrivals build on them and must not repeat them.
     dep = departures()
-    timed = legs.withColumn("rule", name.otherwise("projected")).withColumns(
-        {f"new_{f}": ruled(f, dep[f]) for f in DEP}
-    )
     arr = arrivals({f: F.col(f"new_{f}") for f in DEP})
-    timed = timed.withColumns({f"_arr_{f}": arr[f] for f in ARR}).withColumns(
-        {f"new_{f}": ruled(f, usual_arr[f]) for f in ARR}
-    )
-    return timed.withColumns({f"pub_{f}": published(f) for f in PROJECTED}).drop(*[f"_arr_{f}" for f in ARR])
+    return {
+        "rule": name.otherwise("projected"),
+        "dep": {f"new_{f}": ruled(f, dep[f]) for f in DEP},
+        "usual": {f"_arr_{f}": arr[f] for f in ARR},
+        "arr": {f"new_{f}": ruled(f, usual_arr[f]) for f in ARR},
+        "pub": {f"pub_{f}": published(f) for f in PROJECTED},
+    }
 
 
 # Published field -> change event type.
