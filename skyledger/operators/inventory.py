@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import Ordered, running_sum
+from skyledger.operators.ordered import Ordered, running_max, running_sum
 
 DAY = 86_400_000
 
@@ -167,6 +167,52 @@ def order_effects(moves: DataFrame) -> DataFrame:
     )
 
 
+def refusing_ledger(moves: DataFrame) -> Ordered:
+    """Movements in order with the stock that never falls below zero, and the units refused for lack of it.
+
+    Taking d units from a stock x leaves max(0, x - d).  Chained, that is the running sum of the
+    movements plus the largest shortfall so far, so two scans give it for positions of any
+    length: `refused_so_far` is the running maximum of the negative running sum.
+    """
+    line = Ordered.of(
+        moves,
+        keys=["product_id", "location_id"],
+        order=["ts_ms", "step", "order_id", "line_no", "supplier_id", "on_hand", "reserved", "damaged"],
+    ).scan(running_sum("on_hand", "_sum"))
+    line = line.on(line.df.withColumn("_short", -F.col("_sum")))
+    line = line.scan(running_max("_short", "_now"), running_max("_short", "_before", inclusive=False))
+    now, before = (F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("_now", "_before"))
+    stock = line.df.withColumns({"stock": F.col("_sum") + now, "refused": now - before})
+    return line.on(stock.drop("_sum", "_short", "_now", "_before"))
+
+
+def order_fulfilment(moves: DataFrame) -> DataFrame:
+    """Per order what was asked, sold, refused for lack of stock, held and released, and the outcome.
+
+    An order is refused or partly refused by its sales, and cancelled or partly cancelled by the
+    lines whose hold was released.
+    """
+    own = refusing_ledger(moves).rows().filter(F.col("kind").isin("SALE", "RESERVE", "RELEASE"))
+    sale, zero = F.col("kind") == "SALE", F.lit(0).cast("long")
+    sums = own.groupBy("order_id").agg(
+        F.count_if(F.col("kind") != "RELEASE").alias("lines"),
+        F.sum(F.when(sale, -F.col("on_hand") - F.col("refused")).otherwise(zero)).alias("units_sold"),
+        F.sum(F.when(sale, F.col("refused")).otherwise(zero)).alias("units_refused"),
+        F.count_if(sale & (F.col("refused") > 0)).alias("lines_refused"),
+        F.sum(F.when(F.col("kind") == "RESERVE", F.col("reserved")).otherwise(zero)).alias("units_held"),
+        F.sum(F.when(F.col("kind") == "RELEASE", -F.col("reserved")).otherwise(zero)).alias("units_released"),
+    )
+    none_left = (F.col("units_sold") == 0) & (F.col("units_held") == F.col("units_released"))
+    outcome = (
+        F.when((F.col("units_refused") > 0) & none_left, "REFUSED")
+        .when(F.col("units_refused") > 0, "PARTLY_REFUSED")
+        .when((F.col("units_released") > 0) & none_left, "CANCELLED")
+        .when(F.col("units_released") > 0, "PARTLY_CANCELLED")
+        .otherwise("OK")
+    )
+    return sums.withColumn("outcome", outcome)
+
+
 def dedup_orders(received: DataFrame) -> DataFrame:
     """First receipt of every order and how often it came."""
     return received.groupBy("order_id").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.fixed_values import EQUIPMENT_CHANGES, STATUS_CHANGES, TIMES_CHANGES
 from skyledger.operators import diff, routing
 from skyledger.plans.relations_sql import EVENTS, with_
+from skyledger.sources import documents
 from skyledger.sources.flights import delay_events
 from skyledger.sources.raw_events import GROUPS, raw_events, raw_sql
 from skyledger.sources.tables import table
@@ -117,7 +118,22 @@ def event_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.disposition(_raw(spark, sf_dir))
 
 
+def document_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event document once: accepted or the reason why it is kept apart."""
+    raw = _raw(spark, sf_dir)
+    rows = documents.parsed(documents.written(raw), raw.schema)
+    return rows.select("event_id", F.coalesce("error", F.lit("accepted")).alias("disposition"))
+
+
+def document_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status records routed from nested documents; broken ones change nothing."""
+    raw = _raw(spark, sf_dir)
+    return status_of(documents.accepted(documents.parsed(documents.written(raw), raw.schema)))
+
+
 QUERIES = {
+    "document_disposition": document_disposition,
+    "document_routing": document_routing,
     "times_routing": times_routing,
     "status_routing": status_routing,
     "equipment_routing": equipment_routing,
@@ -353,6 +369,11 @@ def _diff(records: str, tracked: dict[str, str], extra: str = "", cancel: str =
 ORACLE = {
     "times_routing": _TIMES_WITH + "SELECT * FROM times_rec",
     "status_routing": _STATUS_WITH + "SELECT * FROM status_rec",
+    "document_disposition": """
+SELECT event_id, CASE WHEN event_id % 61 = 0 OR event_id % 67 = 0 THEN 'not readable' WHEN event_id % 71 = 0 THEN 'no document'
+  ELSE 'accepted' END AS disposition FROM events""",
+    "document_routing": with_(raw_sql(), _BASE.replace("FROM raw)", "FROM raw WHERE event_id % 61 <> 0 AND event_id % 67 <> 0 AND event_id % 71 <> 0)"), _STATUS)
+    + "SELECT * FROM status_rec",
     "equipment_routing": _EQUIPMENT_WITH + "SELECT * FROM equipment_rec",
     "delay_event_normalise": with_(EVENTS)
     + "SELECT chain_id || '-' || event_seq AS flight_key, event_type, CAST(value_ms AS VARCHAR) AS value, value_ms, "

@@ -82,18 +82,34 @@ def order_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.order_effects(_moves(spark, sf_dir))
 
 
-def order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order feed in which urgent and high orders arrive again."""
+def order_fulfilment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order what stock that never falls below zero could serve."""
+    return inv.order_fulfilment(_moves(spark, sf_dir))
+
+
+def refused_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements that found too little stock, with the units refused and the stock left."""
+    rows = inv.refusing_ledger(_moves(spark, sf_dir)).rows().filter("refused > 0")
+    return rows.select("product_id", "location_id", "ts_ms", "kind", "order_id", "line_no", "supplier_id", "refused", "stock")
+
+
+def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order feed in which urgent and high orders arrive again, ten minutes later."""
     once = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         F.lit(1).cast("long").alias("received_no"),
         stock.cents("o_totalprice").alias("total_cents"),
         "o_orderpriority",
+        F.col("o_orderdate").cast("timestamp").alias("received_at"),
     )
-    again = once.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).withColumn(
-        "received_no", F.lit(2).cast("long")
+    again = once.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).withColumns(
+        {"received_no": F.lit(2).cast("long"), "received_at": F.col("received_at") + F.expr("INTERVAL 10 MINUTES")}
     )
-    return inv.dedup_orders(once.unionByName(again))
+    return once.unionByName(again)
+
+
+def order_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inv.dedup_orders(order_feed(spark, sf_dir))
 
 
 def sales_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +215,8 @@ QUERIES = {
         stock_rollup,
         stock_ledger,
         order_effects,
+        order_fulfilment,
+        refused_units,
         order_dedup,
         sales_trend,
         top_sellers,
@@ -289,7 +307,31 @@ _REPORT = (
 FROM stat s JOIN prod p ON p.product_id = s.product_id"""
 )
 
+_REFUSED = """
+ref AS (
+  SELECT *, CAST(total + greatest(0, coalesce(now, 0)) AS BIGINT) AS stock,
+         CAST(greatest(0, coalesce(now, 0)) - greatest(0, coalesce(before, 0)) AS BIGINT) AS refused
+  FROM (SELECT *, max(-total) OVER (w ROWS UNBOUNDED PRECEDING) AS now,
+               max(-total) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM (SELECT *, balance AS total FROM led)
+        WINDOW w AS (PARTITION BY product_id, location_id ORDER BY ts_ms, step, order_id, line_no, supplier_id, on_hand, reserved, damaged)))"""
+
 ORACLE = {
+    "order_fulfilment": with_(_LINES, _MOVES, _LEDGER, _REFUSED)
+    + """
+SELECT *, CASE WHEN units_refused > 0 AND units_sold = 0 AND units_held = units_released THEN 'REFUSED'
+    WHEN units_refused > 0 THEN 'PARTLY_REFUSED'
+    WHEN units_released > 0 AND units_sold = 0 AND units_held = units_released THEN 'CANCELLED'
+    WHEN units_released > 0 THEN 'PARTLY_CANCELLED' ELSE 'OK' END AS outcome
+FROM (SELECT order_id, count(*) FILTER (kind <> 'RELEASE') AS lines,
+    CAST(coalesce(sum(-on_hand - refused) FILTER (kind = 'SALE'), 0) AS BIGINT) AS units_sold,
+    CAST(coalesce(sum(refused) FILTER (kind = 'SALE'), 0) AS BIGINT) AS units_refused,
+    count(*) FILTER (kind = 'SALE' AND refused > 0) AS lines_refused,
+    CAST(coalesce(sum(reserved) FILTER (kind = 'RESERVE'), 0) AS BIGINT) AS units_held,
+    CAST(coalesce(sum(-reserved) FILTER (kind = 'RELEASE'), 0) AS BIGINT) AS units_released
+  FROM ref WHERE kind IN ('SALE', 'RESERVE', 'RELEASE') GROUP BY order_id)""",
+    "refused_units": with_(_LINES, _MOVES, _LEDGER, _REFUSED)
+    + "SELECT product_id, location_id, ts_ms, kind, order_id, line_no, supplier_id, refused, stock FROM ref WHERE refused > 0",
     "stock_levels": _L + "SELECT * FROM levels",
     "stock_status": _L + "SELECT product_id, location_id, available, reorder_point, status FROM stat",
     "low_stock_alerts": with_(_LINES, _MOVES, _LEDGER)

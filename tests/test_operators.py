@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from skyledger.operators import graph, lookup, project, sinks
+from skyledger.operators import graph, inventory, lookup, project, sinks
 from skyledger.session import run_dir, settle
 from skyledger.operators.ordered import (
     BLOCK_ROWS_CONF,
@@ -392,3 +393,53 @@ def test_null_parts_never_match_and_tails_ignore_case(spark):
     assert resolve(spark, [shifted, flight("me", "Z", "X", "T1", 100)])["me"] == ("none", None)
     cands = [flight("p1", "X", "Q", "t2", 10, "9", None), flight("p2", "X", "Q", "T3", 20, "9", None)]
     assert resolve(spark, [*cands, flight("me", "Z", "X", "T2", 100)])["me"] == ("tail", "p1")
+
+
+MOVE = "product_id long, order_id long, line_no long, supplier_id long, kind string, step long, ts_ms long, location_id long, on_hand long, reserved long, damaged long"
+
+
+def random_moves(seed, positions=4, each=60):
+    rng, rows = random.Random(seed), []
+    for p in range(positions):
+        rows.append((p, -1, -1, -1, "OPENING", 0, 0, 1, rng.randrange(20), 0, 0))
+        for n in range(each):
+            kind, step, units = rng.choice([("SALE", 4, -rng.randrange(12)), ("RETURN_SELLABLE", 7, rng.randrange(9)), ("RESERVE", 3, 0), ("TRANSFER_OUT", 1, -3)])
+            rows.append((p, n, 1, 1, kind, step, rng.randrange(1, 40), 1, units, 2 if kind == "RESERVE" else 0, 0))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_stock_never_falls_below_zero(spark, limit):
+    """Against a row-by-row model, also with positions cut into blocks."""
+    rows = random_moves(3)
+    if limit:
+        spark.conf.set(HOT_ROWS_CONF, str(limit))
+        spark.conf.set(BLOCK_ROWS_CONF, "30")
+    try:
+        got = {(r.product_id, r.order_id): (r.stock, r.refused) for r in inventory.refusing_ledger(spark.createDataFrame(rows, MOVE)).rows().collect()}
+        orders = {r.order_id: r for r in inventory.order_fulfilment(spark.createDataFrame(rows, MOVE)).collect()}
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.unset(BLOCK_ROWS_CONF)
+    want, sold, refused = {}, {}, {}
+    for p in range(4):
+        stock = 0
+        for r in sorted((r for r in rows if r[0] == p), key=lambda r: (r[6], r[5], r[1])):
+            left = max(0, stock + r[8])
+            short = left - stock - r[8]
+            want[(p, r[1])] = (left, short)
+            stock = left
+            if r[4] == "SALE":
+                sold[r[1]] = sold.get(r[1], 0) - r[8] - short
+                refused[r[1]] = refused.get(r[1], 0) + short
+    assert got == want and any(short for _, short in want.values())
+    assert {k: (r.units_sold, r.units_refused) for k, r in orders.items() if k in sold} == {k: (sold[k], refused[k]) for k in sold}
+
+
+def test_orders_refused_and_cancelled_in_part(spark):
+    rows = [(1, -1, -1, -1, "OPENING", 0, 0, 1, 5, 0, 0)]
+    rows += [(1, 10, 1, 1, "SALE", 4, 1, 1, -3, 0, 0), (1, 11, 1, 1, "SALE", 4, 2, 1, -4, 0, 0), (1, 12, 1, 1, "SALE", 4, 3, 1, -1, 0, 0)]
+    rows += [(1, 13, n, 1, "RESERVE", 3, 4, 1, 0, 1, 0) for n in (1, 2)] + [(1, 13, 1, 1, "RELEASE", 5, 5, 1, 0, -1, 0)]
+    rows += [(1, 14, 1, 1, "RESERVE", 3, 4, 1, 0, 2, 0), (1, 14, 1, 1, "RELEASE", 5, 5, 1, 0, -2, 0)]
+    got = {r.order_id: (r.units_sold, r.units_refused, r.outcome) for r in inventory.order_fulfilment(spark.createDataFrame(rows, MOVE)).collect()}
+    assert got == {10: (3, 0, "OK"), 11: (2, 2, "PARTLY_REFUSED"), 12: (0, 1, "REFUSED"), 13: (0, 0, "PARTLY_CANCELLED"), 14: (0, 0, "CANCELLED")}

@@ -1,5 +1,6 @@
 """Streams over several micro-batches give the batch result."""
 
+import datetime
 import random
 
 import pytest
@@ -13,8 +14,9 @@ from skyledger.operators.versions import KeyedState
 from skyledger.plans import events as plans
 from skyledger.session import run_dir, settle
 from skyledger.sources.raw_events import raw_events
+from skyledger.sources import documents
 from skyledger.sources.tables import SCHEMAS, table
-from skyledger.streaming import changes, delays
+from skyledger.streaming import changes, delays, orders
 from tests.test_lof import SCHEMA as LEGS
 from tests.test_lof import M, leg
 
@@ -187,3 +189,31 @@ def test_a_long_event_list_is_one_pass(spark):
     got = {(r.chain_id, r.leg_seq): r.ptd_ms for r in line_fold.moved_on(line, result).collect()}
     assert got[(1, 1)] == int(events[2999][4]) and got[(2, 1)] == 150 * M
     assert line_fold.audits_of(result).count() == 3001
+
+
+def test_repeated_orders_go_and_the_state_stays_small(spark):
+    """Repetitions inside a file, over two files and after the delay; the state forgets what is past."""
+    schema = "order_id long, total_cents long, received_at timestamp"
+    hour = lambda h, m=0: datetime.datetime(2024, 1, 1 + h // 24, h % 24, m)
+    batches = [[(n, n * 10, hour(n)) for n in range(0, 20)] + [(3, 30, hour(3, 30))], [(19, 190, hour(19, 50))] + [(n, n * 10, hour(n)) for n in range(20, 60)], [(90, 900, hour(90))], [(91, 910, hour(91))]]
+    folder, seen = run_dir(spark, "orders"), []
+    stream = orders.first_receipts(stream_of(spark, batches, schema))
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(r.order_id for r in spark.read.schema(schema).parquet(f"{folder}/out").collect())
+    assert got == [*range(60), 90, 91]
+    seen = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(seen) > 20 and seen[-1] <= 3
+
+
+NESTED = T.StructType([T.StructField("k", T.LongType()), T.StructField("group", T.StructType([T.StructField("at", T.LongType()), T.StructField("name", T.StringType())]))])
+
+
+def test_broken_documents_are_counted_and_the_others_pass(spark):
+    texts = ['{"k":1,"group":{"at":5,"name":"x"}}', '{"k":2,"group":null}', '{"k":3,"more":[1]}', '{"k":4,"group":{"at":', '{"k":"five"}', '{"k":6,"group":{"at":"soon"}}', "[]", "", "null", None, "no json"]
+    rows = documents.parsed(spark.createDataFrame([(t,) for t in texts], "document string"), NESTED)
+    good = sorted((r.k, r.group and r.group.at) for r in documents.accepted(rows).collect())
+    assert good == [(1, 5), (2, None), (3, None)]
+    apart = documents.quarantined(rows)
+    assert apart.count() + len(good) == len(texts)
+    assert apart.filter("error = 'no document'").count() == 1
