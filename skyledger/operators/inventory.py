@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -116,20 +117,20 @@ def stock_status(levels: DataFrame, products: DataFrame, point: Column, quantity
     return ruled.withColumn("status", status_of(F.col("available"), F.col("reorder_point")))
 
 
-def ledger(moves: DataFrame) -> Ordered:
-    """Movements in order with the running on-hand and available balance."""
+POSITION = ("product_id", "location_id")
+_ORDER = ("ts_ms", "step", "order_id", "line_no", "supplier_id", "on_hand", "reserved", "damaged")
+
+
+def ledger(moves: DataFrame, hashes: Sequence[int] | None = None) -> Ordered:
+    """Movements in order with the running on-hand and available balance; `hashes` are those of very long positions."""
     prepared = moves.withColumn("_free", F.col("on_hand") - F.col("reserved"))
-    line = Ordered.of(
-        prepared,
-        keys=["product_id", "location_id"],
-        order=["ts_ms", "step", "order_id", "line_no", "supplier_id", "on_hand", "reserved", "damaged"],
-    )
+    line = Ordered.of(prepared, POSITION, _ORDER, hashes)
     return line.scan(running_sum("on_hand", "balance"), running_sum("_free", "available"))
 
 
-def low_stock_alerts(moves: DataFrame, products: DataFrame, point: Column, quantity: Column) -> DataFrame:
+def low_stock_alerts(moves: DataFrame, products: DataFrame, point: Column, quantity: Column, hashes: Sequence[int] | None = None) -> DataFrame:
     """One alert each time the balance falls to the reorder point, until it recovers."""
-    sized = ledger(moves).rows().join(products.select("product_id", "size"), "product_id")
+    sized = ledger(moves, hashes).rows().join(products.select("product_id", "size"), "product_id")
     rows = sized.withColumns({"reorder_point": point, "reorder_qty": quantity})
     low = F.col("balance") <= F.col("reorder_point")
     before = (F.col("balance") - F.col("on_hand") <= F.col("reorder_point")) & (F.col("kind") != "OPENING")
@@ -152,9 +153,9 @@ def stock_rollup(levels: DataFrame, locations: DataFrame) -> DataFrame:
     )
 
 
-def order_effects(moves: DataFrame) -> DataFrame:
+def order_effects(moves: DataFrame, hashes: Sequence[int] | None = None) -> DataFrame:
     """Per order: lines, lines that found too little stock, and the outcome."""
-    taken = ledger(moves).rows().filter(F.col("kind").isin("SALE", "RESERVE"))
+    taken = ledger(moves, hashes).rows().filter(F.col("kind").isin("SALE", "RESERVE"))
     return (
         taken.groupBy("order_id")
         .agg(
@@ -167,18 +168,14 @@ def order_effects(moves: DataFrame) -> DataFrame:
     )
 
 
-def refusing_ledger(moves: DataFrame) -> Ordered:
+def refusing_ledger(moves: DataFrame, hashes: Sequence[int] | None = None) -> Ordered:
     """Movements in order with the stock that never falls below zero, and the units refused for lack of it.
 
     Taking d units from a stock x leaves max(0, x - d).  Chained, that is the running sum of the
     movements plus the largest shortfall so far, so two scans give it for positions of any
     length: `refused_so_far` is the running maximum of the negative running sum.
     """
-    line = Ordered.of(
-        moves,
-        keys=["product_id", "location_id"],
-        order=["ts_ms", "step", "order_id", "line_no", "supplier_id", "on_hand", "reserved", "damaged"],
-    ).scan(running_sum("on_hand", "_sum"))
+    line = Ordered.of(moves, POSITION, _ORDER, hashes).scan(running_sum("on_hand", "_sum"))
     line = line.on(line.df.withColumn("_short", -F.col("_sum")))
     line = line.scan(running_max("_short", "_now"), running_max("_short", "_before", inclusive=False))
     now, before = (F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) for c in ("_now", "_before"))
@@ -186,13 +183,13 @@ def refusing_ledger(moves: DataFrame) -> Ordered:
     return line.on(stock.drop("_sum", "_short", "_now", "_before"))
 
 
-def order_fulfilment(moves: DataFrame) -> DataFrame:
+def order_fulfilment(moves: DataFrame, hashes: Sequence[int] | None = None) -> DataFrame:
     """Per order what was asked, sold, refused for lack of stock, held and released, and the outcome.
 
     An order is refused or partly refused by its sales, and cancelled or partly cancelled by the
     lines whose hold was released.
     """
-    own = refusing_ledger(moves).rows().filter(F.col("kind").isin("SALE", "RESERVE", "RELEASE"))
+    own = refusing_ledger(moves, hashes).rows().filter(F.col("kind").isin("SALE", "RESERVE", "RELEASE"))
     sale, zero = F.col("kind") == "SALE", F.lit(0).cast("long")
     sums = own.groupBy("order_id").agg(
         F.count_if(F.col("kind") != "RELEASE").alias("lines"),

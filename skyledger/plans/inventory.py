@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyledger.operators import inventory as inv
 from skyledger.operators import lof, sinks
 from skyledger.operators import project as p
+from skyledger.operators.ordered import hot_hashes
 from skyledger.operators.versions import KeyedState
 from skyledger.plans import lof as lof_plans
 from skyledger.plans import projection
@@ -43,10 +44,13 @@ def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.movements(stock.order_lines(spark, sf_dir, *_MOVED), stock.locations(spark, sf_dir))
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All movements with openings, written once because the ledger reads them several times."""
+def _moves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int]]:
+    """All movements with openings, and the hashes of very long positions.
+
+    The movements are written once; their positions open them as they are read.
+    """
     moved = settle(_moved(spark, sf_dir), "moved")
-    return settle(inv.with_openings(moved, stock.products(spark, sf_dir), _opening()), "moves")
+    return inv.with_openings(moved, stock.products(spark, sf_dir), _opening()), hot_hashes(moved, inv.POSITION)
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +70,8 @@ def stock_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_stock_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.low_stock_alerts(_moves(spark, sf_dir), stock.products(spark, sf_dir), *_rule())
+    moves, hashes = _moves(spark, sf_dir)
+    return inv.low_stock_alerts(moves, stock.products(spark, sf_dir), *_rule(), hashes)
 
 
 def stock_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,21 +80,21 @@ def stock_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stock_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock history: every movement with the balance after it."""
-    return inv.ledger(_moves(spark, sf_dir)).rows().drop("_free", "step")
+    return inv.ledger(*_moves(spark, sf_dir)).rows().drop("_free", "step")
 
 
 def order_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.order_effects(_moves(spark, sf_dir))
+    return inv.order_effects(*_moves(spark, sf_dir))
 
 
 def order_fulfilment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order what stock that never falls below zero could serve."""
-    return inv.order_fulfilment(_moves(spark, sf_dir))
+    return inv.order_fulfilment(*_moves(spark, sf_dir))
 
 
 def refused_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Movements that found too little stock, with the units refused and the stock left."""
-    rows = inv.refusing_ledger(_moves(spark, sf_dir)).rows().filter("refused > 0")
+    rows = inv.refusing_ledger(*_moves(spark, sf_dir)).rows().filter("refused > 0")
     return rows.select("product_id", "location_id", "ts_ms", "kind", "order_id", "line_no", "supplier_id", "refused", "stock")
 
 
