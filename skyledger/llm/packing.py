@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate, chain, repeat
 
@@ -270,51 +271,47 @@ def _dominates(a: tuple, b: tuple) -> bool:
     return deal(b, list(a))
 
 
-def _within(lengths: list[int], counts: dict[int, int], gap: int, waste: int, limit: int, steps: int) -> tuple[list[tuple[int, ...]], bool]:
-    """Item lists that fill `gap` up to `waste`, longest items first, and whether the effort sufficed for all."""
+def _within(lengths: list[int], counts: dict[int, int], gap: int, waste: int, limit: int, steps: int) -> list[tuple[int, ...]]:
+    """Item lists that fill `gap` up to `waste`, longest items first, as far as the effort goes."""
     mass = [0] * (len(lengths) + 1)
     for i in range(len(lengths) - 1, -1, -1):
         mass[i] = mass[i + 1] + lengths[i] * counts[lengths[i]]
+    falling = [-x for x in lengths]
     found: list[tuple[int, ...]] = []
     todo: list[tuple[int, int, tuple]] = [(0, gap, ())]
     while todo and len(found) < limit and steps:
         i, room, items = todo.pop()
         steps -= 1
-        while i < len(lengths) and lengths[i] > room:
-            i += 1
+        i = max(i, bisect_left(falling, -room))
         if i == len(lengths) or room == 0:
             if room <= waste:
                 found.append(items)
         elif room - min(room, mass[i]) <= waste:
             most = min(room // lengths[i], counts[lengths[i]])
             todo += [(i + 1, room - n * lengths[i], items + (lengths[i],) * n) for n in range(most + 1)]
-    return found, not todo
+    return found
 
 
 def fillings(counts: dict[int, int], gap: int, slack: int, limit: int = FILLINGS, steps: int = STEPS) -> list[tuple[int, ...]]:
     """Undominated item lists that fill `gap` up to at most `slack` waste, least waste first.
 
-    The waste allowed grows from 0, so that an effort that ends early has kept the fullest.
-    When it ends with none, the best-fit filling stands in if its waste is allowed.
+    A quarter of the effort looks for full bins, the rest for all allowed waste.  When it ends
+    with none, the best-fit filling stands in if its waste is allowed.
     """
     if counts.get(gap, 0) > 0:
         return [(gap,)]
     lengths = sorted((x for x, n in counts.items() if n and x <= gap), reverse=True)
-    waste, found = 0, []
-    while True:
-        found, whole = _within(lengths, counts, gap, waste, limit, steps)
-        if waste >= slack or len(found) >= limit or not whole and found:
-            break
-        waste = min(slack, 2 * waste + 1)
+    found = _within(lengths, counts, gap, 0, limit, steps // 4) if slack else []
+    if len(found) < limit:
+        found += _within(lengths, counts, gap, slack, limit - len(found), steps - steps // 4)
     if not found:
         room, items = gap, ()
         for x in lengths:
             n = min(room // x, counts[x])
             room, items = room - n * x, items + (x,) * n
         found = [items] if room <= slack else []
-    found.sort(key=lambda x: (-sum(x), len(x)))
     kept: list[tuple[int, ...]] = []
-    for items in found:
+    for items in sorted(set(found), key=lambda x: (-sum(x), len(x), x)):
         if not any(_dominates(k, items) for k in kept if len(items) <= 8 and sum(k) >= sum(items)):
             kept.append(items)
     return kept
