@@ -175,7 +175,7 @@ def _counter(buffer_terms: int):
 def term_counts(docs: DataFrame, buffer_terms: int = BUFFER_TERMS) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of every term per group."""
     rows = mapped(docs.select("lang", "source", "text"), _counter(buffer_terms), COUNTS)
-    # Terms are the outer key, so that a language's totals need no second shuffle.
+    # Tasks have counted already, so a common term is a few rows a task here.
     return rows.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
