@@ -67,3 +67,8 @@ def test_cut_keys_keep_one_scan_of_the_rest(spark, sf_dir, queries):
         spark.conf.unset(HOT_ROWS_CONF)
         spark.conf.unset(BLOCK_ROWS_CONF)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_cycle_guard_tells_the_path(spark, sf_dir, queries):
+    rows = queries["cycle_guard"](spark, sf_dir).limit(50).collect()
+    assert rows and all(r.path.split(",") == sorted({r.start, r["at"], r.dst}) for r in rows)
