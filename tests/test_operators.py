@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators import graph, inventory, lookup, project, sinks
-from skyledger.session import run_dir, settle
+from skyledger.session import run_dir, settle, settle_by
 from skyledger.operators.ordered import (
     BLOCK_ROWS_CONF,
     HOT_ROWS_CONF,
@@ -443,3 +443,52 @@ def test_orders_refused_and_cancelled_in_part(spark):
     rows += [(1, 14, 1, 1, "RESERVE", 3, 4, 1, 0, 2, 0), (1, 14, 1, 1, "RELEASE", 5, 5, 1, 0, -2, 0)]
     got = {r.order_id: (r.units_sold, r.units_refused, r.outcome) for r in inventory.order_fulfilment(spark.createDataFrame(rows, MOVE)).collect()}
     assert got == {10: (3, 0, "OK"), 11: (2, 2, "PARTLY_REFUSED"), 12: (0, 1, "REFUSED"), 13: (0, 0, "PARTLY_CANCELLED"), 14: (0, 0, "CANCELLED")}
+
+
+def test_largest_ready_times_without_values(spark):
+    rows = [("a", "CREW", 5, None, 0, 1), ("a", "EQUIPMENT", 5, None, 0, None), ("a", "CREW", 4, 3, None, 2), ("b", "CREW", None, None, None, None)]
+    columns = "flight_key string, resource_type string, " + ", ".join(f"{m} long" for m in project.MEASURES)
+    found = project.max_ready(spark.createDataFrame(rows, columns))
+    got = {r.flight_key: tuple(r)[1:] for r in found.collect()}
+    assert got == {"a": (5, 3, 0, 2, "EQUIPMENT", "CREW", None), "b": (None,) * 7}
+    # Each measure is shuffled once, with its type.
+    text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "max_by" not in text
+
+
+def test_a_round_gives_the_same_by_sent_and_by_shuffled_keys(spark, monkeypatch):
+    legs, links, crew = shared_crew()
+    got = []
+    for few in (0, 200_000):
+        monkeypatch.setattr(graph, "FEW_ROWS", few)
+        log, patch = run_rounds(spark, legs, links, crew, [live("a"), what_if("b", kind="HEATWHATIF")])
+        got.append([sorted(map(tuple, df.collect()), key=repr) for df in (log, patch)])
+    assert got[0] == got[1] and len(got[0][0]) == 4
+
+
+def test_tables_of_a_round_are_not_shuffled(spark):
+    state = settle_by(spark.range(1000).selectExpr("concat('k', id) AS flight_key", "id AS std_ms"), "test", "flight_key")
+    keys = settle(spark.createDataFrame([("k1",), ("k5",)], "flight_key string"), "keys")
+
+    def shuffles(df):
+        return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").count("Exchange hashpartitioning")
+
+    for few, n in ((True, 0), (False, 1)):
+        found = graph._matched(state, keys, "flight_key", few)
+        assert shuffles(found) == n
+        assert sorted(map(tuple, found.collect())) == [("k1", 1), ("k5", 5)]
+    assert spark.catalog.listTables() == []
+
+
+def test_only_suspects_are_looked_up(spark):
+    """Arrivals that can close no circle pass as they are; suspects are judged by the written frontiers."""
+    rounds = graph.Rounds(spark, run_dir(spark, "guard"))
+    tree = "batch_id string, root_key string, request_id string, flight_key string"
+    rounds.add("frontier", 1, spark.createDataFrame([("b", "a", "0", "c", ["a"])], tree + ", parents array<string>"))
+    rows = [("b", "a", "0", "d", "c", None, False), ("b", "a", "0", "a", "c", None, True), ("b", "a", "0", "e", "c", "x", True)]
+    arrivals = settle(spark.createDataFrame(rows, tree + ", last_key string, error string, suspect boolean"), "arrivals")
+    found = graph.refused_cycles(arrivals, rounds, 1)
+    assert sorted((r.flight_key, r.error) for r in found.collect() if r.error) == [("a", "cyclic path"), ("e", "x")]
+    assert found.count() == 3
+    text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "Union" in text

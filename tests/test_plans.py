@@ -72,3 +72,10 @@ def test_cut_keys_keep_one_scan_of_the_rest(spark, sf_dir, queries):
 def test_cycle_guard_tells_the_path(spark, sf_dir, queries):
     rows = queries["cycle_guard"](spark, sf_dir).limit(50).collect()
     assert rows and all(r.path.split(",") == sorted({r.start, r["at"], r.dst}) for r in rows)
+
+
+def test_links_are_written_with_the_columns_they_need(spark, sf_dir):
+    from skyledger.plans import graph
+
+    wide = graph._links(spark, sf_dir)[0]
+    assert "ptd_ms" not in wide.columns and "tail" not in wide.columns
