@@ -118,17 +118,22 @@ def event_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.disposition(_raw(spark, sf_dir))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as documents, parsed; spread over tasks, because a file may be one scan task and parsing is the work."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = raw_events(table(spark, sf_dir, "events").repartition(parts))
+    return documents.parsed(documents.written(raw), raw.schema)
+
+
 def document_disposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event document once: accepted or the reason why it is kept apart."""
-    raw = _raw(spark, sf_dir)
-    rows = documents.parsed(documents.written(raw), raw.schema)
+    rows = _documents(spark, sf_dir)
     return rows.select("event_id", F.coalesce("error", F.lit("accepted")).alias("disposition"))
 
 
 def document_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status records routed from nested documents; broken ones change nothing."""
-    raw = _raw(spark, sf_dir)
-    return status_of(documents.accepted(documents.parsed(documents.written(raw), raw.schema)))
+    return status_of(documents.accepted(_documents(spark, sf_dir)))
 
 
 QUERIES = {

@@ -18,7 +18,8 @@ def parsed(texts: DataFrame, schema: T.StructType, text: str = "document") -> Da
     """
     whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     read = F.from_json(F.col(text), whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    rows = texts.withColumn("_read", read)
+    # Generated, not projected: a filter on `error` would otherwise be pushed below and parse the document for each field.
+    rows = texts.select("*", F.explode(F.array(read)).alias("_read"))
     error = F.when(F.col(text).isNull(), "no document").when(F.col("_read").isNull() | F.col(f"_read.{CORRUPT}").isNotNull(), "not readable")
     event = F.when(error.isNull(), F.struct(*[F.col("_read")[f.name].alias(f.name) for f in schema.fields]))
     return rows.withColumns({"error": error, "event": event}).drop("_read")

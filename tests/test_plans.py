@@ -79,3 +79,10 @@ def test_links_are_written_with_the_columns_they_need(spark, sf_dir):
 
     wide = graph._links(spark, sf_dir)[0]
     assert "ptd_ms" not in wide.columns and "tail" not in wide.columns
+
+
+def test_documents_are_parsed_once(spark, sf_dir, queries):
+    text = queries["document_routing"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    # The document and the short properties of an event.
+    assert text.count("from_json(") == 2
+    assert "RoundRobinPartitioning" in text
