@@ -492,3 +492,26 @@ def test_only_suspects_are_looked_up(spark):
     assert found.count() == 3
     text = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
     assert "Union" in text
+
+
+def test_a_leg_counts_once_per_row_of_its_aircraft(spark):
+    rows = [state_row("a", 0), state_row("b", 90, prev="a"), state_row("c", 90, prev="a", event="PE_TAIL", request="SWAP_WHATIF")]
+    legs = settle(spark.createDataFrame(rows, LEG), "legs")
+    kind = "airline string, tail string, ots boolean, est_return_ms long, return_ms long"
+    once = spark.createDataFrame([("AA", "T1", False, None, 500 * M)], kind)
+    crew = spark.createDataFrame([("b", "d", "FA", "a", 30, "LIVE")], "flight_key string, duty_key string, seat string, prev_flight_key string, turn_min long, request_type string")
+
+    def ready(tails):
+        found = project.resource_ready(legs, crew, tails)
+        return sorted((r.flight_key, r.resource_type, r.ready_latest_ms) for r in found.collect())
+
+    assert ready(once) == [("b", "CREW", 0), ("b", "EQUIPMENT", 0), ("c", "EQUIPMENT", 520 * M)]
+    twice = [("b", "CREW", 0), *[("b", "EQUIPMENT", 0)] * 2, *[("c", "EQUIPMENT", 520 * M)] * 2]
+    assert ready(once.unionByName(once)) == twice
+
+
+def test_only_swapped_tails_meet_the_service_table(spark):
+    legs = settle(spark.createDataFrame([state_row("a", 0)], LEG), "legs")
+    tails = spark.createDataFrame([], "airline string, tail string, ots boolean, est_return_ms long, return_ms long")
+    text = project._served(legs, tails, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "PE_TAIL" in text.split("Join")[1]

@@ -86,3 +86,13 @@ def test_documents_are_parsed_once(spark, sf_dir, queries):
     # The document and the short properties of an event.
     assert text.count("from_json(") == 2
     assert "RoundRobinPartitioning" in text
+
+
+@pytest.mark.parametrize("name, most", [("published_times", 6), ("resource_ready", 5)])
+def test_resources_do_not_shuffle_the_state(spark, sf_dir, queries, name, most):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") <= most
