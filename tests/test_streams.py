@@ -12,7 +12,7 @@ from skyledger.operators import diff, line_fold, lof
 from skyledger.operators.ordered import Ordered
 from skyledger.operators.versions import KeyedState
 from skyledger.plans import events as plans
-from skyledger.session import run_dir, settle
+from skyledger.session import run_dir, settle, settle_by
 from skyledger.sources.raw_events import raw_events
 from skyledger.sources import documents
 from skyledger.sources.tables import SCHEMAS, table
@@ -217,3 +217,19 @@ def test_broken_documents_are_counted_and_the_others_pass(spark):
     apart = documents.quarantined(rows)
     assert apart.count() + len(good) == len(texts)
     assert apart.filter("error = 'no document'").count() == 1
+
+
+def test_a_batch_does_not_shuffle_or_store_legs_that_stay(spark):
+    """Bucketed lines meet a batch's lines where they lie; the state has moved legs only, and earlier moves stay."""
+    line = line_of(spark, (1, 2), late=0)
+    lines = line.on(settle_by(line.df, "line", "chain_id"))
+    schema = f"event_no long, {DELAYS}"
+    events = [(1, 1, 2, "ACTUAL_OFF_CHANGE", str(900 * M)), (2, 1, 4, "ACTUAL_OFF_CHANGE", str(2000 * M))]
+    folder = run_dir(spark, "delay-run")
+    delays.run_delays(stream_of(spark, [[e] for e in events], schema), lines, folder)
+    kept = {(r.chain_id, r.leg_seq) for r in delays.times_after(spark, folder).read().collect()}
+    assert (1, 2) in kept and (1, 4) in kept and (1, 1) not in kept and all(c == 1 for c, _ in kept)
+    got = delays.current(line.df, None, delays.times_after(spark, folder).read())
+    assert times(got) == times(windows_fold(line, spark.createDataFrame(events, schema)))
+    text = line_fold.folded(lines.df, spark.createDataFrame(events, schema), ["event_no"])._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in text
