@@ -107,3 +107,10 @@ def test_long_texts_take_linear_time(spark):
     got = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
     assert set(got) == {1, 2, 3} and got[3].n_phone == 1
     assert time.time() - start < 60
+
+
+def test_work_tables_are_written_small(spark):
+    from skyledger.llm.common import settle
+
+    kept = settle(spark.range(10).toDF("a"), "small")
+    assert all(f.endswith(".zstd.parquet") for f in kept.inputFiles())
