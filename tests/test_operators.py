@@ -515,3 +515,26 @@ def test_only_swapped_tails_meet_the_service_table(spark):
     tails = spark.createDataFrame([], "airline string, tail string, ots boolean, est_return_ms long, return_ms long")
     text = project._served(legs, tails, False)._jdf.queryExecution().optimizedPlan().toString()
     assert "PE_TAIL" in text.split("Join")[1]
+
+
+def test_later_rounds_write_their_waits_and_projections_only(spark, monkeypatch):
+    """The times of inbound legs lie beside the waits, so a later round asks neither the crew nor the state for them again."""
+    legs, links, crew = shared_crew()
+    written = []
+    add = graph.Rounds.add
+    monkeypatch.setattr(graph.Rounds, "add", lambda self, name, number, rows: written.append((number, name)) or add(self, name, number, rows))
+    run_rounds(spark, legs, links, crew, [live("a")])
+    assert {name for number, name in written if number} == {"waited", "projected", "frontier"}
+
+
+def test_a_continuation_is_projected_like_its_event(spark):
+    rows = [
+        state_row(f"{status}-{out}-{late}", 0, late, status=status, event="PE_CONTINUED")[:19] + (status, out, arrived, *state_row("x", 0)[22:28], "PE_CONTINUED", 3, 4, 5, 6)
+        for status in ("ACTIVE", "CANCELLED", "ROUTE_OUT", None) for out, arrived in (("SCHEDULED", "SCHEDULED"), ("OUT", "ON"), (None, None)) for late in (0, 25)
+    ]
+    legs = spark.createDataFrame(rows, LEG).withColumns(
+        {"rule": F.lit(None).cast("string"), "ctd_ms": F.col("std_ms") + 90 * M, **{f"max_{m}": F.col("std_ms") + 40 * M for m in project.MEASURES}}
+    )
+    fields = ["flight_key", "rule", *[f"new_{f}" for f in project.PROJECTED]]
+    both = [sorted(map(tuple, project.project(legs, **more).select(*fields).collect())) for more in ({}, {"continued": True})]
+    assert both[0] == both[1] and len(both[0]) == 24
