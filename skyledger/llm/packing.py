@@ -325,24 +325,36 @@ def _pattern(items: tuple[int, ...]) -> Pattern:
 
 
 def complete_bins(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> Solution:
-    """Patterns and multiplicities that hold all lengths in as few bins as the search finds."""
-    counts = {x: n for x, n in counts.items() if n}
-    if not counts:
+    """Patterns and multiplicities that hold all lengths in as few bins as the search finds.
+
+    The remaining lengths are held once and taken back on the way up, so memory is the path and
+    its open siblings and not a histogram for each of them.
+    """
+    left = {x: n for x, n in counts.items() if n}
+    if not left:
         return []
-    best = best_fit(counts, size)
+    best = best_fit(left, size)
     bins = sum(n for _, n in best)
-    least = lower_bound(counts, size)
-    total = sum(x * n for x, n in counts.items())
-    stack: list[tuple] = [(counts, None, 0, 0)]  # remaining, path, bins, waste
+    least = lower_bound(left, size)
+    total = sum(x * n for x, n in left.items())
+    path: Solution = []
+    stack: list[tuple] = [(0, None, 0, 0, 0)]  # length of the path before, pattern, times, bins, waste
     while stack and bins > least and nodes > 0:
         nodes -= 1
-        left, path, used, waste = stack.pop()
+        depth, pattern, times, used, waste = stack.pop()
+        while len(path) > depth:
+            for x, k in path[-1][0]:
+                left[x] = left.get(x, 0) + k * path[-1][1]
+            path.pop()
+        if pattern:
+            path.append((pattern, times))
+            for x, k in pattern:
+                left[x] -= k * times
+                if not left[x]:
+                    del left[x]
         if not left:
             if used < bins:
-                bins, best = used, []
-                while path:
-                    path, pattern, times = path
-                    best.append((pattern, times))
+                bins, best = used, path[::-1]
             continue
         slack = (bins - 1) * size - total - waste
         if slack < 0 or used + lower_bound(left, size) >= bins:
@@ -356,12 +368,7 @@ def complete_bins(counts: dict[int, int], size: int = SIZE, nodes: int = NODES)
             times = min(left[x] // k for x, k in pattern)
             if loss:
                 times = min(times, slack // loss)
-            after = dict(left)
-            for x, k in pattern:
-                after[x] -= k * times
-                if not after[x]:
-                    del after[x]
-            stack.append((after, (path, pattern, times), used + times, waste + loss * times))
+            stack.append((len(path), pattern, times, used + times, waste + loss * times))
     return best
 
 

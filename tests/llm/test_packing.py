@@ -150,3 +150,22 @@ def test_repeated_rows_are_packed_each(spark):
 @pytest.mark.parametrize("counts", [{}, {2048: 3}, {1: 5000}])
 def test_plain_histograms(counts):
     check(complete_bins(counts), counts, 2048)
+
+
+def test_the_search_holds_the_remaining_lengths_once():
+    """Open siblings must not each hold a histogram: the search runs in the driver."""
+    import tracemalloc
+
+    counts = {x: 3 for x in range(300, 900, 3)}
+    tracemalloc.start()
+    found = complete_bins(counts, 2048, nodes=60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = {}
+    for pattern, bins in found:
+        assert sum(x * k for x, k in pattern) <= 2048
+        for x, k in pattern:
+            used[x] = used.get(x, 0) + k * bins
+    assert used == counts
+    # 1.2 MB when every sibling had its own.
+    assert peak < 0.8e6
