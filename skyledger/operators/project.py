@@ -95,7 +95,8 @@ def resource_ready(
 ) -> DataFrame:
     """One row per resource a leg waits for: its aircraft and each crew member.
 
-    `times` holds the legs they come from, by default the same legs.  Crew that carries the
+    `times` holds the legs they come from, by default the same legs.  Legs and crew that carry
+    the key and times of their inbound leg (`in_*`) are not joined to it.  Crew that carries the
     `request_type` of its leg is not joined to it.  `repeated` tells whether `tails` names an
     aircraft more than once; by default it is looked up.
 
@@ -103,15 +104,18 @@ def resource_ready(
     service in a swap what-if, with the return to service as latest time.
     """
     served = _served(legs, tails, repeated_tails(tails) if repeated is None else repeated)
-    craft = inbound(served, legs if times is None else times, "prev_leg_key", INBOUND_TIMES)
+    times = legs if times is None else times
+    craft = served if "in_flight_key" in legs.columns else inbound(served, times, "prev_leg_key", INBOUND_TIMES)
     own = built("equipment", _equipment)
     equipment = craft.filter(own["given"]).withColumns(own["columns"]).withColumn("resource_key", F.col("prev_flight_key")).select(*_RESOURCE)
-    times = legs if times is None else times
     if not with_crew:
         return equipment
     if "request_type" not in crew.columns:
         crew = crew.join(legs.select("flight_key", "request_type"), "flight_key")
-    people = inbound(crew, times, "prev_flight_key", INBOUND_TIMES, "inner")
+    if "in_flight_key" in crew.columns:
+        people = crew.filter(F.col("in_flight_key").isNotNull())
+    else:
+        people = inbound(crew, times, "prev_flight_key", INBOUND_TIMES, "inner")
     persons = people.withColumns(
         {
             **built("people", lambda: ready_measures(F.col("turn_min"), F.lit(False))),

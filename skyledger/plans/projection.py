@@ -21,23 +21,23 @@ STATE = (
 )
 DUTY = ("part_id", "supp_id", "chain_id", "leg_seq", "line_no")
 
-
 # What the resources read of the state.
-READY = (
-    "flight_key", "std_ms", "lta_ms", "pta_ms", "pcta_ms", "pmta_ms", "plmta_ms", "prev_leg_key", "airline", "tail", "ogt_min",
-    "request_type", "pe_event",
-)
+READY = ("flight_key", "prev_leg_key", "airline", "tail", "ogt_min", "request_type", "pe_event")
 
 
-def _parts(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = STATE):
+def _parts(spark: SparkSession, sf_dir: str):
     """Current state of all legs, and the resources they wait for.
 
-    The state is joined to itself for every kind of resource, so it is written once, in buckets
-    of its key, and each use reads its own `columns`.
+    The scans of lines and duties that find an inbound leg also give what its times follow from, so
+    the state is not joined to itself.  It is written once, narrow, and worked out where it is read.
     """
-    wide = state.settled_legs(spark, sf_dir).select(*columns, *DUTY)
-    crew = crew_assignments(wide, hot_duties(spark, sf_dir), with_request=True)
-    return wide, p.resource_ready(wide, crew, state.tails(spark, sf_dir))
+    linked, duties = state.linked_legs(spark, sf_dir), hot_duties(spark, sf_dir)
+    legs = state.with_inbound(state.linked_rows(linked).select(*READY, *[f"prev_{c}" for c in state.TIMED]))
+    # The narrow columns go to the duty, not what follows from them; very large duties are cut instead.
+    near = linked if duties else linked.repartition("part_id")
+    crew = crew_assignments(state.linked_rows(near), duties, with_request=True, beside=state.TIMED)
+    ready = p.resource_ready(legs, state.with_inbound(crew), state.tails(spark, sf_dir))
+    return state.spread_rows(linked).select(*STATE), ready
 
 
 def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resource_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All resource rows; what-if rules apply per request type of the leg."""
-    return _parts(spark, sf_dir, READY)[1]
+    return _parts(spark, sf_dir)[1]
 
 
 def equipment_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,11 @@ def equipment_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def max_ready_by_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.max_ready(_parts(spark, sf_dir, READY)[1])
+    return p.max_ready(_parts(spark, sf_dir)[1])
 
 
 def most_restrictive_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.most_restrictive(_parts(spark, sf_dir, READY)[1])
+    return p.most_restrictive(_parts(spark, sf_dir)[1])
 
 
 def projected_departure(spark: SparkSession, sf_dir: str) -> DataFrame:

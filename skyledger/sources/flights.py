@@ -127,10 +127,13 @@ def flight_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def flights(legs_: Ordered) -> Ordered:
-    """Adds airline, number, date, stations, tail and both neighbour keys."""
+def flights(legs_: Ordered, beside: tuple[str, ...] = ()) -> Ordered:
+    """Adds airline, number, date, stations, tail and both neighbour keys.
+
+    `beside` are columns of the leg before, wanted as `prev_*`.
+    """
     with_attrs = legs_.on(
-        flight_columns(legs_.df).withColumn("_me", F.struct("flight_key", "flight_number", "flight_date", "arr_station"))
+        flight_columns(legs_.df).withColumn("_me", F.struct("flight_key", "flight_number", "flight_date", "arr_station", *beside))
     ).scan(previous("_me", "_prev"), following("_me", "_next"))
     return with_attrs.on(
         with_attrs.df.withColumns(
@@ -142,6 +145,7 @@ def flights(legs_: Ordered) -> Ordered:
                 "dep_station": F.coalesce(
                     "_prev.arr_station", F.concat(F.lit("S"), (F.col("supp_id") + 1) % 5)
                 ),
+                **{f"prev_{c}": F.col(f"_prev.{c}") for c in beside},
             }
         ).drop("_me", "_prev", "_next")
     )
@@ -152,15 +156,17 @@ def hot_duties(spark: SparkSession, sf_dir: str) -> list[int]:
     return hot_hashes(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("duty")), ["duty"])
 
 
-def crew_assignments(legs_: DataFrame, hashes: list[int], with_request: bool = False) -> DataFrame:
+def crew_assignments(legs_: DataFrame, hashes: list[int], with_request: bool = False, beside: tuple[str, ...] = ()) -> DataFrame:
     """Crew duties: each part is a duty that works its legs in departure order.
 
-    `hashes` are those of the very large duties; `with_request` adds the leg's request type.
+    `hashes` are those of the very large duties; `with_request` adds the leg's request type;
+    `beside` are columns of the inbound leg, wanted as `prev_*`.
     """
     # The key stands in the struct only, so that it is shuffled once.
     own = ["request_type"] if with_request else []
+    theirs = [f"prev_{c}" for c in beside]
     cols = legs_.select(
-        F.col("part_id").alias("duty"), F.struct("flight_key").alias("_me"), "std_ms", "chain_id", "leg_seq", "line_no", "supp_id", *own
+        F.col("part_id").alias("duty"), F.struct("flight_key", *beside).alias("_me"), "std_ms", "chain_id", "leg_seq", "line_no", "supp_id", *own
     )
     linked = Ordered.of(
         cols,
@@ -179,6 +185,7 @@ def crew_assignments(legs_: DataFrame, hashes: list[int], with_request: bool = F
         F.col("_next.flight_key").alias("next_flight_key"),
         F.col("supp_id"),
         *own,
+        *[F.col(f"_prev.{c}").alias(n) for c, n in zip(beside, theirs)],
     ).select(
         "flight_key",
         F.concat_ws("-", F.col("_seat"), "duty").alias("duty_key"),
@@ -192,4 +199,5 @@ def crew_assignments(legs_: DataFrame, hashes: list[int], with_request: bool = F
         (F.lit(30) + F.col("duty") % 4 * 10).alias("turn_min"),
         (F.col("supp_id") % 10 == 0).alias("deadhead"),
         *own,
+        *theirs,
     )

@@ -538,3 +538,14 @@ def test_a_continuation_is_projected_like_its_event(spark):
     fields = ["flight_key", "rule", *[f"new_{f}" for f in project.PROJECTED]]
     both = [sorted(map(tuple, project.project(legs, **more).select(*fields).collect())) for more in ({}, {"continued": True})]
     assert both[0] == both[1] and len(both[0]) == 24
+
+
+def test_carried_inbound_times_count_like_joined_ones(spark):
+    rows = [state_row("a", 0), state_row("b", 90, 25, prev="a"), state_row("c", 200, prev="b", event="PE_TAIL", request="SWAP_WHATIF"), state_row("d", 300, prev="gone")]
+    legs = settle(spark.createDataFrame(rows, LEG), "legs")
+    tails = spark.createDataFrame([("AA", "T1", True, 500 * M, None)], "airline string, tail string, ots boolean, est_return_ms long, return_ms long")
+    kind = "flight_key string, duty_key string, seat string, prev_flight_key string, turn_min long, request_type string"
+    crew = spark.createDataFrame([("b", "d", "FA", "a", 30, "LIVE"), ("c", "e", "CA", "b", 40, "SWAP_WHATIF"), ("c", "f", "FA", None, 40, "SWAP_WHATIF")], kind)
+    carried = lookup.inbound(legs, legs, "prev_leg_key", project.INBOUND_TIMES), lookup.inbound(crew, legs, "prev_flight_key", project.INBOUND_TIMES)
+    joined, without = (sorted(map(tuple, project.resource_ready(*both, tails).collect()), key=str) for both in ((legs, crew), carried))
+    assert joined == without and len(joined) == 4

@@ -96,3 +96,28 @@ def test_resources_do_not_shuffle_the_state(spark, sf_dir, queries, name, most):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") <= most
+
+
+@pytest.mark.parametrize("name, most", [("resource_ready", 3), ("max_ready_by_leg", 4), ("most_restrictive_resource", 4), ("projected_departure", 5), ("problem_rows", 5)])
+def test_inbound_times_come_with_the_scans(spark, sf_dir, queries, name, most):
+    """The state meets itself for no resource; what an inbound leg's times follow from comes from the scan that finds it."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries[name](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") <= most
+
+
+def test_cut_lines_and_duties_give_the_same_resources(spark, sf_dir, queries):
+    def rows():
+        return sorted(queries["resource_ready"](spark, sf_dir).collect(), key=str)
+
+    whole = rows()
+    spark.conf.set(HOT_ROWS_CONF, "33")
+    spark.conf.set(BLOCK_ROWS_CONF, "500")
+    try:
+        assert rows() == whole and len(whole) > 10_000
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+        spark.conf.unset(BLOCK_ROWS_CONF)
