@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyledger.operators.ordered import Ordered, last_known
+from skyledger.operators.ordered import Ordered, hot_frame, hot_hashes, last_known
 from skyledger.session import settle
 
 _FLIGHT_KEY = ("airline", "flight_date", "flight_number", "arr_station", "snapshot_id")
@@ -183,12 +183,72 @@ def _nearest_earlier(several: DataFrame, flights: DataFrame) -> DataFrame:
     )
 
 
+def _by_counts(current: DataFrame, flights: DataFrame) -> DataFrame:
+    """Counts, only and nearest candidates of legs whose match groups are very large."""
+    counted = settle(previous_leg_counts(current, flights), "counted")
+    near = _nearest_earlier(counted.filter((F.col("n_candidates") > 1) & (F.col("n_after_tail") > 1)), flights)
+    return counted.join(near, "flight_key", "left").select(*_SETTLED)
+
+
+def _nearest(line: Ordered, cand: str, out: str) -> Ordered:
+    """Adds the last `cand` of the line before each row, other than the row itself."""
+    line = line.scan(last_known(cand, "_before", inclusive=False))
+    pair = F.when(F.col(cand).isNotNull(), F.struct(F.col(cand).alias("cand"), "_before"))
+    line = line.on(line.df.withColumn("_pair", pair)).scan(last_known("_pair", "_last"))
+    pick = F.when(F.col("_last.cand.flight_key") != F.col("flight_key"), F.col("_last.cand")).otherwise(F.col("_last._before"))
+    return line.on(line.df.withColumn(out, pick).drop("_before", "_pair", "_last"))
+
+
+def _in_groups(asking: DataFrame, offered: DataFrame) -> DataFrame:
+    """The same of legs whose match groups fit a task.
+
+    Candidates and legs of a group meet by one shuffle; counts and nearest candidates are windows
+    over the group and over its aircraft.
+    """
+    both = asking.withColumn("asks", F.lit(1)).unionByName(offered.withColumn("asks", F.lit(0))).repartition("_match")
+    cand = F.when(F.col("asks") == 0, F.struct("std_ms", "flight_key"))
+    both = both.withColumns({"_craft": F.lower("tail"), "_any": cand, "_open": F.when(F.col("tail").isNull(), cand)})
+    every = Ordered.of(both, keys=["_match"], order=["std_ms", "asks", "flight_key"], hashes=[])
+    every = _nearest(_nearest(every, "_any", "_near_any"), "_open", "_near_open")
+    craft = _nearest(every.on(every.df, more_keys=("_craft",)), "_any", "_near_same").rows()
+    group, same = Window.partitionBy("_match"), Window.partitionBy("_match", "_craft")
+    counts = {
+        f"{name}{kind}": f.over(over)
+        for kind, c, over in (("_any", "_any", group), ("_open", "_open", group), ("_same", "_any", same))
+        for name, f in (("_n", F.count(c)), ("_only", F.min(f"{c}.flight_key")))
+    }
+    free = F.col("tail").isNull()
+    return craft.withColumns(counts).filter("asks = 1").select(
+        "flight_key",
+        F.col("_n_any").alias("n_candidates"),
+        F.when(free, F.col("_n_any")).otherwise(F.col("_n_same") + F.col("_n_open")).alias("n_after_tail"),
+        F.col("_only_any").alias("_only_all"),
+        F.when(free, F.col("_only_any")).otherwise(F.least("_only_same", "_only_open")).alias("_only_kept"),
+        F.when(free, F.col("_near_any")).otherwise(F.greatest("_near_same", "_near_open"))["flight_key"].alias("_near_key"),
+    )
+
+
+# What settles a previous leg.
+_SETTLED = ("flight_key", "n_candidates", "n_after_tail", "_only_all", "_only_kept", "_near_key")
+
+
 def resolve_previous_leg(current: DataFrame, flights: DataFrame) -> DataFrame:
-    """Previous leg of every flight and the rule that settled it."""
-    counted = previous_leg_counts(current, flights)
-    counted = settle(counted, "counted")
-    several = counted.filter((F.col("n_candidates") > 1) & (F.col("n_after_tail") > 1))
-    near = _nearest_earlier(several, flights)
+    """Previous leg of every flight and the rule that settled it.
+
+    Legs and candidates of a match group meet in one task; those of very large groups are counted
+    per key and laid out in blocks.
+    """
+    asking, offered = _wanted(current), flights.withColumn("_match", _match_key(*_FLIGHT_KEY)).filter("_match IS NOT NULL")
+    named, own = asking.filter("_match IS NOT NULL"), ("flight_key", "tail", "std_ms", "_match")
+    hashes = hot_hashes(named.select("_match").unionByName(offered.select("_match")), ["_match"])
+    if hashes:
+        hot, matches = F.broadcast(hot_frame(current, hashes)), F.xxhash64("_match") == F.col("_hot")
+        large = _by_counts(*[df.join(hot, matches, "left_semi").drop("_match") for df in (named, offered)])
+        named, offered = (df.join(hot, matches, "left_anti") for df in (named, offered))
+    found = _in_groups(named.select(*own), offered.select(*own))
+    found = found.unionByName(large) if hashes else found
+    none, text = F.lit(0).cast("long"), F.lit(None).cast("string")
+    unnamed = asking.filter("_match IS NULL").select("flight_key", *[x.alias(c) for c, x in zip(_SETTLED[1:], (none, none, text, text, text))])
     rule = (
         F.when(F.col("n_candidates") == 0, "none")
         .when(F.col("n_candidates") == 1, "single")
@@ -196,13 +256,13 @@ def resolve_previous_leg(current: DataFrame, flights: DataFrame) -> DataFrame:
         .when(F.col("n_after_tail") == 1, "tail")
         .otherwise("nearest")
     )
-    joined = counted.withColumn("rule", rule).join(near, "flight_key", "left")
-    found = (
+    ruled = found.unionByName(unnamed).withColumn("rule", rule)
+    key = (
         F.when(F.col("rule") == "single", F.col("_only_all"))
         .when(F.col("rule") == "tail", F.col("_only_kept"))
         .when(F.col("rule") == "nearest", F.col("_near_key"))
     )
-    return joined.select("flight_key", "n_candidates", "n_after_tail", "rule", found.alias("resolved_key"))
+    return ruled.select("flight_key", "n_candidates", "n_after_tail", "rule", key.alias("resolved_key"))
 
 
 def tail_ready(legs: DataFrame, tails: DataFrame, turn_min: Column) -> DataFrame:

@@ -121,3 +121,24 @@ def test_cut_lines_and_duties_give_the_same_resources(spark, sf_dir, queries):
     finally:
         spark.conf.unset(HOT_ROWS_CONF)
         spark.conf.unset(BLOCK_ROWS_CONF)
+
+
+def test_legs_and_candidates_meet_by_one_shuffle(spark, sf_dir, queries):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(queries["prev_leg_resolved"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def test_very_large_match_groups_give_the_same_previous_legs(spark, sf_dir, queries):
+    def rows():
+        return sorted(queries["prev_leg_resolved"](spark, sf_dir).collect(), key=str)
+
+    whole = rows()
+    spark.conf.set(HOT_ROWS_CONF, "6")
+    try:
+        assert rows() == whole and {r.rule for r in whole} == {"none", "single", "tail", "nearest"}
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
