@@ -3,11 +3,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skyledger.llm.common import mapped
 from skyledger.llm.packing import WordIds, best_fit, complete_bins, fillings, lower_bound, packed_documents, pieces, solution_bins, tokenizer_path
 from tests.llm.helpers import ODD_TEXTS, frame, words
 
@@ -169,3 +171,17 @@ def test_the_search_holds_the_remaining_lengths_once():
     assert used == counts
     # 1.2 MB when every sibling had its own.
     assert peak < 0.8e6
+
+
+def test_workers_are_left_as_they_were(spark):
+    """A task that holds the cycle collector off hands its worker on with it on."""
+    docs = spark.range(64, numPartitions=8).selectExpr("id AS doc_id", "'some words' AS text")
+    assert pieces(docs, tokenizer_path()).count() == 64
+
+    def told(batches):
+        import gc
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()] * batch.num_rows)], ["on"])
+
+    assert {r.on for r in mapped(spark.range(64, numPartitions=8), told, "on boolean").collect()} == {True}
