@@ -549,3 +549,26 @@ def test_carried_inbound_times_count_like_joined_ones(spark):
     carried = lookup.inbound(legs, legs, "prev_leg_key", project.INBOUND_TIMES), lookup.inbound(crew, legs, "prev_flight_key", project.INBOUND_TIMES)
     joined, without = (sorted(map(tuple, project.resource_ready(*both, tails).collect()), key=str) for both in ((legs, crew), carried))
     assert joined == without and len(joined) == 4
+
+
+def test_a_run_reads_only_what_it_can_still_reach(spark, monkeypatch):
+    """Tables cut down to the reachable legs give what the whole ones give, and the legs out of reach are not read again."""
+    legs = [state_row("a", 100, late=300), state_row("z", 100, late=300), *[state_row(f"n{i}", 150 + i) for i in range(9)]]
+    links, crew = [], [("b", "a", 20), ("e", "d", 20)]
+    for before, leg, dep in (("a", "b", 170), ("b", "c", 240), ("c", "d", 310), ("d", "e", 380)):
+        legs.append(state_row(leg, dep, prev=before))
+        links.append((before, leg, "EQUIPMENT"))
+    # Two days after the root a leg is visited and passes nothing on; a link that its end denies is not followed.
+    legs += [state_row("f", 400, prev="e")[:1] + ("2024-01-03",) + state_row("f", 400, prev="e")[2:], state_row("g", 470, prev="f"), state_row("h", 500, prev="x")]
+    links += [("e", "f", "EQUIPMENT"), ("f", "g", "EQUIPMENT"), ("d", "h", "EQUIPMENT"), ("c", "b", "CREW")]
+    read, found = [], []
+    within = graph._within
+    monkeypatch.setattr(graph, "_within", lambda table, keys, label, key: read.append({r.flight_key for r in keys.collect()}) or within(table, keys, label, key))
+    monkeypatch.setattr(graph, "FIRST_FALL", 1)
+    for least in (2_000_000, 0):
+        monkeypatch.setattr(graph, "NARROW_LINKS", least)
+        log, patch = run_rounds(spark, legs, links, crew, [live("a"), what_if("a"), live("z")])
+        found.append([sorted(map(tuple, df.collect()), key=repr) for df in (log, patch)])
+        assert bool(read) == (least == 0)
+    assert found[0] == found[1] and {r[7] for r in found[0][0]} >= {"a", "b", "c", "d", "e", "f", "h", "z"}
+    assert "g" not in read[0] and "h" not in read[0] and not {"z", "n1"} & read[0] and {"c", "d", "e", "f"} <= read[0]
